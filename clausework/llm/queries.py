@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausework.llm import license_scan, packing, quality_rules
+from clausework.llm import decontaminate, license_scan, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": decontaminate.query,
     "op8_license_scan": license_scan.query,
     "op9_quality_rules": quality_rules.query,
     "op10_packing": packing.query,
 }
-SQL: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op9_quality_rules": quality_rules.SQL}
