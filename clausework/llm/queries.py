@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausework.llm import decontaminate, license_scan, packing, quality_rules
+from clausework.llm import decontaminate, license_scan, packing, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
     "op8_license_scan": license_scan.query,
     "op9_quality_rules": quality_rules.query,
