@@ -227,7 +227,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return Model(constant=float(n_toxic > 0))
     odds = F.log((F.col("n_toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("n_clean") + 0.5) / (n_clean + 1))
     learned = _stem_counts(rows.select("__text", (F.col("__y") > 0).cast("int").alias("__y"))).withColumn("w", odds)
-    least = max(4, n_toxic // 500)
+    least = max(6, n_toxic // 100)
     learned = learned.where((F.col("n_toxic") >= least) & (F.col("w") > 3.0)).orderBy(F.col("n_toxic").desc(), "stem").limit(max_stems).collect()
     stems = np.array([r.stem for r in learned], np.int64).view(np.uint64)
     order = np.argsort(stems)
