@@ -99,21 +99,26 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: Callable[[DataFra
     return left.groupBy("gid", "part").cogroup(right.groupBy("gid", "part")).applyInArrow(run, "a bigint, b bigint")
 
 
-def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column) -> DataFrame:
+def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column, indexed: str | None = None) -> DataFrame:
     """(node, component) of all linked items.
 
-    ``postings(token, node, n)``: n is the item's size.  ``near`` is a filter on (n, hn, c) for the
-    first step, c the keys that item and anchor share there; ``may`` is the bound of the second
-    step on (n, lo, hi, c): lo and hi are the sizes in the group, c the shared keys.
+    ``postings(token, node, n)``: n is the item's size.  With ``indexed`` (a boolean column of the
+    postings) only such postings are the index and all postings probe it; else every posting is
+    both.  ``near`` is a filter on (n, hn, c) for the first step, c the keys that item and anchor
+    share there; ``may`` is the bound of the second step on (n, lo, hi, c): lo and hi are the sizes
+    in the group, c the shared keys.
     """
-    heads = postings.groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top")).where("h < top").drop("top")
-    shared = written(postings.join(heads, "token").select("token", "node", "n", "h"), "shared")
+    postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
+    heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
+    if not indexed:
+        heads = heads.where("h < top")
+    shared = written(postings.join(heads, "token").where("h < top OR node <> h").select("token", "node", "n", "ix", "h"), "shared")
     met = shared.where("node <> h").groupBy("node", "h").agg(F.max("n").alias("n"), F.count("*").alias("c"))
-    head_sizes = shared.where("node = h").groupBy("h").agg(F.max("n").alias("hn"))
+    head_sizes = shared.where("node = h").groupBy("h").agg(F.max("n").alias("hn")) if not indexed else shared.select("h", F.lit(0).alias("hn")).distinct()
     pairs = written(met.join(head_sizes, "h").where(near).select(F.col("node").alias("q"), "h"), "pairs")
     edges = written(verify_pairs(pairs, texts, compare), "links")
     components = connected_components(edges)
-    labelled = written(shared.join(components, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component")), "labelled")
+    labelled = written(shared.join(components, "node", "left").select("token", "node", "n", "ix", F.coalesce("component", "node").alias("component")), "labelled")
     drop(shared, pairs)
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_rows = written(labelled.join(mixed, "token"), "open")
@@ -123,8 +128,8 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     placed = nodes.join(chunks, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), "chunks")).alias("gid"))
     members = written(nodes.join(placed, "node").select("gid", "component", "node", "n"), "members")
     sizes = members.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = open_rows.join(members.select("node", "gid"), "node").select("token", "gid", F.col("component").alias("owner")).distinct()
-    met = open_rows.join(matrix, "token").where("component > owner").groupBy("node", "gid").agg(F.first("n").alias("n"), F.count("*").alias("c"))
+    matrix = open_rows.where("ix").join(members.select("node", "gid"), "node").select("token", "gid", F.col("component").alias("owner")).distinct()
+    met = open_rows.join(matrix, "token").where("component <> owner" if indexed else "component > owner").groupBy("node", "gid").agg(F.first("n").alias("n"), F.count("*").alias("c"))
     wanted = written(met.join(sizes, "gid").where(may).select(F.col("node").alias("q"), "gid"), "wanted")
     if wanted.isEmpty():
         return components

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausework.llm import decontaminate, license_scan, ngram_join, packing, quality_rules, toxicity
+from clausework.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
     "op6_ngram_join": ngram_join.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_license_scan": license_scan.query,
     "op9_quality_rules": quality_rules.query,
     "op10_packing": packing.query,
