@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausework.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, quality_rules, toxicity
+from clausework.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, quality_rules, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_warc": warc.query,
     "op6_ngram_join": ngram_join.query,
     "op7_line_dedup": line_dedup.query,
     "op8_license_scan": license_scan.query,
     "op9_quality_rules": quality_rules.query,
     "op10_packing": packing.query,
 }
-SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op6_ngram_join": ngram_join.SQL, "op9_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op5_warc": warc.SQL, "op6_ngram_join": ngram_join.SQL, "op9_quality_rules": quality_rules.SQL}
