@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausework.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, quality_rules, toxicity, warc
+from clausework.llm import decontaminate, license_scan, line_dedup, ngram_join, packing, quality_rules, token_counts, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": url_filter.query,
+    "op2_token_counts": token_counts.query,
     "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
     "op5_warc": warc.query,
@@ -18,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules.query,
     "op10_packing": packing.query,
 }
-SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op5_warc": warc.SQL, "op6_ngram_join": ngram_join.SQL, "op9_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op1_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op5_warc": warc.SQL, "op6_ngram_join": ngram_join.SQL, "op9_quality_rules": quality_rules.SQL}
