@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.llm import textnp
@@ -234,28 +234,35 @@ def _search(shared, first_pass: bool, last_pass: bool, shard_bytes: int):
     return run
 
 
-def removal_spans(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def removal_spans(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """One row per document: words, merged spans (word places, end excluded) and the items found.
 
     ``block_bytes`` bounds what is read of the benchmark at once; ``shard_bytes`` bounds an index.
+    With ``carry``, these columns of ``df`` come back with one struct ``__found`` in place of the
+    separate columns, whatever names they have; nothing is joined or shuffled.
     """
     spark = df.sparkSession
     wanted = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("t")).where("item IS NOT NULL AND t IS NOT NULL")
     size = wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
+    key = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.col(id_col).cast("bigint")
+    rows = df.select(key.alias("__key"), F.col(text_col).cast("string").alias("__text"))
+    kind = rows.schema["__key"].dataType.simpleString() if not carry else "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in rows.schema["__key"].dataType) + ">"
     for b in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast(Phrases([(r.item, r.t) for r in sorted(block)], window))
         last = b == blocks - 1
-        rows = rows.mapInArrow(_search(shared, b == 0, last, shard_bytes), "__key bigint, n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>" + ", __text string" * (not last))
+        rows = rows.mapInArrow(_search(shared, b == 0, last, shard_bytes), f"__key {kind}, n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>" + ", __text string" * (not last))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
+    if carry:
+        return rows.select("__key.*", F.struct("n_words", n_hit.alias("n_hit"), "spans", "items").alias("__found"))
     return rows.select(F.col("__key").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def contaminated() -> F.Column:
+def contaminated(found: str | None = None) -> Column:
     """The rule: some word is hit, and at least one word in twenty."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    n_hit, n_words = (F.col(f"{found}.{c}" if found else c) for c in ("n_hit", "n_words"))
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,15 +264,15 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits:
     return keys_.join(per, keys_["__key"].eqNullSafe(per["key"]), "left").select(F.col("__key").alias(id_col), zero("n_lines"), zero("n_exact"), zero("n_near"), zero("kept_chars"))
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of ``df`` with removed lines cut from their texts, and ``removed_lines`` (a count)."""
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, count_col: str | None = None) -> DataFrame:
+    """The rows of ``df`` with removed lines cut from their texts; ``count_col`` adds how many were cut."""
     gone = decisions(df, id_col, text_col, edits, min_chars).where("exact OR near").groupBy(F.col("key").alias("__key")).agg(F.collect_set("number").alias("__gone"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).cast("bigint").alias("__id"))
     joined = rows.join(gone, F.col("__id").eqNullSafe(F.col("__key")), "left")
     text = F.col(f"__row.`{text_col}`").cast("string")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("bigint"))), "\n")
     new = F.when(F.col("__gone").isNull(), text).otherwise(kept)
-    return joined.select(*[new.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in df.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("removed_lines"))
+    return joined.select(*[new.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in df.columns], *([F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias(count_col)] if count_col else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from clausework.llm import textnp
 from clausework.llm.shared import written
@@ -44,7 +45,7 @@ INSULTS = (
 #: Words of the second person in four languages.
 SECOND_PERSON = "you your yours yourself youre u ur du dich dir dein deine deiner ihr euch euer tu toi te ton ta tes vous votre vos ti tus tuyo usted ustedes vosotros".split()
 #: Characters that stand for letters in disguised words.
-DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 STEMS = (4, 5, 6, 8)
 NEAR = 5
 
@@ -83,7 +84,7 @@ _MAP = np.arange(256, dtype=np.uint8)
 for _a, _b in DISGUISE.items():
     _MAP[ord(_a)] = ord(_b)
 _DROPPED = np.zeros(256, bool)
-_DROPPED[[*b"*.-_'^~#%&+=,;:?()\"/\\|<>[]{}`"]] = True
+_DROPPED[[*b"*!.-_'^~#%&+=,;:?()\"/\\|<>[]{}`"]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = np.zeros(256, bool)
@@ -159,7 +160,10 @@ def _featured(df: DataFrame, stems: np.ndarray, weights: np.ndarray, extra: list
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), values], names=[*extra, "__f"])
 
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in extra), "`__f` array<double>"])
+    def kind(t: DataType) -> str:
+        return "struct<" + ",".join(f"`{f.name}`:{kind(f.dataType)}" for f in t) + ">" if isinstance(t, StructType) else t.simpleString()
+
+    schema = ", ".join([*(f"`{c}` {kind(df.schema[c].dataType)}" for c in extra), "`__f` array<double>"])
     return df.mapInArrow(run, schema).withColumn("__x", array_to_vector("__f")).drop("__f")
 
 
@@ -167,7 +171,7 @@ def _stem_counts(df: DataFrame) -> DataFrame:
     """(stem, toxic texts, clean texts) of ``df(__text, __y)``; counted per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textnp.slices(batches, "__text", 8 << 20):
+        for batch in textnp.slices(batches, "__text", 4 << 20):
             data, offs = textnp.buffer(batch.column("__text"))
             low = textnp.LOWER[data]
             words = textnp.Words(low, offs, textnp.ALNUM)
@@ -202,15 +206,15 @@ class Model:
     def __init__(self, constant: float | None = None, stems=None, weights=None, trees=None, isotonic=None):
         self.constant, self.stems, self.weights, self.trees, self.isotonic = constant, stems, weights, trees, isotonic
 
-    def score(self, df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-        """``keep`` columns of every row and ``__score`` between 0 and 1."""
-        rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("__keep"), F.col(text_col).cast("string").alias("__text"))
+    def score(self, df: DataFrame, text_col: str, keep: list[str], score_col: str = "__score") -> DataFrame:
+        """``keep`` columns of every row and the score between 0 and 1."""
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.col(text_col).cast("string").alias("__text"))
         if self.constant is not None:
-            return rows.select("__keep.*", F.lit(self.constant).alias("__score"))
+            return rows.select("__keep.*", F.lit(self.constant).alias(score_col))
         x = _featured(rows, self.stems, self.weights, ["__keep"])
         margin = self.trees.transform(x).select("__keep", vector_to_array("probability")[1].alias("__raw"))
         out = self.isotonic.transform(margin)
-        return out.select("__keep.*", F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0)).alias("__score"))
+        return out.select("__keep.*", F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0)).alias(score_col))
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_stems: int = MAX_STEMS) -> Model:

@@ -50,14 +50,17 @@ def with_keys(df: DataFrame, url_col: str, depth: int) -> DataFrame:
 
 
 def evaluate(captures: DataFrame, events: DataFrame, url_col: str = "url", day_col: str = "fetched", period_days: int = PERIOD_DAYS) -> DataFrame:
-    """``captures`` with ``host`` and ``lists``: the sorted names of the lists that block the capture."""
+    """``captures`` with ``host`` and ``lists``: the sorted names of the lists that block the capture.
+
+    Columns of ``captures`` that already have these two names are replaced.
+    """
     valid = intervals(events)
     depth = valid.where("kind = 'prefix'").agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     period = lambda c: F.floor(F.unix_date(c) / period_days)
     last = captures.agg(F.max(F.col(day_col).cast("date"))).first()[0]
     horizon = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(last)), F.lit(last))
     spread = valid.where(F.col("valid_from") <= F.lit(last)).withColumn("period", F.explode(F.sequence(period(F.col("valid_from")), period(horizon))))
-    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("_row"), F.col(url_col).cast("string").alias("_url"), F.col(day_col).cast("date").alias("_day"))
+    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns if c not in ("host", "lists")]).alias("_row"), F.col(url_col).cast("string").alias("_url"), F.col(day_col).cast("date").alias("_day"))
     keyed = with_keys(rows.select("_url", "_day").where("_day IS NOT NULL").distinct(), "_url", depth)
     probes = keyed.select("_url", "_day", F.explode("lookups").alias("x")).select("_url", "_day", "x.*")
     asked = probes.select("kind", "key", "_day").distinct().withColumn("period", period(F.col("_day")))
