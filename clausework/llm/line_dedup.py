@@ -19,6 +19,7 @@ read, all columns are returned by ``deduplicated``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.llm import textnp
-from clausework.llm.linkage import bounded, link_components
+from clausework.llm.linkage import bounded, link_components, paired_texts
 from clausework.llm.shared import written
 
 EDITS, MIN_CHARS = 2, 20
+#: Characters of a gram in the finer keys of crowded segments.
+GRAM = 4
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -218,6 +221,16 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_text, pa.string())], names=["node", "text"])
 
 
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of each line that its anchor lacks."""
+    for batch in batches:
+        out = []
+        for a, b in zip(batch.column("q_text").to_pylist(), batch.column("h_text").to_pylist(), strict=True):
+            grams = {a[i : i + GRAM] for i in range(len(a) - GRAM + 1)} - {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}
+            out.append([int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for g in grams])
+        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(out, pa.list_(pa.int64()))], names=["node", "h", "grams"])
+
+
 def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line with a word: key, number, size, ``exact`` and ``near`` (either removes it)."""
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
@@ -244,7 +257,22 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
                 b.append(link)
         return a, b
 
-    linked = link_components(postings, texts, compare, first_link, F.lit(True), F.lit(True), "own")
+    def refine(pairs: DataFrame) -> DataFrame:
+        """Keys from the grams that a line has and its anchor has not, rarest first.
+
+        An edit changes at most ``GRAM`` grams of a line, so of two linked lines each has at most
+        ``edits * GRAM`` grams that the other lacks. Of a line with more grams beyond the anchor's,
+        any ``edits * GRAM + 1`` hold one that a linked line has too; lines with fewer are small.
+        """
+        most = edits * GRAM
+        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond, "node bigint, h bigint, grams array<bigint>"), "grams")
+        each = beyond.select("node", "h", F.explode("grams").alias("gram"))
+        often = each.groupBy("h", "gram").agg(F.count("*").alias("n"))
+        ranked = each.join(often, ["h", "gram"]).groupBy("node", "h").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, most + 1).alias("g"))
+        keyed = beyond.select("node", "h", (F.size("grams") <= most).alias("small")).join(ranked, ["node", "h"], "left")
+        return keyed.select("node", "h", F.coalesce(F.transform("g", lambda x: x["gram"]), F.array().cast("array<bigint>")).alias("keys"), "small")
+
+    linked = link_components(postings, texts, compare, first_link, F.lit(True), F.lit(True), "own", refine)
     classed = linked.join(firsts, linked.node == firsts.hash).select("node", "component", "at")
     tops = classed.groupBy("component").agg(F.min("at").alias("top"))
     tops = classed.join(tops, "component").select("node", "top")

@@ -24,6 +24,8 @@ from clausework.llm.shared import drop, written
 #: Rows that may be broadcast: ids of 8 to 24 bytes each, so some 24 MB at most.
 BROADCAST_ROWS = 400_000
 GROUP = 64
+#: Components of one key from which its items get finer keys.
+CROWD = 24
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -71,12 +73,17 @@ def _pairs(compare: Callable, max_bytes: int):
     return run
 
 
-def verify_pairs(pairs: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, max_bytes: int = 1 << 20) -> DataFrame:
-    """Edges (a, b) among ``pairs(q, h)``. ``texts(ids(node, ...), rows)`` adds ``text`` to rows."""
+def paired_texts(pairs: DataFrame, texts: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(q, h, q_text, h_text) of ``pairs(q, h)``. ``texts(ids(node, ...), rows)`` adds ``text`` to rows."""
     n = pairs.count()
     one = texts(pairs.select(F.col("q").alias("node"), "h"), n).select(F.col("node").alias("q"), "h", F.col("text").alias("q_text"))
     other = texts(pairs.select(F.col("h").alias("node")).distinct(), n).select(F.col("node").alias("h"), F.col("text").alias("h_text"))
-    return one.join(other.hint("merge"), "h").select("q", "h", "q_text", "h_text").mapInArrow(_pairs(compare, max_bytes), "a bigint, b bigint")
+    return one.join(other.hint("merge"), "h").select("q", "h", "q_text", "h_text")
+
+
+def verify_pairs(pairs: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, max_bytes: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) among ``pairs(q, h)``."""
+    return paired_texts(pairs, texts).mapInArrow(_pairs(compare, max_bytes), "a bigint, b bigint")
 
 
 def open_groups(queries: DataFrame, members: DataFrame, texts: Callable[[DataFrame, int], DataFrame], first_link: Callable) -> DataFrame:
@@ -99,7 +106,7 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: Callable[[DataFra
     return left.groupBy("gid", "part").cogroup(right.groupBy("gid", "part")).applyInArrow(run, "a bigint, b bigint")
 
 
-def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column, indexed: str | None = None) -> DataFrame:
+def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all linked items.
 
     ``postings(token, node, n)``: n is the item's size.  With ``indexed`` (a boolean column of the
@@ -107,6 +114,10 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     both.  ``near`` is a filter on (n, hn, c) for the first step, c the keys that item and anchor
     share there; ``may`` is the bound of the second step on (n, lo, hi, c): lo and hi are the sizes
     in the group, c the shared keys.
+
+    A key that more than ``CROWD`` components share would ask for all pairs of them. ``refine``
+    takes the items of such keys with the key's anchor, (node, h), and gives (node, h, keys, small):
+    two linked items of one anchor share one of ``keys`` or are both ``small``.
     """
     postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
     heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
@@ -118,11 +129,21 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     pairs = written(met.join(head_sizes, "h").where(near).select(F.col("node").alias("q"), "h"), "pairs")
     edges = written(verify_pairs(pairs, texts, compare), "links")
     components = connected_components(edges)
-    labelled = written(shared.join(components, "node", "left").select("token", "node", "n", "ix", F.coalesce("component", "node").alias("component")), "labelled")
+    labelled = written(shared.join(components, "node", "left").select("token", "node", "n", "ix", "h", F.coalesce("component", "node").alias("component")), "labelled")
     drop(shared, pairs)
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_rows = written(labelled.join(mixed, "token"), "open")
     drop(labelled)
+    if refine is not None:
+        crowds = written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > CROWD).select("token"), "crowds")
+        if not crowds.isEmpty():
+            crowded = written(open_rows.join(crowds, "token"), "crowded")
+            refined = written(refine(crowded.select(F.col("node").alias("q"), "h").distinct()), "refined")
+            both = crowded.join(refined, ["node", "h"])
+            small = both.where("small").select(F.xxhash64("token", F.lit("small")).alias("token"), "node", "n", "ix", "h", "component")
+            keyed = both.select("node", "n", "h", "component", "keys").dropDuplicates(["node", "h"]).select(F.explode("keys").alias("key"), "node", "n", "h", "component")
+            keyed = keyed.select(F.xxhash64("h", "key").alias("token"), "node", "n", F.lit(True).alias("ix"), "h", "component")
+            open_rows = written(open_rows.join(crowds, "token", "left_anti").select("token", "node", "n", "ix", "h", "component").union(small).union(keyed), "open")
     nodes = open_rows.select("component", "node", "n").distinct()
     chunks = nodes.groupBy("component").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
     placed = nodes.join(chunks, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), "chunks")).alias("gid"))

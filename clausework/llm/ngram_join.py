@@ -68,7 +68,7 @@ def token_lists(col: pa.Array, k: int, common: np.ndarray) -> Iterator[np.ndarra
 def _common(k: int, least: int = 3):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
-        for batch in textnp.slices(batches, "__text", 8 << 20):
+        for batch in textnp.slices(batches, "__text", 3 << 20):
             lists = list(token_lists(batch.column("__text"), k, none))
             value, count = np.unique(np.concatenate(lists), return_counts=True)
             often = count >= least

@@ -73,7 +73,7 @@ def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch of texts: ``starts``, ``ends`` (bytes), ``hashes``; ``first[i]`` is text i's first word."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, table: np.ndarray, hashed: bool = True, window: int = 2 << 20):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, table: np.ndarray, hashed: bool = True, window: int = 1 << 20):
         starts, ends, hashes = [], [], []
         n, at = len(data), 0
         edges = offs[1:-1]

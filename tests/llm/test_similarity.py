@@ -145,6 +145,24 @@ def test_line_decisions_match_brute_force(spark, edits):
         assert cut[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if not any(got.get((i, n), (False,))))
 
 
+def test_crowded_segments_match_brute_force(spark):
+    random.seed(11)
+    letters = "abcdefgh"
+    word = lambda: "".join(random.choice(letters) for _ in range(random.randint(4, 7)))
+    pool, docs = [word() for _ in range(6)], []
+    for _ in range(2):
+        base = [word() for _ in range(9)]
+        for _ in range(70):
+            w = list(base)
+            w[random.randrange(9)] = random.choice(pool) if random.random() < 0.5 else word()
+            docs.append((len(docs), changed(" ".join(w), random.choice([0, 0, 1, 2]), letters)))
+        docs.append((len(docs), " ".join(base)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    for edits in (1, 2):
+        got = {(r.key, r.number): (r.exact, r.near) for r in L.decisions(df, edits=edits, min_chars=10).collect()}
+        assert got == brute_lines(docs, edits, 10)
+
+
 def test_lines_of_odd_tables(spark):
     df = edge(spark)
     got = {r.doc_id: r for r in L.counts(df).collect()}
