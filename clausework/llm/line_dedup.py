@@ -34,6 +34,8 @@ from clausework.llm.shared import written
 EDITS, MIN_CHARS = 2, 20
 #: Characters of a gram in the finer keys of crowded segments.
 GRAM = 4
+#: Places that share a key there, if that is at least twice the edits.
+STRETCH = 8
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -179,27 +181,25 @@ def within(a: str, b: str, edits: int) -> bool:
     return distance <= edits
 
 
-def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in textnp.slices(batches, "__text"):
-        lines = Lines(batch.column("__text"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("__key").take(pa.array(lines.doc)), pa.array(lines.number, pa.int64()), pa.array(line_hashes(lines)), pa.array(lines.end - lines.first, pa.int64())], names=["key", "number", "hash", "size"]
-        )
+def _lines(edits: int, min_chars: int):
+    """One row per line; the first of equal lines in a slice also carries its segment keys."""
 
-
-def _postings(edits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textnp.slices(batches, "__text"):
             lines, known = Lines(batch.column("__text")), batch.column("__key").is_valid().to_numpy(zero_copy_only=False)
             for i, j, hashes in lines.spans():
-                first, end = lines.first[i:j], lines.end[i:j]
+                first, end, n = lines.first[i:j], lines.end[i:j], j - i
                 node = hashes.of(first, end).view(np.int64)
-                once = np.zeros(j - i, bool)
                 some = np.flatnonzero((end - first >= min_chars) & known[lines.doc[i:j]])
-                once[some[np.unique(node[some], return_index=True)[1]]] = True
-                pick = np.flatnonzero(once)
+                pick = np.sort(some[np.unique(node[some], return_index=True)[1]])
                 line, key, own = keys(hashes, first[pick], end[pick], edits)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[pick][line]), pa.array(own)], names=["token", "node", "own"])
+                columns = [batch.column("__key").take(pa.array(lines.doc[i:j])), pa.array(lines.number[i:j], pa.int64()), pa.array(node), pa.array(end - first, pa.int64())]
+                for which in (own, ~own):
+                    at = np.flatnonzero(which)
+                    at = at[np.argsort(line[at], kind="stable")]
+                    ends = np.cumsum(np.bincount(pick[line[at]], minlength=n))
+                    columns.append(textnp.as_list(key[at], np.concatenate([[0], ends]), pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "number", "hash", "size", "own", "probes"])
 
     return run
 
@@ -222,21 +222,63 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of each line that its anchor lacks."""
+    """Places of each line whose grams its anchor lacks, with those grams."""
     for batch in batches:
         out = []
         for a, b in zip(batch.column("q_text").to_pylist(), batch.column("h_text").to_pylist(), strict=True):
-            grams = {a[i : i + GRAM] for i in range(len(a) - GRAM + 1)} - {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}
-            out.append([int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for g in grams])
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(out, pa.list_(pa.int64()))], names=["node", "h", "grams"])
+            known = {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}
+            grams = ((a[i : i + GRAM], i) for i in range(len(a) - GRAM + 1))
+            out.append([{"gram": int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), "pos": i} for g, i in grams if g not in known])
+        kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(out, kind)], names=["node", "h", "grams"])
+
+
+def _hashed(h: int, kind: int, a, b) -> np.ndarray:
+    """64-bit keys of (h, kind, a, b) for arrays a and b."""
+    a, b = np.asarray(a, np.int64).view(_U), np.asarray(b, np.int64).view(_U)
+    with np.errstate(over="ignore"):
+        return textnp.mix(textnp.mix(textnp.mix(np.asarray([h], np.int64).view(_U) + _U(kind)) ^ a) + b * _U(_BASE))
+
+
+def _refined(edits: int):
+    """Keys of each line under which it is found (``own``) and looks for others (``probes``); see ``refine``."""
+    stretch, reach = max(STRETCH, 2 * edits), GRAM - 1 + edits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, probes = [], []
+            for h, grams, common in zip(batch.column("h").to_pylist(), batch.column("grams").to_pylist(), batch.column("common").to_pylist(), strict=True):
+                known = set(common or ())
+                places = [(x["gram"], x["pos"]) for x in grams if x["gram"] not in known]
+                apart: list[tuple[int, int]] = []
+                for g, p in places:
+                    if not apart or p >= apart[-1][1] + GRAM:
+                        apart.append((g, p))
+                need = len(apart)
+                g, p = np.array([x[0] for x in places], np.int64), np.array([x[1] for x in places], np.int64)
+                held, asked = [_hashed(h, 0, g, p // stretch)], []
+                if need > edits:
+                    g, p = np.array([x[0] for x in apart[: edits + 1]], np.int64), np.array([x[1] for x in apart[: edits + 1]], np.int64)
+                else:
+                    held += [_hashed(h, 1, p // (4 * reach), 0), _hashed(h, 2, [need], 0)]
+                    asked += [_hashed(h, 1, (p + x) // (4 * reach), 0) for x in (-reach, reach)] + [_hashed(h, 2, np.arange(edits - need + 1), 0)]
+                asked += [_hashed(h, 0, g, (p + x) // stretch) for x in (-edits, edits)]
+                own.append(np.unique(np.concatenate(held)).view(np.int64))
+                probes.append(np.unique(np.concatenate(asked)).view(np.int64))
+            lists = [textnp.as_list(np.concatenate(x) if x else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int64()) for x in (own, probes)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), *lists], names=["node", "h", "own", "probes"])
+
+    return run
 
 
 def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line with a word: key, number, size, ``exact`` and ``near`` (either removes it)."""
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
-    lines = written(rows.mapInArrow(_slim, "key bigint, number bigint, hash bigint, size bigint"), "lines")
+    parsed = rows.mapInArrow(_lines(edits, max(min_chars, edits + 1)), "key bigint, number bigint, hash bigint, size bigint, own array<bigint>, probes array<bigint>")
+    lines = written(parsed, "lines")
     firsts = written(lines.groupBy("hash").agg(F.min(F.struct("key", "number")).alias("at"), F.min("key").alias("known")), "firsts")
-    postings = rows.mapInArrow(_postings(edits, max(min_chars, edits + 1)), "token bigint, node bigint, own boolean").withColumn("n", F.lit(0))
+    index = lines.select(F.explode("own").alias("token"), F.col("hash").alias("node"), F.lit(True).alias("own"), F.lit(0).alias("n"))
+    postings = index.union(lines.select(F.explode("probes").alias("token"), F.col("hash").alias("node"), F.lit(False), F.lit(0)))
 
     def texts(ids: DataFrame, n: int) -> DataFrame:
         """Texts by line: one document that holds the line is read, whichever has the smallest id."""
@@ -258,21 +300,23 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
         return a, b
 
     def refine(pairs: DataFrame) -> DataFrame:
-        """Keys from the grams that a line has and its anchor has not, rarest first.
-
-        An edit changes at most ``GRAM`` grams of a line, so of two linked lines each has at most
-        ``edits * GRAM`` grams that the other lacks. Of a line with more grams beyond the anchor's,
-        any ``edits * GRAM + 1`` hold one that a linked line has too; lines with fewer are small.
+        """Keys from what a line has beyond its anchor.
+
+        A place of a line is beyond if its gram is neither in the anchor nor common among the
+        anchor's lines.  An edit changes ``GRAM`` neighbouring places at most and moves others by
+        one.  Of two linked lines, either one has a beyond place that the other has too, at most
+        ``edits`` away, or the edits change all of both.  A line with more than ``edits`` places
+        that no edit can change together finds the others by the first of these.  Of two lines
+        with fewer, either share a place, or one edit changes places of both, which are then near,
+        or the edits that each needs add up to ``edits`` at most.
         """
-        most = edits * GRAM
-        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond, "node bigint, h bigint, grams array<bigint>"), "grams")
-        each = beyond.select("node", "h", F.explode("grams").alias("gram"))
-        often = each.groupBy("h", "gram").agg(F.count("*").alias("n"))
-        ranked = each.join(often, ["h", "gram"]).groupBy("node", "h").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, most + 1).alias("g"))
-        keyed = beyond.select("node", "h", (F.size("grams") <= most).alias("small")).join(ranked, ["node", "h"], "left")
-        return keyed.select("node", "h", F.coalesce(F.transform("g", lambda x: x["gram"]), F.array().cast("array<bigint>")).alias("keys"), "small")
-
-    linked = link_components(postings, texts, compare, first_link, F.lit(True), F.lit(True), "own", refine)
+        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond, "node bigint, h bigint, grams array<struct<gram:bigint,pos:int>>"), "grams")
+        often = beyond.select("h", F.explode("grams.gram").alias("gram")).groupBy("h", "gram").agg(F.count("*").alias("n"))
+        many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 8).alias("most"))
+        common = often.join(many, "h").where("n > most").groupBy("h").agg(F.collect_list("gram").alias("common"))
+        return beyond.join(common, "h", "left").select("node", "h", "grams", "common").mapInArrow(_refined(edits), "node bigint, h bigint, own array<bigint>, probes array<bigint>")
+
+    linked = link_components(postings, texts, compare, first_link, F.lit(True), None, "own", refine)
     classed = linked.join(firsts, linked.node == firsts.hash).select("node", "component", "at")
     tops = classed.groupBy("component").agg(F.min("at").alias("top"))
     tops = classed.join(tops, "component").select("node", "top")

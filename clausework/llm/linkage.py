@@ -25,7 +25,7 @@ from clausework.llm.shared import drop, written
 BROADCAST_ROWS = 400_000
 GROUP = 64
 #: Components of one key from which its items get finer keys.
-CROWD = 24
+CROWD = 8
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -106,18 +106,18 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: Callable[[DataFra
     return left.groupBy("gid", "part").cogroup(right.groupBy("gid", "part")).applyInArrow(run, "a bigint, b bigint")
 
 
-def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column | None, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all linked items.
 
     ``postings(token, node, n)``: n is the item's size.  With ``indexed`` (a boolean column of the
     postings) only such postings are the index and all postings probe it; else every posting is
     both.  ``near`` is a filter on (n, hn, c) for the first step, c the keys that item and anchor
     share there; ``may`` is the bound of the second step on (n, lo, hi, c): lo and hi are the sizes
-    in the group, c the shared keys.
+    in the group, c the shared keys; None opens all groups met.
 
     A key that more than ``CROWD`` components share would ask for all pairs of them. ``refine``
-    takes the items of such keys with the key's anchor, (node, h), and gives (node, h, keys, small):
-    two linked items of one anchor share one of ``keys`` or are both ``small``.
+    takes the items of such keys with the key's anchor, (node, h), and gives (node, h, own, probes):
+    of two linked items of one anchor, one has a key in ``probes`` that the other has in ``own``.
     """
     postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
     heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
@@ -132,26 +132,27 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     labelled = written(shared.join(components, "node", "left").select("token", "node", "n", "ix", "h", F.coalesce("component", "node").alias("component")), "labelled")
     drop(shared, pairs)
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_rows = written(labelled.join(mixed, "token"), "open")
+    open_rows = written(labelled.join(mixed, "token").withColumn("asks", F.lit(True)), "open")
     drop(labelled)
     if refine is not None:
         crowds = written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > CROWD).select("token"), "crowds")
         if not crowds.isEmpty():
             crowded = written(open_rows.join(crowds, "token"), "crowded")
             refined = written(refine(crowded.select(F.col("node").alias("q"), "h").distinct()), "refined")
-            both = crowded.join(refined, ["node", "h"])
-            small = both.where("small").select(F.xxhash64("token", F.lit("small")).alias("token"), "node", "n", "ix", "h", "component")
-            keyed = both.select("node", "n", "h", "component", "keys").dropDuplicates(["node", "h"]).select(F.explode("keys").alias("key"), "node", "n", "h", "component")
-            keyed = keyed.select(F.xxhash64("h", "key").alias("token"), "node", "n", F.lit(True).alias("ix"), "h", "component")
-            open_rows = written(open_rows.join(crowds, "token", "left_anti").select("token", "node", "n", "ix", "h", "component").union(small).union(keyed), "open")
+            both = refined.join(crowded.select("node", "h", "n", "component").distinct(), ["node", "h"])
+            own = both.select(F.explode("own").alias("token"), "node", "n", F.lit(True), "component", F.lit(False))
+            probes = both.select(F.explode("probes").alias("token"), "node", "n", F.lit(False), "component", F.lit(True))
+            others = open_rows.join(crowds, "token", "left_anti").select("token", "node", "n", "ix", "component", "asks")
+            open_rows = written(others.union(own).union(probes), "open")
     nodes = open_rows.select("component", "node", "n").distinct()
     chunks = nodes.groupBy("component").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
     placed = nodes.join(chunks, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), "chunks")).alias("gid"))
     members = written(nodes.join(placed, "node").select("gid", "component", "node", "n"), "members")
     sizes = members.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     matrix = open_rows.where("ix").join(members.select("node", "gid"), "node").select("token", "gid", F.col("component").alias("owner")).distinct()
-    met = open_rows.join(matrix, "token").where("component <> owner" if indexed else "component > owner").groupBy("node", "gid").agg(F.first("n").alias("n"), F.count("*").alias("c"))
-    wanted = written(met.join(sizes, "gid").where(may).select(F.col("node").alias("q"), "gid"), "wanted")
+    met = open_rows.where("asks").join(matrix, "token").where("component <> owner" if indexed else "component > owner").groupBy("node", "gid").agg(F.first("n").alias("n"), F.count("*").alias("c"))
+    bound = met if may is None else met.join(sizes, "gid").where(may)
+    wanted = written(bound.select(F.col("node").alias("q"), "gid"), "wanted")
     if wanted.isEmpty():
         return components
     more = written(open_groups(wanted, members.join(wanted.select("gid").distinct(), "gid", "left_semi").select("gid", "node"), texts, first_link), "links")
