@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clausework.llm.linkage import bounded
 from clausework.llm.shared import drop, new_folder, written
 
 MAGIC = "WARC/1.0\r\n"
@@ -36,8 +37,10 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("bytes", F.octet_length("payload"))
-    firsts = rows.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(firsts.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"), "left")
+    firsts = rows.where(F.col("bytes") >= MIN_REVISIT).groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = written(firsts, "warc-firsts")
+    # payloads are shuffled only if there are more repeated ones than may be broadcast
+    joined = rows.join(bounded(firsts, firsts.count()), F.col("digest") == F.col("d"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
