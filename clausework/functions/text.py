@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACES = r"[\x09-\x0D\x{85}\p{Z}]+"
 TOKENS = r"[\p{L}\p{N}]{2,}"
@@ -22,7 +23,7 @@ LANGUAGE_WORDS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no built-in for it."""
     return texts.str.normalize("NFC")
@@ -109,7 +110,8 @@ def heading_split(text: Column) -> Column:
     return F.struct(F.when(split, head).when(alone, text).otherwise(none).alias("heading"), F.when(split, body).when(alone, none).otherwise(text).alias("body"))
 
 
-NUMBERED = r"(?iu)^\s*(?:(Article|Điều|Pasal|Fasal)\s+(\d+(?:\.\d+)*)|(\d+(?:\.\d+)*)[.)])[.:]?\s*(.*)$"
+#: Fixed value: numbers of clauses ("1.", "1.2)", "Article 5", "Điều 7") and what follows them.
+NUMBERED = r"(?iu)^(?:(article|clause|section|điều|pasal|fasal)\s+(\d{1,3})[.:]?|(\d{1,3}(?:\.\d{1,3})*)[.)]?)\s+(\S.*)$"
 
 
 def clause_number(text: Column) -> Column:

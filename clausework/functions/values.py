@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 FIGURE = r"\d[\d.,]*\d|\d"
 CURRENCY = r"VND|VNĐ|đồng|RM|MYR|S\$|SGD|US\$|USD|Rp|IDR|EUR|€|\$"
@@ -85,6 +86,6 @@ def word_number(words: list[str]) -> int | None:
     return total + group if seen else None
 
 
-@F.udf("bigint", useArrow=True)
+@F.udf(LongType(), useArrow=True)
 def words_to_int(text: str) -> int:
     return word_number((text or "").lower().replace("-", " ").split())
