@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,6 +234,15 @@ def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(out, kind)], names=["node", "h", "grams"])
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, gram, n) of each batch, counted before anything is shuffled; lines of one anchor come together."""
+    for batch in batches:
+        lists = batch.column("grams")
+        t = pa.table({"h": batch.column("h").take(pa.compute.list_parent_indices(lists)), "gram": lists.flatten().field("gram")})
+        t = t.group_by(["h", "gram"]).aggregate([("gram", "count")]).select(["h", "gram", "gram_count"]).rename_columns(["h", "gram", "n"])
+        yield from t.combine_chunks().to_batches()
+
+
 def _hashed(h: int, kind: int, a, b) -> np.ndarray:
     """64-bit keys of (h, kind, a, b) for arrays a and b."""
     a, b = np.asarray(a, np.int64).view(_U), np.asarray(b, np.int64).view(_U)
@@ -311,7 +321,7 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
         or the edits that each needs add up to ``edits`` at most.
         """
         beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond, "node bigint, h bigint, grams array<struct<gram:bigint,pos:int>>"), "grams")
-        often = beyond.select("h", F.explode("grams.gram").alias("gram")).groupBy("h", "gram").agg(F.count("*").alias("n"))
+        often = beyond.select("h", "grams").mapInArrow(_gram_counts, "h bigint, gram bigint, n bigint").groupBy("h", "gram").agg(F.sum("n").alias("n"))
         many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 8).alias("most"))
         common = often.join(many, "h").where("n > most").groupBy("h").agg(F.collect_list("gram").alias("common"))
         return beyond.join(common, "h", "left").select("node", "h", "grams", "common").mapInArrow(_refined(edits), "node bigint, h bigint, own array<bigint>, probes array<bigint>")
