@@ -20,7 +20,7 @@ read, all columns are returned by ``deduplicated``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -250,6 +250,15 @@ def _hashed(h: int, kind: int, a, b) -> np.ndarray:
         return textnp.mix(textnp.mix(textnp.mix(np.asarray([h], np.int64).view(_U) + _U(kind)) ^ a) + b * _U(_BASE))
 
 
+def _apart(places: Iterable[int]) -> int:
+    """The fewest edits that change all these places of a line."""
+    n, free = 0, 0
+    for p in sorted(places):
+        if p >= free:
+            n, free = n + 1, p + GRAM
+    return n
+
+
 def _refined(edits: int):
     """Keys of each line under which it is found (``own``) and looks for others (``probes``); see ``refine``."""
     stretch, reach = max(STRETCH, 2 * edits), GRAM - 1 + edits
@@ -259,20 +268,18 @@ def _refined(edits: int):
             own, probes = [], []
             for h, grams, common in zip(batch.column("h").to_pylist(), batch.column("grams").to_pylist(), batch.column("common").to_pylist(), strict=True):
                 known = set(common or ())
-                places = [(x["gram"], x["pos"]) for x in grams if x["gram"] not in known]
-                apart: list[tuple[int, int]] = []
-                for g, p in places:
-                    if not apart or p >= apart[-1][1] + GRAM:
-                        apart.append((g, p))
-                need = len(apart)
-                g, p = np.array([x[0] for x in places], np.int64), np.array([x[1] for x in places], np.int64)
-                held, asked = [_hashed(h, 0, g, p // stretch)], []
-                if need > edits:
-                    g, p = np.array([x[0] for x in apart[: edits + 1]], np.int64), np.array([x[1] for x in apart[: edits + 1]], np.int64)
-                else:
+                places = sorted((x["gram"], x["pos"]) for x in grams if x["gram"] not in known)
+                need = n = 0
+                while n < len(places) and need <= edits:
+                    gram = places[n][0]
+                    while n < len(places) and places[n][0] == gram:
+                        n += 1
+                    need = _apart(p for _, p in places[:n])
+                g, p = np.array([x[0] for x in places[:n]], np.int64), np.array([x[1] for x in places[:n]], np.int64)
+                held, asked = [_hashed(h, 0, g, p // stretch)], [_hashed(h, 0, g, (p + x) // stretch) for x in (-edits, edits)]
+                if need <= edits:
                     held += [_hashed(h, 1, p // (4 * reach), 0), _hashed(h, 2, [need], 0)]
                     asked += [_hashed(h, 1, (p + x) // (4 * reach), 0) for x in (-reach, reach)] + [_hashed(h, 2, np.arange(edits - need + 1), 0)]
-                asked += [_hashed(h, 0, g, (p + x) // stretch) for x in (-edits, edits)]
                 own.append(np.unique(np.concatenate(held)).view(np.int64))
                 probes.append(np.unique(np.concatenate(asked)).view(np.int64))
             lists = [textnp.as_list(np.concatenate(x) if x else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int64()) for x in (own, probes)]
@@ -314,11 +321,12 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
 
         A place of a line is beyond if its gram is neither in the anchor nor common among the
         anchor's lines.  An edit changes ``GRAM`` neighbouring places at most and moves others by
-        one.  Of two linked lines, either one has a beyond place that the other has too, at most
-        ``edits`` away, or the edits change all of both.  A line with more than ``edits`` places
-        that no edit can change together finds the others by the first of these.  Of two lines
-        with fewer, either share a place, or one edit changes places of both, which are then near,
-        or the edits that each needs add up to ``edits`` at most.
+        one.  Let the beyond grams of each line stand in one fixed order.  Those before the first gram
+        that two linked lines share at most ``edits`` apart are all changed by the edits, so
+        both lines have it among the shortest run of first grams whose places ``edits`` edits cannot
+        change together; these are the keys.  Lines all of whose places so many edits can change may
+        share none: then one edit changes places of both, which are near, or the edits that each
+        needs add up to ``edits`` at most.
         """
         beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond, "node bigint, h bigint, grams array<struct<gram:bigint,pos:int>>"), "grams")
         often = beyond.select("h", "grams").mapInArrow(_gram_counts, "h bigint, gram bigint, n bigint").groupBy("h", "gram").agg(F.sum("n").alias("n"))
