@@ -117,7 +117,8 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
 
     A key that more than ``CROWD`` components share would ask for all pairs of them. ``refine``
     takes the items of such keys with the key's anchor, (node, h), and gives (node, h, own, probes):
-    of two linked items of one anchor, one has a key in ``probes`` that the other has in ``own``.
+    of two linked items of one anchor, each has a key in ``probes`` that the other has in ``own``, so
+    that only the item of the greater component asks.
     """
     postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
     heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
@@ -132,7 +133,7 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     labelled = written(shared.join(components, "node", "left").select("token", "node", "n", "ix", "h", F.coalesce("component", "node").alias("component")), "labelled")
     drop(shared, pairs)
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_rows = written(labelled.join(mixed, "token").withColumn("asks", F.lit(True)), "open")
+    open_rows = written(labelled.join(mixed, "token").withColumns({"asks": F.lit(True), "mutual": F.lit(not indexed)}), "open")
     drop(labelled)
     if refine is not None:
         crowds = written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > CROWD).select("token"), "crowds")
@@ -140,9 +141,9 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
             crowded = written(open_rows.join(crowds, "token"), "crowded")
             refined = written(refine(crowded.select(F.col("node").alias("q"), "h").distinct()), "refined")
             both = refined.join(crowded.select("node", "h", "n", "component").distinct(), ["node", "h"])
-            own = both.select(F.explode("own").alias("token"), "node", "n", F.lit(True), "component", F.lit(False))
-            probes = both.select(F.explode("probes").alias("token"), "node", "n", F.lit(False), "component", F.lit(True))
-            others = open_rows.join(crowds, "token", "left_anti").select("token", "node", "n", "ix", "component", "asks")
+            own = both.select(F.explode("own").alias("token"), "node", "n", F.lit(True), "component", F.lit(False), F.lit(True))
+            probes = both.select(F.explode("probes").alias("token"), "node", "n", F.lit(False), "component", F.lit(True), F.lit(True))
+            others = open_rows.join(crowds, "token", "left_anti").select("token", "node", "n", "ix", "component", "asks", "mutual")
             open_rows = written(others.union(own).union(probes), "open")
     nodes = open_rows.select("component", "node", "n").distinct()
     chunks = nodes.groupBy("component").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
@@ -150,7 +151,7 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     members = written(nodes.join(placed, "node").select("gid", "component", "node", "n"), "members")
     sizes = members.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     matrix = open_rows.where("ix").join(members.select("node", "gid"), "node").select("token", "gid", F.col("component").alias("owner")).distinct()
-    met = open_rows.where("asks").join(matrix, "token").where("component <> owner" if indexed else "component > owner").groupBy("node", "gid").agg(F.first("n").alias("n"), F.count("*").alias("c"))
+    met = open_rows.where("asks").join(matrix, "token").where("component > owner OR component < owner AND NOT mutual").groupBy("node", "gid").agg(F.first("n").alias("n"), F.count("*").alias("c"))
     bound = met if may is None else met.join(sizes, "gid").where(may)
     wanted = written(bound.select(F.col("node").alias("q"), "gid"), "wanted")
     if wanted.isEmpty():
