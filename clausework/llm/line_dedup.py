@@ -85,7 +85,7 @@ class Lines:
         self.first, self.end = solid[a[some]], solid[b[some] - 1] + 1
         self.doc, self.number = owner[some], number[some]
 
-    def spans(self, most: int = 4 << 20) -> Iterator[tuple[int, int, "Hashes"]]:
+    def spans(self, most: int = 1 << 20) -> Iterator[tuple[int, int, "Hashes"]]:
         """Runs of lines [i, j) with a hasher; a run spans about ``most`` code points."""
         i, n = 0, len(self.first)
         while i < n:
@@ -186,7 +186,7 @@ def _lines(edits: int, min_chars: int):
     """One row per line; the first of equal lines in a slice also carries its segment keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textnp.slices(batches, "__text"):
+        for batch in textnp.slices(batches, "__text", 1 << 20):
             lines, known = Lines(batch.column("__text")), batch.column("__key").is_valid().to_numpy(zero_copy_only=False)
             for i, j, hashes in lines.spans():
                 first, end, n = lines.first[i:j], lines.end[i:j], j - i
@@ -207,7 +207,7 @@ def _lines(edits: int, min_chars: int):
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of wanted lines: rows hold a document and the hashes wanted from it."""
-    for batch in textnp.slices(batches, "__text"):
+    for batch in textnp.slices(batches, "__text", 1 << 20):
         lines = Lines(batch.column("__text"))
         node = line_hashes(lines)
         at = np.searchsorted(lines.doc, np.arange(batch.num_rows + 1))
