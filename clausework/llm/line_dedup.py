@@ -7,6 +7,14 @@ number and the difference of the lengths.  So each line puts its segments into a
 segment number, substring) and probes the substrings at those places for each length from its own
 down to ``edits`` less.  Candidates are verified by banded bit-parallel edit distance.
 
+Long lines also link by words, with a bound that grows with the line: two lines of at least ``words``
+words link when the edit distance of their words is at most one for each full ``words`` words of the
+shorter.  Such lines share a run of ``SPAN`` words, whatever their length: in n words, n // 20 edits
+leave a run of at least (n - n // 20) / (n // 20 + 1) words, which is lowest at 20 words, with ten.
+Of each ``SPAN`` words in a row the least hash of the ``RUN``-word runs in them is a key, so a shared
+span gives a shared key and a line has keys in proportion to its length.  Words end at white space;
+a CJK character is a word of its own.
+
 Of every class of linked or equal lines the first line, by (document id, line number), stays and all
 others are removed.  Lines shorter than ``min_chars`` are only ever equal, not near; blank lines are
 no lines and stay.
@@ -20,6 +28,7 @@ read, all columns are returned by ``deduplicated``.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,14 +38,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausework.llm import textnp
-from clausework.llm.linkage import bounded, link_components, paired_texts
+from clausework.llm.linkage import bounded, connected_components, link_components, paired_texts
 from clausework.llm.shared import written
 
 EDITS, MIN_CHARS = 2, 20
+#: Words for each of which a long line may have one more word edit; no fewer than 2 * SPAN.
+WORDS = 20
+#: Words that linked long lines share in a row, and words of a key.
+SPAN, RUN = 10, 5
 #: Characters of a gram in the finer keys of crowded segments.
 GRAM = 4
+#: Words of a gram in the finer keys of long lines.
+WORD_GRAM = 2
 #: Places that share a key there, if that is at least twice the edits.
 STRETCH = 8
+_CJK = "\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{_CJK}]|[^ \t\n\x0b\x0c\r{_CJK}]+")
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -182,8 +199,78 @@ def within(a: str, b: str, edits: int) -> bool:
     return distance <= edits
 
 
-def _lines(edits: int, min_chars: int):
-    """One row per line; the first of equal lines in a slice also carries its segment keys."""
+def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each of the given lines, and the keys (line, key) of those with at least ``words`` words."""
+    base = hashes.base
+    part = points[base : base + len(hashes.sums) - 1]
+    solid = ~np.isin(part, (32, 9, 10, 11, 12, 13))
+    alone = (part >= 0x2E80) & (part <= 0xD7FF) | (part >= 0xF900) & (part <= 0xFAFF) | (part >= 0x20000) & (part <= 0x3FFFF)
+    # a word begins at a character behind white space or beside a CJK one, and with each line, as nothing parts two texts
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1] | alone[1:] | alone[:-1]
+    begin[first - base] = True
+    starts = np.flatnonzero(begin) + base
+    stop = np.append(starts[1:], base + len(part))
+    last = np.flatnonzero(solid) + base
+    ends = last[np.searchsorted(last, stop) - 1] + 1 if len(starts) else starts
+    line = np.searchsorted(first, starts, "right") - 1
+    inside = (line >= 0) & (starts < end[line])
+    starts, ends, line = starts[inside], ends[inside], line[inside]
+    n = np.bincount(line, minlength=len(first))
+    long = n[line] >= words
+    starts, ends, line = starts[long], ends[long], line[long]
+    windows = len(starts) - SPAN + 1
+    if windows < 1:
+        return n, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = textnp.shingles(hashes.of(starts, ends), RUN)
+    least = grams[:windows]
+    for i in range(1, SPAN - RUN + 1):
+        least = np.minimum(least, grams[i : i + windows])
+    whole = line[:windows] == line[SPAN - 1 :]
+    line, key = line[:windows][whole], least[whole].view(np.int64)
+    order = np.lexsort((key, line))
+    line, key = line[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+    return n, line[new], key[new]
+
+
+def words_within(a: list[str], b: list[str], words: int) -> bool:
+    """Whether the edit distance of two lists of words is at most one for each ``words`` words of the shorter: bit-parallel, one bit for each word of a."""
+    edits = min(len(a), len(b)) // words
+    if not edits or abs(len(a) - len(b)) > edits:
+        return False
+    one, two = set(a), set(b)
+    if len(one - two) > edits or len(two - one) > edits:
+        return False
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return max(len(a), len(b)) <= edits
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    ones, corner = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = ones, 0, len(a)
+    for j, w in enumerate(b, 1):
+        same = places.get(w, 0)
+        zero = (((same & up) + up) ^ up) | same
+        right, left = (down | ~(zero | up)) & ones, up & zero
+        distance += bool(right & corner) - bool(left & corner)
+        if distance - (len(b) - j) > edits:
+            return False
+        right, side = right << 1 | 1, same | down
+        up, down = (left << 1 | ~(side | right)) & ones, right & side & ones
+    return distance <= edits
+
+
+def _lines(edits: int, min_chars: int, words: int):
+    """One row per line; the first of equal lines in a slice also carries its segment keys and word keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textnp.slices(batches, "__text", 1 << 20):
@@ -195,12 +282,16 @@ def _lines(edits: int, min_chars: int):
                 pick = np.sort(some[np.unique(node[some], return_index=True)[1]])
                 line, key, own = keys(hashes, first[pick], end[pick], edits)
                 columns = [batch.column("__key").take(pa.array(lines.doc[i:j])), pa.array(lines.number[i:j], pa.int64()), pa.array(node), pa.array(end - first, pa.int64())]
+                n_words, long, word = word_keys(hashes, lines.points, first, end, words)
+                picked = np.isin(long, pick)
+                long, word = long[picked], word[picked]
+                columns += [pa.array(n_words, pa.int64()), textnp.as_list(word, np.concatenate([[0], np.cumsum(np.bincount(long, minlength=n))]), pa.int64())]
                 for which in (own, ~own):
                     at = np.flatnonzero(which)
                     at = at[np.argsort(line[at], kind="stable")]
                     ends = np.cumsum(np.bincount(pick[line[at]], minlength=n))
                     columns.append(textnp.as_list(key[at], np.concatenate([[0], ends]), pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "number", "hash", "size", "own", "probes"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "number", "hash", "size", "n_words", "runs", "own", "probes"])
 
     return run
 
@@ -222,16 +313,27 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_text, pa.string())], names=["node", "text"])
 
 
-def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of each line whose grams its anchor lacks, with those grams."""
-    for batch in batches:
-        out = []
-        for a, b in zip(batch.column("q_text").to_pylist(), batch.column("h_text").to_pylist(), strict=True):
-            known = {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}
-            grams = ((a[i : i + GRAM], i) for i in range(len(a) - GRAM + 1))
-            out.append([{"gram": int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), "pos": i} for g, i in grams if g not in known])
-        kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(out, kind)], names=["node", "h", "grams"])
+def _beyond(by_words: bool):
+    """Places of each line whose grams its anchor lacks, with those grams; of how many characters or words it is."""
+
+    def grams(text: str) -> tuple[int, list[str]]:
+        if not by_words:
+            return len(text), [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+        w = _WORD.findall(text)
+        return len(w), [" ".join(w[i : i + WORD_GRAM]) for i in range(len(w) - WORD_GRAM + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, sizes = [], []
+            for a, b in zip(batch.column("q_text").to_pylist(), batch.column("h_text").to_pylist(), strict=True):
+                known = set(grams(b)[1])
+                size, own = grams(a)
+                sizes.append(size)
+                out.append([{"gram": int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), "pos": i} for i, g in enumerate(own) if g not in known])
+            kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(out, kind)], names=["node", "h", "size", "grams"])
+
+    return run
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,15 +352,44 @@ def _hashed(h: int, kind: int, a, b) -> np.ndarray:
         return textnp.mix(textnp.mix(textnp.mix(np.asarray([h], np.int64).view(_U) + _U(kind)) ^ a) + b * _U(_BASE))
 
 
-def _apart(places: Iterable[int]) -> int:
+def _apart(places: Iterable[int], gram: int = GRAM) -> int:
     """The fewest edits that change all these places of a line."""
     n, free = 0, 0
     for p in sorted(places):
         if p >= free:
-            n, free = n + 1, p + GRAM
+            n, free = n + 1, p + gram
     return n
 
 
+def _first_grams(places: list[tuple[int, int]], edits: int, gram: int) -> tuple[int, int]:
+    """How many of the places (gram, place) make the shortest run of first grams that so many edits cannot change together, and the edits it takes."""
+    need = n = 0
+    while n < len(places) and need <= edits:
+        value = places[n][0]
+        while n < len(places) and places[n][0] == value:
+            n += 1
+        need = _apart((p for _, p in places[:n]), gram)
+    return n, need
+
+
+def _word_refined(words: int):
+    """As ``_refined``, by words: lines all of whose places their edits can change share one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for h, size, grams, common in zip(*(batch.column(c).to_pylist() for c in ("h", "size", "grams", "common")), strict=True):
+                known, edits = set(common or ()), size // words
+                places = sorted((x["gram"], x["pos"]) for x in grams if x["gram"] not in known)
+                n, need = _first_grams(places, edits, WORD_GRAM)
+                found = [_hashed(h, 3, [g for g, _ in places[:n]], 0)] + [_hashed(h, 4, [0], 0)] * (need <= edits)
+                held.append(np.unique(np.concatenate(found)).view(np.int64))
+            keys_ = textnp.as_list(np.concatenate(held) if held else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(x) for x in held])]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), keys_, keys_], names=["node", "h", "own", "probes"])
+
+    return run
+
+
 def _refined(edits: int):
     """Keys of each line under which it is found (``own``) and looks for others (``probes``); see ``refine``."""
     stretch, reach = max(STRETCH, 2 * edits), GRAM - 1 + edits
@@ -269,12 +400,7 @@ def _refined(edits: int):
             for h, grams, common in zip(batch.column("h").to_pylist(), batch.column("grams").to_pylist(), batch.column("common").to_pylist(), strict=True):
                 known = set(common or ())
                 places = sorted((x["gram"], x["pos"]) for x in grams if x["gram"] not in known)
-                need = n = 0
-                while n < len(places) and need <= edits:
-                    gram = places[n][0]
-                    while n < len(places) and places[n][0] == gram:
-                        n += 1
-                    need = _apart(p for _, p in places[:n])
+                n, need = _first_grams(places, edits, GRAM)
                 g, p = np.array([x[0] for x in places[:n]], np.int64), np.array([x[1] for x in places[:n]], np.int64)
                 held, asked = [_hashed(h, 0, g, p // stretch)], [_hashed(h, 0, g, (p + x) // stretch) for x in (-edits, edits)]
                 if need <= edits:
@@ -288,10 +414,12 @@ def _refined(edits: int):
     return run
 
 
-def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS) -> DataFrame:
     """One row per line with a word: key, number, size, ``exact`` and ``near`` (either removes it)."""
+    if words < 2 * SPAN:
+        raise ValueError(f"words must be at least {2 * SPAN}: shorter lines need not share {SPAN} words in a row")
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
-    parsed = rows.mapInArrow(_lines(edits, max(min_chars, edits + 1)), "key bigint, number bigint, hash bigint, size bigint, own array<bigint>, probes array<bigint>")
+    parsed = rows.mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, number bigint, hash bigint, size bigint, n_words bigint, runs array<bigint>, own array<bigint>, probes array<bigint>")
     lines = written(parsed, "lines")
     firsts = written(lines.groupBy("hash").agg(F.min(F.struct("key", "number")).alias("at"), F.min("key").alias("known")), "firsts")
     index = lines.select(F.explode("own").alias("token"), F.col("hash").alias("node"), F.lit(True).alias("own"), F.lit(0).alias("n"))
@@ -303,6 +431,8 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
         found = rows.join(bounded(where, n), "__key").select("__text", "wanted").mapInArrow(_find, "node bigint, text string").dropDuplicates(["node"])
         return ids.join(found, "node")
 
+    runs = lines.select(F.explode("runs").alias("token"), F.col("hash").alias("node"), F.col("n_words").alias("n"))
+
     def compare(one: pa.Array, two: pa.Array) -> list[bool]:
         return [within(a, b, edits) for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)]
 
@@ -316,7 +446,21 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
                 b.append(link)
         return a, b
 
-    def refine(pairs: DataFrame) -> DataFrame:
+    def compare_words(one: pa.Array, two: pa.Array) -> list[bool]:
+        return [words_within(_WORD.findall(a), _WORD.findall(b), words) for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)]
+
+    def first_word_link(ids: list[int], one: pa.ChunkedArray, others: list[int], two: pa.ChunkedArray) -> tuple[list[int], list[int]]:
+        members = [(m, _WORD.findall(text)) for m, text in zip(others, two.to_pylist(), strict=True)]
+        a, b = [], []
+        for q, text in zip(ids, one.to_pylist(), strict=True):
+            own = _WORD.findall(text)
+            link = next((m for m, other in members if m != q and words_within(own, other, words)), None)
+            if link is not None:
+                a.append(q)
+                b.append(link)
+        return a, b
+
+    def refine(pairs: DataFrame, by_words: bool = False) -> DataFrame:
         """Keys from what a line has beyond its anchor.
 
         A place of a line is beyond if its gram is neither in the anchor nor common among the
@@ -326,15 +470,21 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
         both lines have it among the shortest run of first grams whose places ``edits`` edits cannot
         change together; these are the keys.  Lines all of whose places so many edits can change may
         share none: then one edit changes places of both, which are near, or the edits that each
-        needs add up to ``edits`` at most.
+        needs add up to ``edits`` at most.  By words, ``edits`` is each line's own bound, which is no
+        less than that of a pair.
         """
-        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond, "node bigint, h bigint, grams array<struct<gram:bigint,pos:int>>"), "grams")
+        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond(by_words), "node bigint, h bigint, size bigint, grams array<struct<gram:bigint,pos:int>>"), "grams")
         often = beyond.select("h", "grams").mapInArrow(_gram_counts, "h bigint, gram bigint, n bigint").groupBy("h", "gram").agg(F.sum("n").alias("n"))
         many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 8).alias("most"))
         common = often.join(many, "h").where("n > most").groupBy("h").agg(F.collect_list("gram").alias("common"))
-        return beyond.join(common, "h", "left").select("node", "h", "grams", "common").mapInArrow(_refined(edits), "node bigint, h bigint, own array<bigint>, probes array<bigint>")
+        return beyond.join(common, "h", "left").select("node", "h", "size", "grams", "common").mapInArrow(_word_refined(words) if by_words else _refined(edits), "node bigint, h bigint, own array<bigint>, probes array<bigint>")
 
     linked = link_components(postings, texts, compare, first_link, F.lit(True), None, "own", refine)
+    # lengths that can link differ by one for each `words` words of the shorter
+    n, hn, lo, hi = (F.col(x) for x in ("n", "hn", "lo", "hi"))
+    fits = lambda a, b: b - a <= F.floor(a / words)
+    alike = link_components(runs, texts, compare_words, first_word_link, fits(n, hn) & fits(hn, n), fits(n, lo) & fits(hi, n), None, lambda pairs: refine(pairs, True))
+    linked = connected_components(linked.union(alike).select(F.col("node").alias("a"), F.col("component").alias("b")))
     classed = linked.join(firsts, linked.node == firsts.hash).select("node", "component", "at")
     tops = classed.groupBy("component").agg(F.min("at").alias("top"))
     tops = classed.join(tops, "component").select("node", "top")
@@ -343,9 +493,9 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     return lines.join(marks, "hash").select("key", "number", "size", (~here.eqNullSafe(F.col("at"))).alias("exact"), (here.eqNullSafe(F.col("at")) & ~F.col("at").eqNullSafe(F.col("top"))).alias("near"))
 
 
-def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS) -> DataFrame:
     """One row per input row: lines, lines removed as equal or near, characters that stay."""
-    per = decisions(df, id_col, text_col, edits, min_chars).select("key", "number", "size", "exact", "near").dropDuplicates(["key", "number", "size", "exact", "near"])
+    per = decisions(df, id_col, text_col, edits, min_chars, words).select("key", "number", "size", "exact", "near").dropDuplicates(["key", "number", "size", "exact", "near"])
     per = per.groupBy("key").agg(
         F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"), F.sum(F.when(~F.col("exact") & ~F.col("near"), F.col("size")).otherwise(0)).alias("kept_chars")
     )
@@ -354,9 +504,9 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits:
     return keys_.join(per, keys_["__key"].eqNullSafe(per["key"]), "left").select(F.col("__key").alias(id_col), zero("n_lines"), zero("n_exact"), zero("n_near"), zero("kept_chars"))
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, count_col: str | None = None) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS, count_col: str | None = None) -> DataFrame:
     """The rows of ``df`` with removed lines cut from their texts; ``count_col`` adds how many were cut."""
-    gone = decisions(df, id_col, text_col, edits, min_chars).where("exact OR near").groupBy(F.col("key").alias("__key")).agg(F.collect_set("number").alias("__gone"))
+    gone = decisions(df, id_col, text_col, edits, min_chars, words).where("exact OR near").groupBy(F.col("key").alias("__key")).agg(F.collect_set("number").alias("__gone"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).cast("bigint").alias("__id"))
     joined = rows.join(gone, F.col("__id").eqNullSafe(F.col("__key")), "left")
     text = F.col(f"__row.`{text_col}`").cast("string")

@@ -174,3 +174,56 @@ def test_lines_of_odd_tables(spark):
     assert out.columns == [*df.columns, "__n"] and out.count() == 11
     assert out.where(F.col("doc_id") == 2).first().text == ""
     assert L.deduplicated(df.limit(0)).count() == 0
+
+
+def long_lines(n_docs):
+    """Documents of long lines with replaced, added and lost words, a shared passage, CJK text and a very long line."""
+    vocabulary = [f"w{i}" for i in range(400)]
+    pick = lambda n: [random.choice(vocabulary) for _ in range(n)]
+    bases = [pick(n) for n in (19, 20, 21, 39, 40, 60, 61, 100, 130, 400)] + [["the"] * 45, [chr(0x4E00 + random.randint(0, 900)) for _ in range(50)]]
+    passage, docs = pick(30), []
+    for i in range(n_docs):
+        own = []
+        for _ in range(random.randint(1, 4)):
+            w = list(random.choice(bases))
+            cjk = "一" <= w[0][0]
+            for _ in range(random.choice([0, 1, 1, 2, 3, len(w) // 20, len(w) // 20 + 1])):
+                at, kind = random.randrange(len(w)), random.randint(0, 2)
+                w[at : at + (kind != 1)] = [random.choice(vocabulary)] * (kind != 2)
+            own.append(("" if cjk else " ").join(w))
+        docs.append((i, "\n".join([*own, " ".join(pick(15) + passage + pick(15))])))
+    return docs
+
+
+def test_long_lines_with_replaced_words_match_brute_force(spark):
+    random.seed(5)
+    docs = long_lines(60)
+    texts = sorted({x for _, t in docs for x in t.split("\n")})
+    split = {x: re.findall("[一-鿿]|[^ 一-鿿]+", x) for x in texts}
+    number = {x: i for i, x in enumerate(texts)}
+
+    def near(a, b):
+        w, v = split[a], split[b]
+        bound = min(len(w), len(v)) // 20
+        if abs(len(w) - len(v)) <= bound and len(set(w) - set(v)) <= bound and distance(w, v) <= bound:
+            return True
+        return abs(len(a) - len(b)) <= 2 and L.within(a, b, 2)
+
+    group = components(range(len(texts)), [(number[a], number[b]) for a in texts for b in texts if a < b and near(a, b)])
+    assert len({group[x] for x in group}) > 70 and len(group) - len(set(group.values())) > 30
+    own, top = {}, {}
+    lines = [(i, n, x) for i, t in docs for n, x in enumerate(t.split("\n"))]
+    for i, n, x in lines:
+        own.setdefault(x, (i, n))
+        top.setdefault(group[number[x]], (i, n))
+    want = {(i, n): (own[x] != (i, n), own[x] == (i, n) and top[group[number[x]]] != (i, n)) for i, n, x in lines}
+    got = {(r.key, r.number): (r.exact, r.near) for r in L.decisions(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_word_distance_matches_dynamic_programming():
+    random.seed(4)
+    for _ in range(3000):
+        a = [random.choice("abc") for _ in range(random.randint(4, 16))]
+        b = list(changed("".join(a), random.randint(0, 5), "abc"))
+        assert L.words_within(a, b, 4) == (distance(a, b) <= min(len(a), len(b)) // 4), (a, b)
