@@ -15,13 +15,14 @@ Of each ``SPAN`` words in a row the least hash of the ``RUN``-word runs in them
 span gives a shared key and a line has keys in proportion to its length.  Words end at white space;
 a CJK character is a word of its own.
 
-Of every class of linked or equal lines the first line, by (document id, line number), stays and all
-others are removed.  Lines shorter than ``min_chars`` are only ever equal, not near; blank lines are
+Of every class of linked or equal lines the first line, by (document id, hash of the whole text, line
+number), stays and all others are removed.  Lines shorter than ``min_chars`` are only ever equal, not near; blank lines are
 no lines and stay.
 
 Defined results: a null or empty text has no lines; a null id sorts first, and lines found only in
-rows without id are compared for equality alone; rows with equal ids are one document, so that
-repeated rows keep the same lines; an empty table gives an empty result; only the named columns are
+rows without id are compared for equality alone; rows with equal ids (or both without) and
+equal texts are one document, so that repeated rows keep the same lines, while different texts with
+one id, or without id, each lose their own lines alone; an empty table gives an empty result; only the named columns are
 read, all columns are returned by ``deduplicated``.
 """
 
@@ -281,7 +282,7 @@ def _lines(edits: int, min_chars: int, words: int):
                 some = np.flatnonzero((end - first >= min_chars) & known[lines.doc[i:j]])
                 pick = np.sort(some[np.unique(node[some], return_index=True)[1]])
                 line, key, own = keys(hashes, first[pick], end[pick], edits)
-                columns = [batch.column("__key").take(pa.array(lines.doc[i:j])), pa.array(lines.number[i:j], pa.int64()), pa.array(node), pa.array(end - first, pa.int64())]
+                columns = [*(batch.column(c).take(pa.array(lines.doc[i:j])) for c in ("__key", "__version")), pa.array(lines.number[i:j], pa.int64()), pa.array(node), pa.array(end - first, pa.int64())]
                 n_words, long, word = word_keys(hashes, lines.points, first, end, words)
                 picked = np.isin(long, pick)
                 long, word = long[picked], word[picked]
@@ -291,7 +292,7 @@ def _lines(edits: int, min_chars: int, words: int):
                     at = at[np.argsort(line[at], kind="stable")]
                     ends = np.cumsum(np.bincount(pick[line[at]], minlength=n))
                     columns.append(textnp.as_list(key[at], np.concatenate([[0], ends]), pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "number", "hash", "size", "n_words", "runs", "own", "probes"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "number", "hash", "size", "n_words", "runs", "own", "probes"])
 
     return run
 
@@ -415,13 +416,13 @@ def _refined(edits: int):
 
 
 def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS) -> DataFrame:
-    """One row per line with a word: key, number, size, ``exact`` and ``near`` (either removes it)."""
+    """One row per line with a word: key, version (hash of the whole text), number, size, ``exact`` and ``near`` (either removes it)."""
     if words < 2 * SPAN:
         raise ValueError(f"words must be at least {2 * SPAN}: shorter lines need not share {SPAN} words in a row")
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
-    parsed = rows.mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, number bigint, hash bigint, size bigint, n_words bigint, runs array<bigint>, own array<bigint>, probes array<bigint>")
+    parsed = rows.withColumn("__version", F.xxhash64("__text")).mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, version bigint, number bigint, hash bigint, size bigint, n_words bigint, runs array<bigint>, own array<bigint>, probes array<bigint>")
     lines = written(parsed, "lines")
-    firsts = written(lines.groupBy("hash").agg(F.min(F.struct("key", "number")).alias("at"), F.min("key").alias("known")), "firsts")
+    firsts = written(lines.groupBy("hash").agg(F.min(F.struct("key", "version", "number")).alias("at"), F.min("key").alias("known")), "firsts")
     index = lines.select(F.explode("own").alias("token"), F.col("hash").alias("node"), F.lit(True).alias("own"), F.lit(0).alias("n"))
     postings = index.union(lines.select(F.explode("probes").alias("token"), F.col("hash").alias("node"), F.lit(False), F.lit(0)))
 
@@ -489,26 +490,26 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     tops = classed.groupBy("component").agg(F.min("at").alias("top"))
     tops = classed.join(tops, "component").select("node", "top")
     marks = firsts.join(tops, firsts.hash == tops.node, "left").select("hash", "at", F.coalesce("top", "at").alias("top"))
-    here = F.struct("key", "number")
-    return lines.join(marks, "hash").select("key", "number", "size", (~here.eqNullSafe(F.col("at"))).alias("exact"), (here.eqNullSafe(F.col("at")) & ~F.col("at").eqNullSafe(F.col("top"))).alias("near"))
+    here = F.struct("key", "version", "number")
+    return lines.join(marks, "hash").select("key", "version", "number", "size", (~here.eqNullSafe(F.col("at"))).alias("exact"), (here.eqNullSafe(F.col("at")) & ~F.col("at").eqNullSafe(F.col("top"))).alias("near"))
 
 
 def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS) -> DataFrame:
     """One row per input row: lines, lines removed as equal or near, characters that stay."""
-    per = decisions(df, id_col, text_col, edits, min_chars, words).select("key", "number", "size", "exact", "near").dropDuplicates(["key", "number", "size", "exact", "near"])
-    per = per.groupBy("key").agg(
+    per = decisions(df, id_col, text_col, edits, min_chars, words).dropDuplicates(["key", "version", "number"])
+    per = per.groupBy("key", "version").agg(
         F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"), F.sum(F.when(~F.col("exact") & ~F.col("near"), F.col("size")).otherwise(0)).alias("kept_chars")
     )
-    keys_ = df.select(F.col(id_col).cast("bigint").alias("__key"))
+    keys_ = df.select(F.col(id_col).cast("bigint").alias("__key"), F.xxhash64(F.col(text_col).cast("string")).alias("__version"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return keys_.join(per, keys_["__key"].eqNullSafe(per["key"]), "left").select(F.col("__key").alias(id_col), zero("n_lines"), zero("n_exact"), zero("n_near"), zero("kept_chars"))
+    return keys_.join(per, keys_["__key"].eqNullSafe(per["key"]) & (keys_["__version"] == per["version"]), "left").select(F.col("__key").alias(id_col), zero("n_lines"), zero("n_exact"), zero("n_near"), zero("kept_chars"))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS, count_col: str | None = None) -> DataFrame:
     """The rows of ``df`` with removed lines cut from their texts; ``count_col`` adds how many were cut."""
-    gone = decisions(df, id_col, text_col, edits, min_chars, words).where("exact OR near").groupBy(F.col("key").alias("__key")).agg(F.collect_set("number").alias("__gone"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).cast("bigint").alias("__id"))
-    joined = rows.join(gone, F.col("__id").eqNullSafe(F.col("__key")), "left")
+    gone = decisions(df, id_col, text_col, edits, min_chars, words).where("exact OR near").groupBy(F.col("key").alias("__key"), F.col("version").alias("__version")).agg(F.collect_set("number").alias("__gone"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).cast("bigint").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__text_hash"))
+    joined = rows.join(gone, F.col("__id").eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__version")), "left")
     text = F.col(f"__row.`{text_col}`").cast("string")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("bigint"))), "\n")
     new = F.when(F.col("__gone").isNull(), text).otherwise(kept)

@@ -6,8 +6,8 @@ and a document of which no line stays goes; one document of each near-duplicate
 shingles, similarity 0.8 or more) stays, the one with the smallest id; contaminated documents go;
 the rest is packed.
 
-Rows with the same id are one document to the duplicate stages. Rows without id pass the near
-duplicate stage.
+Rows with the same id are one document to the near duplicate stage, and to line dedup if their texts
+are equal too. Rows without id pass the near duplicate stage.
 """
 
 from __future__ import annotations

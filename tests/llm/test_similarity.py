@@ -227,3 +227,14 @@ def test_word_distance_matches_dynamic_programming():
         a = [random.choice("abc") for _ in range(random.randint(4, 16))]
         b = list(changed("".join(a), random.randint(0, 5), "abc"))
         assert L.words_within(a, b, 4) == (distance(a, b) <= min(len(a), len(b)) // 4), (a, b)
+
+
+def test_texts_without_id_or_with_one_id_lose_their_own_lines_alone(spark):
+    rows = [(1, "seen before in the first text"), (None, "a line that comes twice here\na line that comes twice here"), (None, "top b\nonly here, far from all others"), (None, "x1\n\nthe same line at the same number"), (None, "y1\n\nthe same line at the same number")]
+    rows += [(7, "z1\nseen before in the first text"), (7, "z2\nstays as no other line is like it"), (7, "z2\nstays as no other line is like it")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(r.text for r in L.deduplicated(df).collect())
+    same = [t for t in got if t[:2] in ("x1", "y1")]
+    assert sorted(len(t.split("\n")) for t in same) == [2, 3]
+    assert [t for t in got if t not in same] == sorted(["seen before in the first text", "a line that comes twice here", "top b\nonly here, far from all others", "z1", "z2\nstays as no other line is like it", "z2\nstays as no other line is like it"])
+    assert sorted((r.n_lines, r.n_exact) for r in L.counts(df).collect() if r.doc_id == 7) == [(2, 0), (2, 0), (2, 1)]
