@@ -6,6 +6,8 @@ Search terms meet the documents' tokens in equi-joins; nothing is compared pair
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +45,20 @@ def reranked(hits: DataFrame, units: DataFrame, queries: DataFrame, k: int) -> D
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) by cosine: the stated query set, bounded by MAX_QUERIES, against all vectors."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: run them in blocks")
+    """(qid, id, score, rank) by cosine: all queries against all vectors.
+
+    More than MAX_QUERIES queries go in hash blocks of about half of that, each with its own top k.
+    """
+    n = queries.count()
+    if n > MAX_QUERIES:
+        blocks = -(-2 * n // MAX_QUERIES)
+        block = F.pmod(F.xxhash64("qid"), F.lit(blocks).cast("bigint"))
+        out = [_dense_block(vectors, queries.where(block == i), k) for i in range(blocks)]
+        return functools.reduce(DataFrame.union, out)
+    return _dense_block(vectors, queries, k)
+
+
+def _dense_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     q = queries.select("qid", F.col("embedding").alias("q"), F.sqrt(dot("embedding", "embedding")).alias("ql"))
     v = vectors.select("id", F.col("embedding").alias("v"), F.sqrt(dot("embedding", "embedding")).alias("vl"))

@@ -118,6 +118,23 @@ def rrf_fusion(spark, sf_dir):
     return S.fused(S.lexical(units(spark, sf_dir), passages(spark, sf_dir)).where("qid < 5"), _dense(spark, sf_dir), 10)
 
 
+def _dense_sample(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return S.dense(v, v.where("id % 20 = 0").withColumnRenamed("id", "qid"), 20)
+
+
+@query()
+def dense_topk_sample(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all vectors; ``dense_topk`` has the five of its SQL."""
+    return _dense_sample(spark, sf_dir)
+
+
+@query()
+def rrf_fusion_sample(spark, sf_dir):
+    """All query ids divisible by 20, lexical and dense."""
+    return S.fused(S.lexical(units(spark, sf_dir), passages(spark, sf_dir).where("qid % 20 = 0")), _dense_sample(spark, sf_dir), 10)
+
+
 @query(f"SELECT doc_id, translate(lower(text), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}') LIKE '%ution%' AS hit FROM documents WHERE text IS NOT NULL")
 def accent_insensitive_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.contains(T.unaccented(F.col("text")), F.lit("ution")).alias("hit"))
