@@ -24,3 +24,15 @@ def test_dense_over_every_twentieth_vector(spark, sf, monkeypatch):
     monkeypatch.setattr(S, "MAX_QUERIES", 2)
     assert sorted(map(tuple, catalog.QUERIES["dense_topk_sample"](spark, sf).collect())) == whole
     assert {r.qid for r in catalog.QUERIES["rrf_fusion_sample"](spark, sf).collect()} == set(want)
+
+
+def test_limiter_of_a_hot_key(spark):
+    random.seed(3)
+    hits = [(1, float(random.randint(0, 3000)), i) for i in range(600)] + [(None, float(random.randint(0, 400)), i) for i in range(600, 700)] + [(k, random.random() * 5000, 1000 + k) for k in range(50)] + [(1, None, 5000)]
+    want = {}
+    for key in {h[0] for h in hits}:
+        own = sorted((h for h in hits if h[0] == key and h[1] is not None), key=lambda h: h[1:])
+        want |= dict(zip((h[2] for h in own), limits.judge([h[1] for h in own], [], 2, 60.0)[0], strict=True))
+    df = limits.limited(spark.createDataFrame(hits, "key bigint, at double, hit_id bigint").repartition(3), limit=2)
+    assert {r.hit_id: r.allowed for r in df.collect()} == want | {5000: True}
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
