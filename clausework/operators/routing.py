@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Tiers in order, and the provider that is not a third party.
 TIERS = {"T0": 0, "T1": 1, "T2": 2}
 FIRST_PARTY = "self"
+#: Endpoints that are broadcast at once.
+MAX_ENDPOINTS = 10_000
 
 
 def tier(c: str | Column) -> Column:
@@ -23,9 +25,15 @@ def plan(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
 
     ``requests`` carry the merged policy: deny, allow (null: all; empty: first party alone),
     residency, requires, sizes, ``max_tier``, ``preferred_tier``, escalated, byo_providers, budget.
-    The endpoint table is a small catalogue.
+    A catalogue above ``MAX_ENDPOINTS`` is taken in hash blocks of about half of that; the ranks are
+    over all of them.
     """
-    p = requests.join(F.broadcast(endpoints.limit(10_000)), F.lit(True))
+    n = endpoints.count()
+    blocks = 1 if n <= MAX_ENDPOINTS else -(-2 * n // MAX_ENDPOINTS)
+    block = F.pmod(F.xxhash64("endpoint_id", "registry_pos"), F.lit(blocks).cast("bigint"))
+    p = requests.join(F.broadcast(endpoints if blocks == 1 else endpoints.where(block == 0)), F.lit(True))
+    for i in range(1, blocks):
+        p = p.union(requests.join(F.broadcast(endpoints.where(block == i)), F.lit(True)))
     third = F.array_except("parties", F.array(F.lit(FIRST_PARTY)))
     rank, most = tier("tier"), tier("max_tier")
     serves = lambda region: F.array_contains("regions", "*") | F.array_contains("regions", region)

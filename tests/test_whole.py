@@ -36,3 +36,11 @@ def test_limiter_of_a_hot_key(spark):
     df = limits.limited(spark.createDataFrame(hits, "key bigint, at double, hit_id bigint").repartition(3), limit=2)
     assert {r.hit_id: r.allowed for r in df.collect()} == want | {5000: True}
     assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_catalogue_above_one_block(spark):
+    one = spark.createDataFrame(texts.ENDPOINTS[1:2], texts.ENDPOINT_SCHEMA).drop("endpoint_id", "registry_pos")
+    n = routing.MAX_ENDPOINTS + 50
+    many = spark.range(n).select(F.concat(F.lit("e"), "id").alias("endpoint_id"), F.col("id").cast("int").alias("registry_pos")).join(one)
+    got = routing.plan(spark.createDataFrame(texts.REQUESTS[:1], texts.REQUEST_SCHEMA), many)
+    assert got.agg(F.count("*"), F.count_distinct("endpoint_id"), F.sum((F.col("rank") == F.substring("endpoint_id", 2, 9).cast("bigint") + 1).cast("int"))).first()[:] == (n, n, n)
