@@ -155,6 +155,18 @@ def lexical_support(spark, sf_dir):
     return both.select("conv_id", S.support(F.col("claim"), F.col("unit")).alias("r")).select("conv_id", "r.status", "r.score")
 
 
+@query(f"""WITH t AS (SELECT conv_id, turn, w FROM {TERMS("conversations", "conv_id, turn")}),
+n AS (SELECT a.conv_id, a.turn, count(*) AS n, count(b.w) AS o FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.w = b.w GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, CASE WHEN n IS NULL THEN 'not_found' WHEN o / n >= 0.6 THEN 'supported' WHEN o / n >= 0.3 THEN 'partial' ELSE 'not_found' END AS status, CAST(round(coalesce(o / n, 0), 3) AS DOUBLE) AS score
+FROM conversations c JOIN conversations d ON c.conv_id = d.conv_id AND d.turn = c.turn + 1 LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn""")
+def lexical_support_turns(spark, sf_dir):
+    """Each turn judged against the next one; ``lexical_support`` has the first of each conversation alone, as its SQL."""
+    c = table(spark, sf_dir, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("unit"))
+    both = c.select("conv_id", "turn", F.col("text").alias("claim")).join(after, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", S.support(F.col("claim"), F.col("unit")).alias("r")).select("conv_id", "turn", "r.status", "r.score")
+
+
 @query("""WITH j AS (SELECT n_chars > 1500 AS p, quality = 1 AS g, lang FROM labels JOIN documents USING (doc_id)), n AS (SELECT lang, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn FROM j GROUP BY lang)
 SELECT lang, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM n""")
 def micro_prf(spark, sf_dir):

@@ -44,3 +44,9 @@ def test_catalogue_above_one_block(spark):
     many = spark.range(n).select(F.concat(F.lit("e"), "id").alias("endpoint_id"), F.col("id").cast("int").alias("registry_pos")).join(one)
     got = routing.plan(spark.createDataFrame(texts.REQUESTS[:1], texts.REQUEST_SCHEMA), many)
     assert got.agg(F.count("*"), F.count_distinct("endpoint_id"), F.sum((F.col("rank") == F.substring("endpoint_id", 2, 9).cast("bigint") + 1).cast("int"))).first()[:] == (n, n, n)
+
+
+def test_support_reads_every_turn(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = catalog.QUERIES["lexical_support_turns"](spark, sf)
+    assert got.count() == c.count() - c.select("conv_id").distinct().count()
