@@ -305,3 +305,89 @@ REQUEST_SCHEMA = "request_id bigint, deny array<string>, allow array<string>, re
 def routing_plan(spark, sf_dir):
     p = routing.plan(spark.createDataFrame(REQUESTS, REQUEST_SCHEMA), spark.createDataFrame(ENDPOINTS, ENDPOINT_SCHEMA))
     return p.select("request_id", "endpoint_id", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("rank", F.lit(0)).alias("rank"))
+
+
+# The ten queries above run on fixtures and keep their SQL; those below run them over whole tables.
+# Hints, rules, types and endpoints are parameters. Regular expressions and windows of this kind have no SQL twin.
+HEADING = r"^\p{Lu}[^.!?:;,]{0,40}$"
+
+
+def _document_clauses(spark, sf_dir):
+    """Clauses of all documents: lines as blocks, short lines without punctuation as headings."""
+    blocks = parsing.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return C.segmented(blocks.withColumn("is_heading", F.col("text").rlike(HEADING)))
+
+
+def _document_labels(spark, sf_dir):
+    return C.labelled(_document_clauses(spark, sf_dir), spark.createDataFrame(HINTS, "key string, ord int, hint string"))
+
+
+@query()
+def clause_segmentation_documents(spark, sf_dir):
+    return _document_clauses(spark, sf_dir).withColumn("number", F.coalesce("number", F.lit("")))
+
+
+@query()
+def clause_labels_documents(spark, sf_dir):
+    return _document_labels(spark, sf_dir).select("doc_id", "idx", "clause_key", "confidence")
+
+
+@query()
+def rule_evaluation_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id").distinct()
+    return C.evaluated(spark.createDataFrame(RULES, RULE_SCHEMA), _document_labels(spark, sf_dir), docs)
+
+
+@query()
+def law_rule_pairs_documents(spark, sf_dir):
+    rules = spark.createDataFrame([("t1", ["term"], []), ("t2", ["liability", "term"], ["CAPPED"]), ("t3", ["definitions"], ["penalty"])], "law_rule string, clause_keys array<string>, triggers array<string>")
+    return C.law_pairs(rules, _document_labels(spark, sf_dir))
+
+
+@query()
+def parse_values_documents(spark, sf_dir):
+    c, joined = F.col("text"), lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    money = F.array_join(F.transform(V.amounts(c), lambda a: F.concat_ws(" ", a["currency"], a["value"].cast("string"))), ",")
+    return table(spark, sf_dir, "documents").select("doc_id", joined(V.durations(c)).alias("months"), money.alias("amounts"), joined(V.percents(c)).alias("percents"), joined(V.dates(c)).alias("dates"), joined(V.tax_codes(c)).alias("tax_codes"))
+
+
+@query()
+def words_to_int_documents(spark, sf_dir):
+    """The number that each line of a document spells, or null."""
+    lines = parsing.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lines.select("doc_id", "pos", V.words_to_int("text").alias("value"))
+
+
+@query()
+def bilingual_diffs_conversations(spark, sf_dir):
+    """Typed values in which each turn and the next one differ."""
+    c = table(spark, sf_dir, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("other"))
+    pairs = c.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("primary")).join(after, ["conv_id", "turn"])
+    d = C.differences(pairs.select(F.struct("conv_id", "turn").alias("pair_id"), "primary", "other"))
+    return d.select("pair_id.conv_id", "pair_id.turn", "kind", "side", "value")
+
+
+@query()
+def citation_validation_conversations(spark, sf_dir):
+    """Each sentence of each turn as a claim that cites the next turn; the last turn's claims cite what is not there."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    unit_id = lambda turn: F.concat_ws("-", "conv_id", turn)
+    cited = F.array_join(F.transform(T.sentences(F.col("text")), lambda s: F.concat(F.regexp_replace(s, "[.!?]+$", ""), F.lit(" [[src:"), unit_id(F.col("turn") + 1), F.lit("]]."))), " ")
+    units_ = c.select(unit_id(F.col("turn")).alias("unit_id"), "text", F.lit("2000-01-01").cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.lit("in_force").alias("status"))
+    v = S.validated(c.select(F.struct("conv_id", "turn").alias("note_id"), cited.alias("text")), units_, "2024-06-01")
+    return v.select("note_id.conv_id", "note_id.turn", "claim_no", "unit_id", "result", "score")
+
+
+@query()
+def contract_type_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.contract_type(F.coalesce("text", F.lit("")), TYPES).alias("kind"))
+
+
+@query()
+def routing_plan_documents(spark, sf_dir):
+    """A request for each document in its language and size; the rest of the policy is the fixture's first."""
+    fixed = spark.createDataFrame(REQUESTS[:1], REQUEST_SCHEMA).drop("request_id", "languages", "est_in")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.array("lang").alias("languages"), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("est_in"))
+    p = routing.plan(d.join(F.broadcast(fixed), F.lit(True)), spark.createDataFrame(ENDPOINTS, ENDPOINT_SCHEMA))  # one row
+    return p.select("request_id", "endpoint_id", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("rank", F.lit(0)).alias("rank"))

@@ -50,3 +50,26 @@ def test_support_reads_every_turn(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
     got = catalog.QUERIES["lexical_support_turns"](spark, sf)
     assert got.count() == c.count() - c.select("conv_id").distinct().count()
+
+
+def test_fixture_queries_run_over_whole_tables(spark, tmp_path):
+    docs = [(1, "\n".join(texts.CONTRACT), "en"), (2, "Mutual Non-Disclosure\nthree hundred and five", "en"), (3, texts.VALUES[9], "vi"), (4, None, "en"), (5, "\n".join(texts.CONTRACT), "en")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "thời hạn 24 tháng"), (1, 1, "a term of 36 months"), (1, 2, "Personal data stays here. Nothing else"), (2, 0, "the rule applies abroad"), (2, 1, "Abroad the rule applies"), (2, 2, "")]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    fixture = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, "").collect())
+    for name in ("clause_labels", "rule_evaluation", "law_rule_pairs"):
+        got = rows(f"{name}_documents")
+        assert [r[1:] for r in got if r[0] == 1] == [r[1:] for r in got if r[0] == 5] == fixture(name)
+    assert [r[1:] for r in rows("clause_segmentation_documents") if r[0] == 5] == [r[1:] for r in fixture("clause_segmentation")]
+    assert [r[0] for r in rows("rule_evaluation_documents") if r[1] == "r3"] == [1, 2, 3, 4, 5]
+    values = {r[0]: r[1:] for r in catalog.QUERIES["parse_values_documents"](spark, str(tmp_path)).collect()}
+    assert len(values) == 5 and values[3] == fixture("parse_values")[9][1:]
+    assert (2, 1, 305) in rows("words_to_int_documents") and len(rows("words_to_int_documents")) == 17
+    assert {(r[0], r[1], r[3], r[4]) for r in rows("bilingual_diffs_conversations") if r[2] == "duration"} >= {(1, 0, "primary", "24"), (1, 0, "other", "36")}
+    cited = {r[:3]: r[3:] for r in rows("citation_validation_conversations")}
+    assert cited[(2, 0, 0)][:2] == ("2-1", "supported") and cited[(1, 2, 1)][:2] == ("1-3", "invalid_source") and len(cited) == 6
+    assert rows("contract_type_documents") == [(1, "OTHER"), (2, "NDA"), (3, "OTHER"), (4, "OTHER"), (5, "OTHER")]
+    plan = rows("routing_plan_documents")
+    assert len(plan) == 25 and sorted(r[1:] for r in plan if r[0] == 1) == sorted(r[1:] for r in fixture("routing_plan") if r[0] == 1)
