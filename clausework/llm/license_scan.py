@@ -4,6 +4,9 @@ Base phrases are found word by word.  The fuzzy search covers short notices with
 of character edits: a notice is split into ``edits + 1`` seeds, so that any place within the bound
 holds one seed unchanged (pigeonhole); one automaton finds all seeds, and the ``regex`` library
 verifies a small window around each seed with ``{e<=edits}`` and reports the span and the edits.
+A place begins and ends at word borders and holds the notice's distinguishing word unchanged; a
+notice of fewer than eight characters for each edit has fewer edits; a place inside a place of a
+longer notice is not reported.
 
 Both searches run on the words of a text joined by single blanks.  Texts are whole: a long text is
 searched in one piece and its places are counted one after another, so memory follows the text.
@@ -40,7 +43,14 @@ NOTICES = {
     "creative commons attribution": ("cc-by", 0.8),
     "all rights reserved": ("all-rights-reserved", 0.6),
 }
+#: The word that must stand unchanged in a place of a notice.
+MUST = {
+    "under the mit license": "mit", "licensed under the apache license version 2 0": "apache", "gnu general public license": "gnu", "gnu lesser general public license": "lesser", "gnu affero general public license": "affero",
+    "mozilla public license version": "mozilla", "creative commons attribution noncommercial": "noncommercial", "creative commons attribution sharealike": "sharealike", "creative commons attribution": "attribution", "all rights reserved": "all",
+}
 EDITS = 2
+#: Characters of a notice for each edit.
+PER_EDIT = 8
 
 SPANS = "array<struct<label:string,notice:string,first_word:bigint,last_word:bigint,edits:int>>"
 SCHEMA = f"__key bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, spans {SPANS}"
@@ -60,12 +70,13 @@ class Finder:
         import ahocorasick
         import regex
 
-        self.edits = edits
-        self.patterns = {n: regex.compile(f"(?e)(?:{regex.escape(n, literal_spaces=True)}){{e<={edits}}}") for n in notices}
+        self.edits = {n: min(edits, len(n) // PER_EDIT) for n in notices}
+        self.patterns = {n: regex.compile(f"(?e)(?<= )(?:{regex.escape(n, literal_spaces=True)}){{e<={self.edits[n]}}}(?= )") for n in notices}
+        self.must = {n: f" {MUST[n]} " for n in notices if n in MUST}
         self.labels = {n: label for n, (label, _) in notices.items()}
         held: dict[str, list[tuple[str, int]]] = {}
         for n in notices:
-            for at, seed in seeds(n, edits):
+            for at, seed in seeds(n, self.edits[n]):
                 held.setdefault(seed, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for seed, where in held.items():
@@ -73,24 +84,37 @@ class Finder:
         self.automaton.make_automaton()
 
     def spans(self, text: str) -> list[tuple[str, str, int, int, int]]:
-        """(label, notice, start, end, edits) in characters; places of one notice don't overlap."""
-        windows: dict[str, list[list[int]]] = {}
+        """(label, notice, start, end, edits) in characters of a text ``' w1 ... wn '``; places of one notice don't overlap."""
+        windows: dict[str, list[tuple[int, int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
             start = end + 1 - size
             for notice, at in where:
-                lo, hi = max(0, start - at - self.edits), min(len(text), start - at + len(notice) + self.edits)
-                own = windows.setdefault(notice, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
+                lo = start - at - self.edits[notice] - 1
+                windows.setdefault(notice, []).append((max(0, lo), min(len(text), lo + len(notice) + 2 * self.edits[notice] + 2)))
         found = []
         for notice, own in windows.items():
-            pattern = self.patterns[notice]
-            for lo, hi in own:
-                for m in pattern.finditer(text, lo, hi):
-                    found.append((self.labels[notice], notice, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(found, key=lambda x: (x[2], x[3], x[1]))
+            done = 0
+            for lo, hi in _merged(own):
+                at = max(lo, done)
+                while m := self.patterns[notice].search(text, at, hi):
+                    if self.must.get(notice, " ") in f" {m[0]} ":
+                        found.append((self.labels[notice], notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        at = done = m.end()
+                    else:
+                        at = m.start() + 1
+        inside = lambda x, y: y[2] <= x[2] and x[3] <= y[3] and len(x[1]) < len(y[1])
+        return sorted((x for x in found if not any(inside(x, y) for y in found)), key=lambda x: (x[2], x[3], x[1]))
+
+
+def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of windows, in order; windows that meet become one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(windows):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def _places(text: bytes, phrase: bytes) -> list[int]:

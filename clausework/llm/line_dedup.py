@@ -9,18 +9,20 @@ down to ``edits`` less.  Candidates are verified by banded bit-parallel edit dis
 
 Long lines also link by words, with a bound that grows with the line: two lines of at least ``words``
 words link when the edit distance of their words is at most one for each full ``words`` words of the
-shorter.  Such lines share a run of ``SPAN`` words, whatever their length: in n words, n // 20 edits
-leave a run of at least (n - n // 20) / (n // 20 + 1) words, which is lowest at 20 words, with ten.
-Of each ``SPAN`` words in a row the least hash of the ``RUN``-word runs in them is a key, so a shared
-span gives a shared key and a line has keys in proportion to its length.  Words end at white space;
+shorter.  Such lines share a run of words: in n words, n // 20 edits leave a run of at least
+(n - n // 20) / (n // 20 + 1) words, the n-th entry of ``spans``.  Of each so many words in a row the
+least hash of the ``RUN``-word runs in them is a key, so a shared span gives a shared key (the least
+hash of a long span is also that of the shorter ones in it that hold it) and a line has keys in
+proportion to its length.  Words end at white space;
 a CJK character is a word of its own.
 
 Of every class of linked or equal lines the first line, by (document id, hash of the whole text, line
-number), stays and all others are removed.  Lines shorter than ``min_chars`` are only ever equal, not near; blank lines are
-no lines and stay.
+number), stays and all others are removed.  Lines shorter than ``min_chars`` are only ever equal, not
+near: this is part of the rule, not of the search.  Two edits are over a tenth of a shorter line, and
+"Page 1" and "Part 2" are no copies; any value down to ``edits + 1`` is exact.  Blank lines are no
+lines and stay.
 
-Defined results: a null or empty text has no lines; a null id sorts first, and lines found only in
-rows without id are compared for equality alone; rows with equal ids (or both without) and
+Defined results: a null or empty text has no lines; a null id sorts first; rows with equal ids (or both without) and
 equal texts are one document, so that repeated rows keep the same lines, while different texts with
 one id, or without id, each lose their own lines alone; an empty table gives an empty result; only the named columns are
 read, all columns are returned by ``deduplicated``.
@@ -43,16 +45,18 @@ from clausework.llm.linkage import bounded, connected_components, link_component
 from clausework.llm.shared import written
 
 EDITS, MIN_CHARS = 2, 20
-#: Words for each of which a long line may have one more word edit; no fewer than 2 * SPAN.
+#: Words for each of which a long line may have one more word edit; no fewer than 4 * RUN.
 WORDS = 20
-#: Words that linked long lines share in a row, and words of a key.
-SPAN, RUN = 10, 5
+#: Words of a key of long lines; they share at least twice as many in a row.
+RUN = 5
+#: Longer spans are cut to this, which lines of 20 to 39 words can reach; shorter ones are always right.
+MOST_SPAN = 19
 #: Characters of a gram in the finer keys of crowded segments.
 GRAM = 4
 #: Words of a gram in the finer keys of long lines.
 WORD_GRAM = 2
-#: Places that share a key there, if that is at least twice the edits.
-STRETCH = 8
+#: Sets of units of which a line lists its text without them; with more it asks all lines of its anchor.
+MOST_SETS = 64
 _CJK = "\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(f"[{_CJK}]|[^ \t\n\x0b\x0c\r{_CJK}]+")
 _U = np.uint64
@@ -70,6 +74,11 @@ def _table(base: int, n: int) -> np.ndarray:
     return _TABLES[base]
 
 
+def _blank(points: np.ndarray) -> np.ndarray:
+    """Whether each code point is white space."""
+    return (points == 32) | (points <= 13) & (points >= 9)
+
+
 class Lines:
     """The lines of a batch of texts with a word in them, trimmed and lower-cased.
 
@@ -97,7 +106,7 @@ class Lines:
         number = np.arange(len(begin)) - new[owner]
         stop = np.append(breaks, len(points))[np.searchsorted(breaks, begin)]
         stop = np.minimum(stop, offs[owner + 1])
-        solid = np.flatnonzero(~np.isin(points, (32, 9, 10, 11, 12, 13)))
+        solid = np.flatnonzero(~_blank(points))
         a, b = np.searchsorted(solid, begin), np.searchsorted(solid, stop)
         some = a < b
         self.first, self.end = solid[a[some]], solid[b[some] - 1] + 1
@@ -200,15 +209,33 @@ def within(a: str, b: str, edits: int) -> bool:
     return distance <= edits
 
 
+def spans(words: int, most: int) -> np.ndarray:
+    """For lines of 0 .. most words, how many words in a row each link of theirs surely leaves."""
+    n = np.arange(most + 1)
+    left = -(-(n - n // words) // (n // words + 1))
+    # the shorter line of a link has as many words, or one less for each edit
+    out = left.copy()
+    for less in range(1, most // words + 1):
+        ok = np.flatnonzero(n // words >= less)
+        out[ok] = np.minimum(out[ok], left[ok - less])
+    return out
+
+
 def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of each of the given lines, and the keys (line, key) of those with at least ``words`` words."""
     base = hashes.base
     part = points[base : base + len(hashes.sums) - 1]
-    solid = ~np.isin(part, (32, 9, 10, 11, 12, 13))
-    alone = (part >= 0x2E80) & (part <= 0xD7FF) | (part >= 0xF900) & (part <= 0xFAFF) | (part >= 0x20000) & (part <= 0x3FFFF)
+    solid = ~_blank(part)
     # a word begins at a character behind white space or beside a CJK one, and with each line, as nothing parts two texts
     begin = solid.copy()
-    begin[1:] &= ~solid[:-1] | alone[1:] | alone[:-1]
+    begin[1:] &= ~solid[:-1]
+    high = np.flatnonzero(part >= 0x2E80)
+    if len(high):
+        c = part[high]
+        alone = high[(c <= 0xD7FF) | (c >= 0xF900) & (c <= 0xFAFF) | (c >= 0x20000) & (c <= 0x3FFFF)]
+        begin[alone] = True
+        after = alone[alone + 1 < len(part)] + 1
+        begin[after] = solid[after]
     begin[first - base] = True
     starts = np.flatnonzero(begin) + base
     stop = np.append(starts[1:], base + len(part))
@@ -220,15 +247,19 @@ def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.nda
     n = np.bincount(line, minlength=len(first))
     long = n[line] >= words
     starts, ends, line = starts[long], ends[long], line[long]
-    windows = len(starts) - SPAN + 1
-    if windows < 1:
+    if len(starts) < 2 * RUN:
         return n, np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = textnp.shingles(hashes.of(starts, ends), RUN)
-    least = grams[:windows]
-    for i in range(1, SPAN - RUN + 1):
-        least = np.minimum(least, grams[i : i + windows])
-    whole = line[:windows] == line[SPAN - 1 :]
-    line, key = line[:windows][whole], least[whole].view(np.int64)
+    size = np.minimum(spans(words, int(n.max()))[n], MOST_SPAN)[line]  # words of each word's spans
+    found, least = [], grams
+    for width in range(RUN, MOST_SPAN + 1):
+        if width > RUN:
+            least = np.minimum(least[:-1], grams[width - RUN :])
+        at = np.flatnonzero(size[: len(least)] == width)
+        at = at[line[at] == line[at + width - 1]]
+        found.append((line[at], least[at]))
+    line, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    key = key.view(np.int64)
     order = np.lexsort((key, line))
     line, key = line[order], key[order]
     new = np.ones(len(key), bool)
@@ -275,17 +306,20 @@ def _lines(edits: int, min_chars: int, words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textnp.slices(batches, "__text", 1 << 20):
-            lines, known = Lines(batch.column("__text")), batch.column("__key").is_valid().to_numpy(zero_copy_only=False)
+            lines = Lines(batch.column("__text"))
             for i, j, hashes in lines.spans():
                 first, end, n = lines.first[i:j], lines.end[i:j], j - i
                 node = hashes.of(first, end).view(np.int64)
-                some = np.flatnonzero((end - first >= min_chars) & known[lines.doc[i:j]])
-                pick = np.sort(some[np.unique(node[some], return_index=True)[1]])
+                some = np.flatnonzero(end - first >= min_chars)
+                once = np.sort(some[np.unique(node[some], return_index=True)[1]])
+                n_words, long, word = word_keys(hashes, lines.points, first, end, words)
+                # an edit changes three words at most, so that longer lines within the edits also link by words
+                pick = once[n_words[once] < 3 * edits * (words + 1)]
                 line, key, own = keys(hashes, first[pick], end[pick], edits)
                 columns = [*(batch.column(c).take(pa.array(lines.doc[i:j])) for c in ("__key", "__version")), pa.array(lines.number[i:j], pa.int64()), pa.array(node), pa.array(end - first, pa.int64())]
-                n_words, long, word = word_keys(hashes, lines.points, first, end, words)
-                picked = np.isin(long, pick)
-                long, word = long[picked], word[picked]
+                unique = np.zeros(n, bool)
+                unique[once] = True
+                long, word = long[unique[long]], word[unique[long]]
                 columns += [pa.array(n_words, pa.int64()), textnp.as_list(word, np.concatenate([[0], np.cumsum(np.bincount(long, minlength=n))]), pa.int64())]
                 for which in (own, ~own):
                     at = np.flatnonzero(which)
@@ -314,123 +348,152 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_text, pa.string())], names=["node", "text"])
 
 
-def _beyond(by_words: bool):
-    """Places of each line whose grams its anchor lacks, with those grams; of how many characters or words it is."""
-
-    def grams(text: str) -> tuple[int, list[str]]:
-        if not by_words:
-            return len(text), [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
-        w = _WORD.findall(text)
-        return len(w), [" ".join(w[i : i + WORD_GRAM]) for i in range(len(w) - WORD_GRAM + 1)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, sizes = [], []
-            for a, b in zip(batch.column("q_text").to_pylist(), batch.column("h_text").to_pylist(), strict=True):
-                known = set(grams(b)[1])
-                size, own = grams(a)
-                sizes.append(size)
-                out.append([{"gram": int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), "pos": i} for i, g in enumerate(own) if g not in known])
-            kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(out, kind)], names=["node", "h", "size", "grams"])
-
-    return run
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, gram, n) of each batch, counted before anything is shuffled; lines of one anchor come together."""
-    for batch in batches:
-        lists = batch.column("grams")
-        t = pa.table({"h": batch.column("h").take(pa.compute.list_parent_indices(lists)), "gram": lists.flatten().field("gram")})
-        t = t.group_by(["h", "gram"]).aggregate([("gram", "count")]).select(["h", "gram", "gram_count"]).rename_columns(["h", "gram", "n"])
-        yield from t.combine_chunks().to_batches()
-
-
-def _hashed(h: int, kind: int, a, b) -> np.ndarray:
-    """64-bit keys of (h, kind, a, b) for arrays a and b."""
-    a, b = np.asarray(a, np.int64).view(_U), np.asarray(b, np.int64).view(_U)
-    with np.errstate(over="ignore"):
-        return textnp.mix(textnp.mix(textnp.mix(np.asarray([h], np.int64).view(_U) + _U(kind)) ^ a) + b * _U(_BASE))
+def _digest(h: int, kind: int, data: bytes) -> int:
+    """A 64-bit key of an anchor, a kind and a piece of text."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=h.to_bytes(8, "little", signed=True), person=kind.to_bytes(2, "little")).digest(), "little", signed=True)
 
 
 def _apart(places: Iterable[int], gram: int = GRAM) -> int:
     """The fewest edits that change all these places of a line."""
-    n, free = 0, 0
+    n, free = 0, None
     for p in sorted(places):
-        if p >= free:
+        if free is None or p >= free:
             n, free = n + 1, p + gram
     return n
 
 
-def _first_grams(places: list[tuple[int, int]], edits: int, gram: int) -> tuple[int, int]:
-    """How many of the places (gram, place) make the shortest run of first grams that so many edits cannot change together, and the edits it takes."""
+def _first_grams(places: list[tuple[int, int]], edits: int, gram: int) -> int:
+    """How many of the ordered places (gram, place) make the shortest run of first grams that so many edits cannot change together; else all."""
     need = n = 0
     while n < len(places) and need <= edits:
         value = places[n][0]
         while n < len(places) and places[n][0] == value:
             n += 1
         need = _apart((p for _, p in places[:n]), gram)
-    return n, need
+    return n
+
 
+def _deletions(places: list[int], edits: int, gram: int, size: int) -> set[frozenset[int]]:
+    """The sets of units that at most ``edits`` edits may delete or replace so that every place is changed and every edit changes a place.
 
-def _word_refined(words: int):
-    """As ``_refined``, by words: lines all of whose places their edits can change share one key."""
+    A lost or replaced unit x changes the places x - gram + 1 .. x, a unit put in before x those up
+    to x - 1.  More than ``MOST_SETS`` sets are not listed: the result then has one set more.
+    """
+    near = sorted({x for p in places for x in range(max(p, 0), min(p + gram, size))})
+    out: set[frozenset[int]] = set()
+
+    def go(left: list[int], edits: int, gone: frozenset[int]) -> None:
+        if len(out) > MOST_SETS or _apart(left, gram) > edits:
+            return
+        if left:
+            p = left[0]
+            for x in range(max(p, 0), min(p + gram, size)):
+                go([q for q in left if not q <= x < q + gram], edits - 1, gone | {x})
+            for x in range(max(p + 1, 0), min(p + gram, size + 1)):
+                go([q for q in left if not q < x < q + gram], edits - 1, gone)
+            return
+        if gone in out and not edits:
+            return
+        out.add(gone)
+        if edits:
+            for x in near:
+                if x not in gone:
+                    go(left, edits - 1, gone | {x})
+
+    go(sorted(places), edits, frozenset())
+    return out
+
+
+def _beyond(edits: int, words: int, by_words: bool):
+    """Of each line its places whose grams the anchor lacks, with those grams, and the keys of lines all of whose such places the edits can change; see ``refine``."""
+    gram = WORD_GRAM if by_words else GRAM
+    pad = ["\n"] * (gram - 1)
+
+    def grams(units: list[str]) -> list[str]:
+        padded = [*pad, *units, *pad]
+        return ["\r".join(padded[i : i + gram]) for i in range(len(units) + gram - 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = []
-            for h, size, grams, common in zip(*(batch.column(c).to_pylist() for c in ("h", "size", "grams", "common")), strict=True):
-                known, edits = set(common or ()), size // words
-                places = sorted((x["gram"], x["pos"]) for x in grams if x["gram"] not in known)
-                n, need = _first_grams(places, edits, WORD_GRAM)
-                found = [_hashed(h, 3, [g for g, _ in places[:n]], 0)] + [_hashed(h, 4, [0], 0)] * (need <= edits)
-                held.append(np.unique(np.concatenate(found)).view(np.int64))
-            keys_ = textnp.as_list(np.concatenate(held) if held else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(x) for x in held])]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), keys_, keys_], names=["node", "h", "own", "probes"])
+        split = _WORD.findall if by_words else list
+        for batch in textnp.slices(batches, "q_text", 1 << 20):
+            most, out, both, own, asks, last = [], [], [], [], [], (None, set())
+            for h, a, b in zip(*(batch.column(c).to_pylist() for c in ("h", "q_text", "h_text")), strict=True):
+                if last[0] != h:
+                    last = h, set(grams(split(b)))
+                units = split(a)
+                beyond = [(g, i - gram + 1) for i, g in enumerate(grams(units)) if g not in last[1]]
+                # bounds of a pair: by words that of its shorter line
+                bounds = [edits] if not by_words else [e for e in range((len(units) - len(units) // words) // words, len(units) // words + 1) if e]
+                most.append(bounds[-1])
+                out.append([{"gram": _digest(h, 0, g.encode("utf-8", "surrogatepass")), "pos": p} for g, p in beyond])
+                places = [p for _, p in beyond]
+                need = _apart(places, gram)
+                keys_: tuple[list[int], list[int], list[int]] = [], [], []
+                for e in bounds:
+                    if need > e:
+                        continue
+                    sets = _deletions(places, e, gram, len(units))
+                    coarse = _digest(h, 1, e.to_bytes(4, "little"))
+                    keys_[1].append(coarse)
+                    if need < e or len(sets) > MOST_SETS:
+                        keys_[2].append(coarse)
+                    if len(sets) <= MOST_SETS:
+                        keys_[0].extend({_digest(h, 2, "\r".join([str(e), *(u for i, u in enumerate(units) if i not in gone)]).encode("utf-8", "surrogatepass")) for gone in sets})
+                for column, values in zip((both, own, asks), keys_, strict=True):
+                    column.append(values)
+            kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(most, pa.int32()), pa.array(out, kind), *(pa.array(c, lists) for c in (both, own, asks))], names=["node", "h", "edits", "grams", "both", "own", "asks"])
 
     return run
 
 
-def _refined(edits: int):
-    """Keys of each line under which it is found (``own``) and looks for others (``probes``); see ``refine``."""
-    stretch, reach = max(STRETCH, 2 * edits), GRAM - 1 + edits
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, gram, n) of each batch, counted before anything is shuffled; lines of one anchor come together."""
+    for batch in batches:
+        lists = batch.column("grams")
+        t = pa.table({"h": batch.column("h").take(pa.compute.list_parent_indices(lists)), "gram": lists.flatten().field("gram")})
+        t = t.group_by(["h", "gram"]).aggregate([("gram", "count")]).select(["h", "gram", "gram_count"]).rename_columns(["h", "gram", "n"])
+        yield from t.combine_chunks().to_batches()
+
+
+def _keyed(gram: int):
+    """Keys of each line: ``both`` with its first grams, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, probes = [], []
-            for h, grams, common in zip(batch.column("h").to_pylist(), batch.column("grams").to_pylist(), batch.column("common").to_pylist(), strict=True):
-                known = set(common or ())
-                places = sorted((x["gram"], x["pos"]) for x in grams if x["gram"] not in known)
-                n, need = _first_grams(places, edits, GRAM)
-                g, p = np.array([x[0] for x in places[:n]], np.int64), np.array([x[1] for x in places[:n]], np.int64)
-                held, asked = [_hashed(h, 0, g, p // stretch)], [_hashed(h, 0, g, (p + x) // stretch) for x in (-edits, edits)]
-                if need <= edits:
-                    held += [_hashed(h, 1, p // (4 * reach), 0), _hashed(h, 2, [need], 0)]
-                    asked += [_hashed(h, 1, (p + x) // (4 * reach), 0) for x in (-reach, reach)] + [_hashed(h, 2, np.arange(edits - need + 1), 0)]
-                own.append(np.unique(np.concatenate(held)).view(np.int64))
-                probes.append(np.unique(np.concatenate(asked)).view(np.int64))
-            lists = [textnp.as_list(np.concatenate(x) if x else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int64()) for x in (own, probes)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), *lists], names=["node", "h", "own", "probes"])
+            both = []
+            for edits, grams, common, keys_ in zip(*(batch.column(c).to_pylist() for c in ("edits", "grams", "common", "both")), strict=True):
+                often = {x["gram"]: x["n"] for x in common or ()}
+                places = sorted(((often.get(x["gram"], 0), x["gram"]), x["pos"]) for x in grams)
+                both.append([*keys_, *{g for (_, g), _ in places[: _first_grams(places, edits, gram)]}])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), pa.array(both, pa.list_(pa.int64())), batch.column("own"), batch.column("asks")], names=["node", "h", "both", "own", "asks"])
 
     return run
 
 
 def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS) -> DataFrame:
-    """One row per line with a word: key, version (hash of the whole text), number, size, ``exact`` and ``near`` (either removes it)."""
-    if words < 2 * SPAN:
-        raise ValueError(f"words must be at least {2 * SPAN}: shorter lines need not share {SPAN} words in a row")
+    """One row per line with a word: key, version (hash of the whole text), number, size, ``exact`` and ``near`` (either removes it), and ``top``, the first line of its class."""
+    if words < 4 * RUN:
+        raise ValueError(f"words must be at least {4 * RUN}: shorter lines need not share {2 * RUN} words in a row")
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
     parsed = rows.withColumn("__version", F.xxhash64("__text")).mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, version bigint, number bigint, hash bigint, size bigint, n_words bigint, runs array<bigint>, own array<bigint>, probes array<bigint>")
     lines = written(parsed, "lines")
-    firsts = written(lines.groupBy("hash").agg(F.min(F.struct("key", "version", "number")).alias("at"), F.min("key").alias("known")), "firsts")
+    firsts = written(lines.groupBy("hash").agg(F.min(F.struct("key", "version", "number")).alias("at"), F.min("key").alias("known"), F.count("*").alias("n")), "firsts")
+    nameless = not firsts.where("known IS NULL").isEmpty()
     index = lines.select(F.explode("own").alias("token"), F.col("hash").alias("node"), F.lit(True).alias("own"), F.lit(0).alias("n"))
     postings = index.union(lines.select(F.explode("probes").alias("token"), F.col("hash").alias("node"), F.lit(False), F.lit(0)))
 
     def texts(ids: DataFrame, n: int) -> DataFrame:
-        """Texts by line: one document that holds the line is read, whichever has the smallest id."""
-        where = ids.select("node").distinct().join(firsts, F.col("node") == F.col("hash")).groupBy(F.col("known").alias("__key")).agg(F.collect_set("node").alias("wanted"))
-        found = rows.join(bounded(where, n), "__key").select("__text", "wanted").mapInArrow(_find, "node bigint, text string").dropDuplicates(["node"])
-        return ids.join(found, "node")
+        """Texts by line: one document that holds the line is read, that with the smallest id, or of those without id one by its text's hash."""
+        where = ids.select("node").distinct().join(firsts, F.col("node") == F.col("hash"))
+        named = where.groupBy(F.col("known").alias("__key")).agg(F.collect_set("node").alias("wanted"))
+        held = rows.join(bounded(named, n), "__key").select("__text", "wanted")
+        if nameless:
+            others = where.where("known IS NULL").groupBy(F.col("at.version").alias("v")).agg(F.collect_set("node").alias("wanted"))
+            free = rows.where("__key IS NULL").withColumn("v", F.xxhash64("__text"))
+            held = held.union(free.join(bounded(others, n), "v").dropDuplicates(["v"]).select("__text", "wanted"))
+        return ids.join(held.mapInArrow(_find, "node bigint, text string").dropDuplicates(["node"]), "node")
 
     runs = lines.select(F.explode("runs").alias("token"), F.col("hash").alias("node"), F.col("n_words").alias("n"))
 
@@ -464,21 +527,24 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     def refine(pairs: DataFrame, by_words: bool = False) -> DataFrame:
         """Keys from what a line has beyond its anchor.
 
-        A place of a line is beyond if its gram is neither in the anchor nor common among the
-        anchor's lines.  An edit changes ``GRAM`` neighbouring places at most and moves others by
-        one.  Let the beyond grams of each line stand in one fixed order.  Those before the first gram
-        that two linked lines share at most ``edits`` apart are all changed by the edits, so
-        both lines have it among the shortest run of first grams whose places ``edits`` edits cannot
-        change together; these are the keys.  Lines all of whose places so many edits can change may
-        share none: then one edit changes places of both, which are near, or the edits that each
-        needs add up to ``edits`` at most.  By words, ``edits`` is each line's own bound, which is no
-        less than that of a pair.
+        A place of a line is beyond if the anchor lacks its gram (lines are padded at both ends).  An
+        edit changes as many neighbouring places as a gram has units.  Let the beyond grams of each
+        line stand in one fixed order, rare ones first.  If two linked lines share a beyond gram that
+        the edits leave, those before the first such gram are all changed by the edits, so both lines
+        have it among the shortest run of first grams whose places so many edits cannot change
+        together; these are keys.  Else the edits change all beyond places of both lines.  If each
+        edit changes a beyond place in both, the lines are equal without some of the units at such
+        places; a line's text without each such set is a key.  If an edit changes none in one of
+        them, one edit less can change all of that line's: such lines ask all of the anchor's lines
+        whose places the edits can change.  They mostly link to the anchor itself.
         """
-        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond(by_words), "node bigint, h bigint, size bigint, grams array<struct<gram:bigint,pos:int>>"), "grams")
+        gram = WORD_GRAM if by_words else GRAM
+        lists = "both array<bigint>, own array<bigint>, asks array<bigint>"
+        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond(edits, words, by_words), f"node bigint, h bigint, edits int, grams array<struct<gram:bigint,pos:int>>, {lists}"), "grams")
         often = beyond.select("h", "grams").mapInArrow(_gram_counts, "h bigint, gram bigint, n bigint").groupBy("h", "gram").agg(F.sum("n").alias("n"))
-        many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 8).alias("most"))
-        common = often.join(many, "h").where("n > most").groupBy("h").agg(F.collect_list("gram").alias("common"))
-        return beyond.join(common, "h", "left").select("node", "h", "size", "grams", "common").mapInArrow(_word_refined(words) if by_words else _refined(edits), "node bigint, h bigint, own array<bigint>, probes array<bigint>")
+        many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 16).alias("most"))
+        common = often.join(many, "h").where("n > most").groupBy("h").agg(F.collect_list(F.struct("gram", "n")).alias("common"))
+        return beyond.join(common, "h", "left").select("node", "h", "edits", "grams", "common", "both", "own", "asks").mapInArrow(_keyed(gram), f"node bigint, h bigint, {lists}")
 
     linked = link_components(postings, texts, compare, first_link, F.lit(True), None, "own", refine)
     # lengths that can link differ by one for each `words` words of the shorter
@@ -489,20 +555,27 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     classed = linked.join(firsts, linked.node == firsts.hash).select("node", "component", "at")
     tops = classed.groupBy("component").agg(F.min("at").alias("top"))
     tops = classed.join(tops, "component").select("node", "top")
-    marks = firsts.join(tops, firsts.hash == tops.node, "left").select("hash", "at", F.coalesce("top", "at").alias("top"))
+    # lines that come once and link to none stay; only the others are looked up
+    marks = firsts.join(tops, firsts.hash == tops.node, "left").where("n > 1 OR NOT top <=> at AND top IS NOT NULL").select("hash", "at", F.coalesce("top", "at").alias("top"))
+    marks = written(marks, "marks")
     here = F.struct("key", "version", "number")
-    return lines.join(marks, "hash").select("key", "version", "number", "size", (~here.eqNullSafe(F.col("at"))).alias("exact"), (here.eqNullSafe(F.col("at")) & ~F.col("at").eqNullSafe(F.col("top"))).alias("near"))
+    first = F.col("at").isNull() | here.eqNullSafe(F.col("at"))
+    found = lines.select("key", "version", "number", "size", "hash").join(bounded(marks, marks.count()), "hash", "left")
+    return found.select("key", "version", "number", "size", (~first).alias("exact"), (first & ~F.col("at").eqNullSafe(F.col("top"))).alias("near"), F.coalesce("top", here).alias("top"))
 
 
 def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS) -> DataFrame:
-    """One row per input row: lines, lines removed as equal or near, characters that stay."""
-    per = decisions(df, id_col, text_col, edits, min_chars, words).dropDuplicates(["key", "version", "number"])
+    """One row per input row: lines, lines removed as equal or near, characters that stay, and for each removed line its number and the id and line number of its class's first line."""
+    per = decisions(df, id_col, text_col, edits, min_chars, words).repartition("key", "version").dropDuplicates(["key", "version", "number"])
+    gone = F.col("exact") | F.col("near")
+    removed = F.struct("number", F.col("top.key").alias("first_id"), F.col("top.number").alias("first_number"))
     per = per.groupBy("key", "version").agg(
-        F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"), F.sum(F.when(~F.col("exact") & ~F.col("near"), F.col("size")).otherwise(0)).alias("kept_chars")
+        F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"), F.sum(F.when(~gone, F.col("size")).otherwise(0)).alias("kept_chars"), F.sort_array(F.collect_list(F.when(gone, removed))).alias("gone")
     )
     keys_ = df.select(F.col(id_col).cast("bigint").alias("__key"), F.xxhash64(F.col(text_col).cast("string")).alias("__version"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return keys_.join(per, keys_["__key"].eqNullSafe(per["key"]) & (keys_["__version"] == per["version"]), "left").select(F.col("__key").alias(id_col), zero("n_lines"), zero("n_exact"), zero("n_near"), zero("kept_chars"))
+    lists = [F.coalesce(F.col(f"gone.{c}"), F.array().cast("array<bigint>")).alias(name) for c, name in (("number", "removed_lines"), ("first_id", "first_ids"), ("first_number", "first_lines"))]
+    return keys_.join(per, keys_["__key"].eqNullSafe(per["key"]) & (keys_["__version"] == per["version"]), "left").select(F.col("__key").alias(id_col), zero("n_lines"), zero("n_exact"), zero("n_near"), zero("kept_chars"), *lists)
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, words: int = WORDS, count_col: str | None = None) -> DataFrame:

@@ -24,8 +24,8 @@ from clausework.llm.shared import drop, written
 #: Rows that may be broadcast: ids of 8 to 24 bytes each, so some 24 MB at most.
 BROADCAST_ROWS = 400_000
 GROUP = 64
-#: Components of one key from which its items get finer keys.
-CROWD = 8
+#: Components of one key from which its items get finer keys, and how often.
+CROWD, ROUNDS = 8, 2
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -89,15 +89,15 @@ def verify_pairs(pairs: DataFrame, texts: Callable[[DataFrame, int], DataFrame],
 def open_groups(queries: DataFrame, members: DataFrame, texts: Callable[[DataFrame, int], DataFrame], first_link: Callable) -> DataFrame:
     """Edges between ``queries(q, gid)`` and ``members(gid, node)``: one link per query and group.
 
-    A group has at most about ``GROUP`` members; queries of one group are cut into parts of about
-    1024, so no task gets an unbounded group.
+    A group has about ``GROUP`` members; queries of one group are cut into parts of about 1024, so no
+    task gets an unbounded group.  Each text is fetched once and then goes to all its groups.
     """
-    n, m = queries.count(), members.count()
     parts = queries.groupBy("gid").agg(F.ceil(F.count("*") / 1024).cast("int").alias("parts"))
-    parted = queries.join(parts, "gid").select(F.col("q").alias("node"), "gid", F.pmod(F.xxhash64("q"), F.col("parts").cast("bigint")).alias("part"))
-    spread = members.join(parts, "gid").select("node", "gid", F.explode(F.expr("sequence(0L, cast(parts - 1 as bigint))")).alias("part"))
-    left = texts(parted, n).select("gid", "part", "node", "text")
-    right = texts(spread, m).select("gid", "part", "node", "text")
+    asked = queries.join(parts, "gid").groupBy(F.col("q").alias("node")).agg(F.collect_list(F.struct("gid", F.pmod(F.xxhash64("q"), F.col("parts").cast("bigint")).alias("part"))).alias("at"))
+    held = members.join(parts, "gid").groupBy("node").agg(F.collect_list(F.struct("gid", "parts")).alias("at"))
+    n, m = (x.select("node").distinct().count() for x in (queries.withColumnRenamed("q", "node"), members))
+    left = texts(asked, n).select("node", "text", F.explode("at").alias("at")).select("at.gid", "at.part", "node", "text")
+    right = texts(held, m).select("node", "text", F.explode("at").alias("at")).select("at.gid", F.explode(F.expr("sequence(0L, cast(at.parts - 1 as bigint))")).alias("part"), "node", "text")
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
         a, b = first_link(one["node"].to_pylist(), one["text"], two["node"].to_pylist(), two["text"])
@@ -106,6 +106,20 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: Callable[[DataFra
     return left.groupBy("gid", "part").cogroup(right.groupBy("gid", "part")).applyInArrow(run, "a bigint, b bigint")
 
 
+def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """``rows`` with their node's component and the chunk of it (``gid``) that the node is in."""
+    sizes = components.groupBy("component").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+    placed = components.join(sizes, "component").select("node", "component", F.xxhash64("component", F.pmod(F.xxhash64("node"), "chunks")).alias("gid"))
+    alone = F.coalesce("component", "node"), F.coalesce("gid", F.xxhash64("node", F.lit(0)))
+    return written(rows.join(placed, "node", "left").withColumns({"component": alone[0], "gid": alone[1]}), "labelled")
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """Rows of the tokens under which some component asks for another one."""
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("asks").alias("asked"), F.bool_or("ix").alias("held")).where("lo < hi AND asked AND held").select("token")
+    return written(labelled.join(mixed, "token"), "open")
+
+
 def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column | None, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all linked items.
 
@@ -116,46 +130,59 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     in the group, c the shared keys; None opens all groups met.
 
     A key that more than ``CROWD`` components share would ask for all pairs of them. ``refine``
-    takes the items of such keys with the key's anchor, (node, h), and gives (node, h, own, probes):
-    of two linked items of one anchor, each has a key in ``probes`` that the other has in ``own``, so
-    that only the item of the greater component asks.
+    takes the items of such keys with the key's anchor, (node, h), and gives (node, h, both, own,
+    asks): two linked items of one anchor share a key in ``both``, or one has a key in ``asks`` that
+    the other has in ``own``.  Items are first compared with the smallest item of each such key,
+    and keys that are still crowded are refined once more, up to ``ROUNDS`` times.
     """
     postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
     heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
     if not indexed:
         heads = heads.where("h < top")
-    shared = written(postings.join(heads, "token").where("h < top OR node <> h").select("token", "node", "n", "ix", "h"), "shared")
+    shared = written(postings.join(heads, "token").where("h < top OR node <> h").select("token", "node", "n", "ix", F.lit(True).alias("asks"), F.lit(not indexed).alias("mutual"), "h"), "shared")
     met = shared.where("node <> h").groupBy("node", "h").agg(F.max("n").alias("n"), F.count("*").alias("c"))
     head_sizes = shared.where("node = h").groupBy("h").agg(F.max("n").alias("hn")) if not indexed else shared.select("h", F.lit(0).alias("hn")).distinct()
     pairs = written(met.join(head_sizes, "h").where(near).select(F.col("node").alias("q"), "h"), "pairs")
     edges = written(verify_pairs(pairs, texts, compare), "links")
     components = connected_components(edges)
-    labelled = written(shared.join(components, "node", "left").select("token", "node", "n", "ix", "h", F.coalesce("component", "node").alias("component")), "labelled")
+    labelled = _labelled(shared, components)
     drop(shared, pairs)
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_rows = written(labelled.join(mixed, "token").withColumns({"asks": F.lit(True), "mutual": F.lit(not indexed)}), "open")
+    open_rows = _open(labelled)
     drop(labelled)
-    if refine is not None:
+    settled = None
+    for _ in range(ROUNDS if refine is not None else 0):
         crowds = written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > CROWD).select("token"), "crowds")
-        if not crowds.isEmpty():
-            crowded = written(open_rows.join(crowds, "token"), "crowded")
-            refined = written(refine(crowded.select(F.col("node").alias("q"), "h").distinct()), "refined")
-            both = refined.join(crowded.select("node", "h", "n", "component").distinct(), ["node", "h"])
-            own = both.select(F.explode("own").alias("token"), "node", "n", F.lit(True), "component", F.lit(False), F.lit(True))
-            probes = both.select(F.explode("probes").alias("token"), "node", "n", F.lit(False), "component", F.lit(True), F.lit(True))
-            others = open_rows.join(crowds, "token", "left_anti").select("token", "node", "n", "ix", "component", "asks", "mutual")
-            open_rows = written(others.union(own).union(probes), "open")
-    nodes = open_rows.select("component", "node", "n").distinct()
-    chunks = nodes.groupBy("component").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-    placed = nodes.join(chunks, "component").select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), "chunks")).alias("gid"))
-    members = written(nodes.join(placed, "node").select("gid", "component", "node", "n"), "members")
-    sizes = members.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = open_rows.where("ix").join(members.select("node", "gid"), "node").select("token", "gid", F.col("component").alias("owner")).distinct()
-    met = open_rows.where("asks").join(matrix, "token").where("component > owner OR component < owner AND NOT mutual").groupBy("node", "gid").agg(F.first("n").alias("n"), F.count("*").alias("c"))
-    bound = met if may is None else met.join(sizes, "gid").where(may)
+        if crowds.isEmpty():
+            break
+        others = open_rows.join(crowds, "token", "left_anti")
+        settled = others if settled is None else settled.union(others)
+        items = written(open_rows.join(crowds, "token").groupBy("node", "h").agg(F.max("n").alias("n"), F.first("component").alias("component")), "crowded")
+        refined = refine(items.select(F.col("node").alias("q"), "h"))
+        keyed = written(refined.join(items, ["node", "h"]).drop("h"), "refined")
+        kinds = (("both", True, True, True), ("own", True, False, False), ("asks", False, True, False))
+        rows = [keyed.select(F.explode(c).alias("token"), "node", "n", F.lit(ix).alias("ix"), F.lit(asks).alias("asks"), F.lit(mutual).alias("mutual"), "component") for c, ix, asks, mutual in kinds]
+        rows = rows[0].union(rows[1]).union(rows[2])
+        heads = rows.groupBy("token").agg(F.min(F.when(F.col("ix"), F.struct("node", "component"))).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("asks").alias("asked"))
+        shared = written(rows.join(heads.where("lo < hi AND asked AND head IS NOT NULL").select("token", "head"), "token").withColumn("h", F.col("head.node")), "shared")
+        pairs = written(shared.where("asks AND component <> head.component").select(F.col("node").alias("q"), "h").distinct(), "pairs")
+        edges = written(edges.union(verify_pairs(pairs, texts, compare)), "links")
+        components = connected_components(edges)
+        labelled = _labelled(shared.drop("component", "head"), components)
+        drop(items, keyed, shared, pairs)
+        open_rows = _open(labelled)
+        drop(labelled)
+    columns = ["token", "node", "n", "ix", "asks", "mutual"]
+    if settled is not None:  # components have grown since
+        open_rows = _labelled(settled.select(columns).union(open_rows.select(columns)), components)
+    groups = open_rows.where("ix").groupBy("token", F.col("gid").alias("group")).agg(F.first("component").alias("owner"))
+    met = open_rows.where("asks").join(groups, "token").where("component > owner OR component < owner AND NOT mutual").groupBy("node", F.col("group").alias("gid")).agg(F.min("n").alias("n"), F.max("n").alias("top_n"), F.count("*").alias("c"))
+    sizes = open_rows.where("ix").groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # an item with several sizes (one id, several texts) is not bounded
+    bound = met if may is None else met.join(sizes, "gid").where(may | (F.col("n") < F.col("top_n")))
     wanted = written(bound.select(F.col("node").alias("q"), "gid"), "wanted")
     if wanted.isEmpty():
         return components
-    more = written(open_groups(wanted, members.join(wanted.select("gid").distinct(), "gid", "left_semi").select("gid", "node"), texts, first_link), "links")
+    members = written(open_rows.where("ix").select("gid", "node").distinct().join(wanted.select("gid").distinct(), "gid", "left_semi"), "members")
+    more = written(open_groups(wanted, members, texts, first_link), "links")
     drop(open_rows, members, wanted)
     return connected_components(edges.union(more))

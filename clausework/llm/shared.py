@@ -6,6 +6,7 @@ driver and all executors see, so a lost executor costs nothing but the tasks it
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session; one of our own only where none is set (tests)."""
+    """The shared folder of this session; one of our own only where none is set and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="clausework-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -3,11 +3,11 @@
 Features of a text (see FEATURES) are densities of lexicon words, nearness of such words to the
 second person, capitals, punctuation and obfuscation.  Part of the lexicon is fixed (INSULTS), the
 rest is learned: stems (the first 4 to 8 bytes of a word, or the whole word) that are far more
-frequent in toxic than in clean labelled texts.  Trees learn on one part of the training labels,
-the isotonic map on another.  Score and features never see id, language, source or labels.
+frequent in toxic than in clean labelled texts.  Stems and trees learn on one part of the training
+labels, the isotonic map on another, which has both classes (else on the same).  Score and features never see id, language, source or labels.
 
 Learning reads at most ``max_train`` labelled rows (a documented bound; the rows with the smallest
-hashes of their id); held-out rows, ``crc32(id) mod 5 = 0``, are never among them.  Scoring reads
+hashes of their id), which also bounds the learned lexicon; held-out rows, ``crc32(id) mod 5 = 0``, are never among them.  Scoring reads
 every whole text in one pass without a shuffle.
 
 Defined results: null and empty texts are scored like any other (all features 0); repeated rows
@@ -33,7 +33,6 @@ from clausework.llm import textnp
 from clausework.llm.shared import written
 
 MAX_TRAIN = 20_000
-MAX_STEMS = 4096
 FOLDS = 5
 
 #: Common insults in four languages.
@@ -217,7 +216,7 @@ class Model:
         return out.select("__keep.*", F.least(F.greatest(F.col("__score"), F.lit(0.0)), F.lit(1.0)).alias(score_col))
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_stems: int = MAX_STEMS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Learn from at most ``max_train`` labelled rows that are not held out."""
     spark = documents.sparkSession
     known = labels.select(F.col(id_col).cast("bigint").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
@@ -225,21 +224,23 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     texts = documents.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     rows = written(texts.join(F.broadcast(chosen), "__id"), "toxicity-train").withColumn("__part", fold("__id"))
-    sizes = {int(r["__y"] > 0): r["n"] for r in rows.groupBy((F.col("__y") > 0).cast("int").alias("__y")).agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    sizes = {(r.held, r.y): r.n for r in rows.groupBy((F.col("__part") == 1).alias("held"), (F.col("__y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    n_clean, n_toxic = (sizes.get((True, y), 0) + sizes.get((False, y), 0) for y in (0, 1))
     if not n_toxic or not n_clean:
         return Model(constant=float(n_toxic > 0))
+    if apart := len(sizes) == 4:  # the rows that fit the isotonic map take no part in stems and trees
+        n_clean, n_toxic = sizes[False, 0], sizes[False, 1]
+    grown = F.col("__part") != 1 if apart else F.lit(True)
     odds = F.log((F.col("n_toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("n_clean") + 0.5) / (n_clean + 1))
-    learned = _stem_counts(rows.select("__text", (F.col("__y") > 0).cast("int").alias("__y"))).withColumn("w", odds)
+    learned = _stem_counts(rows.where(grown).select("__text", (F.col("__y") > 0).cast("int").alias("__y"))).withColumn("w", odds)
     least = max(6, n_toxic // 100)
-    learned = learned.where((F.col("n_toxic") >= least) & (F.col("w") > 3.0)).orderBy(F.col("n_toxic").desc(), "stem").limit(max_stems).collect()
+    learned = learned.where((F.col("n_toxic") >= least) & (F.col("w") > 3.0)).collect()
     stems = np.array([r.stem for r in learned], np.int64).view(np.uint64)
     order = np.argsort(stems)
     stems, weights = stems[order], np.array([r.w for r in learned])[order]
     x = written(_featured(rows.coalesce(4).withColumn("__y", (F.col("__y") > 0).cast("double")), stems, weights, ["__id", "__y", "__part"]), "toxicity-features")
-    grow = x.where("__part <> 1") if x.where("__part = 1").select("__y").distinct().count() == 2 else x
-    trees = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(grow)
-    held = x.where("__part = 1") if grow is not x else x
+    trees = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(x.where(grown))
+    held = x.where("__part = 1") if apart else x
     held = trees.transform(held).withColumn("__raw", vector_to_array("probability")[1]).select("__raw", "__y")
     isotonic = IsotonicRegression(featuresCol="__raw", labelCol="__y", predictionCol="__score").fit(held)
     return Model(None, stems, weights, trees, isotonic)

@@ -13,7 +13,8 @@ inside a payload are put back into their record.
 
 Defined results: a null payload is empty; a null id is written as ``null`` and read as null; a null
 url is written empty; line breaks in urls are percent-encoded; rows tied at the smallest id of equal
-payloads are all responses; an empty table gives no files and an empty result; a record that the
+payloads are all responses; a repeated id may have several payloads, and a revisit is resolved by id
+and digest; an empty table gives no files and an empty result; a record that the
 chain can't reach (a damaged file) is not returned; only the named columns are read.
 """
 
@@ -75,7 +76,7 @@ def _described(df: DataFrame) -> DataFrame:
     return df.select(
         *[c for c in df.columns if c not in ("header", "payload", "size")], "size", "payload",
         F.octet_length("header").cast("bigint").alias("header_bytes"), _field("Content-Length").try_cast("bigint").alias("length"),
-        F.lower(_field("WARC-Type")).alias("record_type"), page("WARC-Record-ID").alias("record_page"), page("WARC-Refers-To").alias("refers_to"), _field("WARC-Target-URI").alias("url"),
+        F.lower(_field("WARC-Type")).alias("record_type"), page("WARC-Record-ID").alias("record_page"), page("WARC-Refers-To").alias("refers_to"), _field("WARC-Target-URI").alias("url"), F.regexp_extract(_field("WARC-Payload-Digest"), "^sha256:([0-9a-f]{64})$", 1).alias("named_digest"),
         F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest"),
     )
 
@@ -118,7 +119,7 @@ def _marked(table: pa.Table, entries: pa.Table) -> pa.Table:
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """(file, offset, record_type, record_page, refers_to, url, payload_bytes, payload_digest[, payload]) of all records."""
+    """(file, offset, record_type, record_page, refers_to, url, named_digest, payload_bytes, payload_digest[, payload]) of all records."""
     cuts = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
     pieces = _described(cuts.withColumn("mark", F.xxhash64("value")))
     pieces = written(pieces.drop("value", *[] if with_payload else ["payload"]), "warc-pieces")
@@ -148,7 +149,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         last = marks.groupBy("file", "block").agg(F.max("record").alias("last"))
         ahead = F.max("last").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
         marks = marks.join(last.select("file", "block", ahead.alias("ahead")), ["file", "block"]).withColumn("record", F.when(F.col("record") < 0, F.col("ahead")).otherwise(F.col("record"))).drop("ahead")
-    columns = ["file", "offset", "record_type", "record_page", "refers_to", "url", "payload_bytes", "payload_digest", *["payload"] * with_payload]
+    columns = ["file", "offset", "record_type", "record_page", "refers_to", "url", "named_digest", "payload_bytes", "payload_digest", *["payload"] * with_payload]
     all_pieces = placed.join(marks.select("file", "offset", "reached", "record"), ["file", "offset"])
     whole = all_pieces.where("reached AND payload_bytes = length").select(*columns)
     torn = written(all_pieces.where("reached AND NOT payload_bytes <=> length").select("file", F.col("offset").alias("record")), "warc-torn")
@@ -165,9 +166,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records with the length and digest of the full payload, which a revisit takes from its response."""
-    one = records.where("record_type = 'response'").select(F.col("record_page").alias("page"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).dropDuplicates(["page"])
-    back = records.where("record_type = 'revisit'").join(one, F.col("refers_to") == F.col("page"), "left")
+    """Records with the length and digest of the full payload, which a revisit takes from the response of its page and digest."""
+    one = records.where("record_type = 'response'").groupBy(F.col("record_page").alias("page"), F.col("payload_digest").alias("d")).agg(F.min("payload_bytes").alias("b"))
+    back = records.where("record_type = 'revisit'").join(one, (F.col("refers_to") == F.col("page")) & (F.col("named_digest") == F.col("d")), "left")
     columns = ["record_page", "record_type", "refers_to"]
     return records.where("record_type <> 'revisit'").select(*columns, "payload_bytes", "payload_digest").union(back.select(*columns, "b", "d"))
 
