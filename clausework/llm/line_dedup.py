@@ -30,6 +30,7 @@ read, all columns are returned by ``deduplicated``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -55,8 +56,6 @@ MOST_SPAN = 19
 GRAM = 4
 #: Words of a gram in the finer keys of long lines.
 WORD_GRAM = 2
-#: Sets of units of which a line lists its text without them; with more it asks all lines of its anchor.
-MOST_SETS = 64
 _CJK = "\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(f"[{_CJK}]|[^ \t\n\x0b\x0c\r{_CJK}]+")
 _U = np.uint64
@@ -362,28 +361,26 @@ def _apart(places: Iterable[int], gram: int = GRAM) -> int:
     return n
 
 
-def _first_grams(places: list[tuple[int, int]], edits: int, gram: int) -> int:
+def _first_grams(places: list[tuple], edits: int, gram: int) -> int:
     """How many of the ordered places (gram, place) make the shortest run of first grams that so many edits cannot change together; else all."""
-    need = n = 0
-    while n < len(places) and need <= edits:
-        value = places[n][0]
-        while n < len(places) and places[n][0] == value:
-            n += 1
-        need = _apart((p for _, p in places[:n]), gram)
-    return n
+    need = lambda n: _apart((p for _, p in places[:n]), gram)
+    n = bisect.bisect_right(range(len(places) + 1), edits, key=need)
+    while n < len(places) and places[n][0] == places[n - 1][0]:
+        n += 1
+    return min(n, len(places))
 
 
 def _deletions(places: list[int], edits: int, gram: int, size: int) -> set[frozenset[int]]:
     """The sets of units that at most ``edits`` edits may delete or replace so that every place is changed and every edit changes a place.
 
     A lost or replaced unit x changes the places x - gram + 1 .. x, a unit put in before x those up
-    to x - 1.  More than ``MOST_SETS`` sets are not listed: the result then has one set more.
+    to x - 1.
     """
     near = sorted({x for p in places for x in range(max(p, 0), min(p + gram, size))})
     out: set[frozenset[int]] = set()
 
     def go(left: list[int], edits: int, gone: frozenset[int]) -> None:
-        if len(out) > MOST_SETS or _apart(left, gram) > edits:
+        if _apart(left, gram) > edits:
             return
         if left:
             p = left[0]
@@ -392,8 +389,6 @@ def _deletions(places: list[int], edits: int, gram: int, size: int) -> set[froze
             for x in range(max(p + 1, 0), min(p + gram, size + 1)):
                 go([q for q in left if not q < x < q + gram], edits - 1, gone)
             return
-        if gone in out and not edits:
-            return
         out.add(gone)
         if edits:
             for x in near:
@@ -404,46 +399,25 @@ def _deletions(places: list[int], edits: int, gram: int, size: int) -> set[froze
     return out
 
 
-def _beyond(edits: int, words: int, by_words: bool):
-    """Of each line its places whose grams the anchor lacks, with those grams, and the keys of lines all of whose such places the edits can change; see ``refine``."""
-    gram = WORD_GRAM if by_words else GRAM
-    pad = ["\n"] * (gram - 1)
+def _grams(units: list[str] | str, gram: int) -> list[bytes]:
+    """The grams of a line with blanks at both ends; place p of the list's entry p + gram - 1."""
+    padded = ["\n"] * (gram - 1) + list(units) + ["\n"] * (gram - 1)
+    return ["\r".join(padded[i : i + gram]).encode("utf-8", "surrogatepass") for i in range(len(units) + gram - 1)]
 
-    def grams(units: list[str]) -> list[str]:
-        padded = [*pad, *units, *pad]
-        return ["\r".join(padded[i : i + gram]) for i in range(len(units) + gram - 1)]
+
+def _beyond(by_words: bool):
+    """Of each line its places whose grams the anchor lacks, with those grams."""
+    gram = WORD_GRAM if by_words else GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _WORD.findall if by_words else list
         for batch in textnp.slices(batches, "q_text", 1 << 20):
-            most, out, both, own, asks, last = [], [], [], [], [], (None, set())
+            split, out, last, known = _WORD.findall if by_words else str, [], None, set()
             for h, a, b in zip(*(batch.column(c).to_pylist() for c in ("h", "q_text", "h_text")), strict=True):
-                if last[0] != h:
-                    last = h, set(grams(split(b)))
-                units = split(a)
-                beyond = [(g, i - gram + 1) for i, g in enumerate(grams(units)) if g not in last[1]]
-                # bounds of a pair: by words that of its shorter line
-                bounds = [edits] if not by_words else [e for e in range((len(units) - len(units) // words) // words, len(units) // words + 1) if e]
-                most.append(bounds[-1])
-                out.append([{"gram": _digest(h, 0, g.encode("utf-8", "surrogatepass")), "pos": p} for g, p in beyond])
-                places = [p for _, p in beyond]
-                need = _apart(places, gram)
-                keys_: tuple[list[int], list[int], list[int]] = [], [], []
-                for e in bounds:
-                    if need > e:
-                        continue
-                    sets = _deletions(places, e, gram, len(units))
-                    coarse = _digest(h, 1, e.to_bytes(4, "little"))
-                    keys_[1].append(coarse)
-                    if need < e or len(sets) > MOST_SETS:
-                        keys_[2].append(coarse)
-                    if len(sets) <= MOST_SETS:
-                        keys_[0].extend({_digest(h, 2, "\r".join([str(e), *(u for i, u in enumerate(units) if i not in gone)]).encode("utf-8", "surrogatepass")) for gone in sets})
-                for column, values in zip((both, own, asks), keys_, strict=True):
-                    column.append(values)
+                if last != h:
+                    last, known = h, set(_grams(split(b), gram))
+                out.append([{"gram": int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "little", signed=True), "pos": i - gram + 1} for i, g in enumerate(_grams(split(a), gram)) if g not in known])
             kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), pa.array(most, pa.int32()), pa.array(out, kind), *(pa.array(c, lists) for c in (both, own, asks))], names=["node", "h", "edits", "grams", "both", "own", "asks"])
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("h"), batch.column("q_text"), pa.array(out, kind)], names=["node", "h", "text", "grams"])
 
     return run
 
@@ -457,17 +431,44 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.combine_chunks().to_batches()
 
 
-def _keyed(gram: int):
-    """Keys of each line: ``both`` with its first grams, rare ones first."""
+def _keyed(edits: int, words: int, by_words: bool):
+    """Keys of each line, and the edits that change all its places, as its rank; see ``refine``."""
+    gram = WORD_GRAM if by_words else GRAM
+
+    def bounds(n: int) -> list[int]:
+        """The bounds of a line's pairs; by words that is of the shorter line."""
+        return [e for e in range((n - n // words) // words, n // words + 1) if e] if by_words else [edits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = []
-            for edits, grams, common, keys_ in zip(*(batch.column(c).to_pylist() for c in ("edits", "grams", "common", "both")), strict=True):
-                often = {x["gram"]: x["n"] for x in common or ()}
-                places = sorted(((often.get(x["gram"], 0), x["gram"]), x["pos"]) for x in grams)
-                both.append([*keys_, *{g for (_, g), _ in places[: _first_grams(places, edits, gram)]}])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), pa.array(both, pa.list_(pa.int64())), batch.column("own"), batch.column("asks")], names=["node", "h", "both", "own", "asks"])
+        for batch in textnp.slices(batches, "text", 1 << 20):
+            split = _WORD.findall if by_words else str
+            out: list[list[list[int]]] = [[], [], []]
+            ranks = []
+            for h, text, grams, common in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "grams", "common")), strict=True):
+                key = lambda *x, h=h: int.from_bytes(hashlib.blake2b("\r".join(map(str, x)).encode("utf-8", "surrogatepass"), digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+                units, known = split(text), set(common or ())
+                n = len(units)
+                places = sorted((x["gram"], x["pos"]) for x in grams if x["gram"] not in known)
+                at = sorted(p for _, p in places)
+                ranks.append(_apart(at, gram))
+                both = {key(0, g) for g, _ in places[: _first_grams(places, bounds(n)[-1], gram)]}
+                own, asks = set(), set()
+                for e in (e for e in bounds(n) if ranks[-1] <= e):
+                    need, step, reach = ranks[-1], e // 2 + 1, gram - 1 + e
+                    if e < 3:
+                        both.update(key(1, e, *(u for i, u in enumerate(units) if i not in gone)) for gone in _deletions(at, e, gram, n))
+                    else:
+                        both.update(key(1, e, x // (4 * reach)) for p in at for x in (p - reach, p, p + reach))
+                    if e == 2:  # with more, the keys above find what has a changed place in common
+                        own.update(key(2, e, p // (4 * reach)) for p in at)
+                        if need < e:
+                            asks.update(key(2, e, x // (4 * reach)) for p in at for x in (p - reach, p + reach))
+                    own.add(key(3, e, need, n // step))
+                    asks.update(key(3, e, j, x // step) for j in range(e - need + 1) for x in range(n - e, n + e + 1, step))
+                    asks.update(key(3, e, j, (n + e) // step) for j in range(e - need + 1))
+                for column, values in zip(out, (both, own, asks), strict=True):
+                    column.append(list(values))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("h"), pa.array(ranks, pa.int32()), *(pa.array(c, pa.list_(pa.int64())) for c in out)], names=["node", "h", "rank", "both", "own", "asks"])
 
     return run
 
@@ -527,24 +528,27 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     def refine(pairs: DataFrame, by_words: bool = False) -> DataFrame:
         """Keys from what a line has beyond its anchor.
 
-        A place of a line is beyond if the anchor lacks its gram (lines are padded at both ends).  An
-        edit changes as many neighbouring places as a gram has units.  Let the beyond grams of each
-        line stand in one fixed order, rare ones first.  If two linked lines share a beyond gram that
-        the edits leave, those before the first such gram are all changed by the edits, so both lines
-        have it among the shortest run of first grams whose places so many edits cannot change
-        together; these are keys.  Else the edits change all beyond places of both lines.  If each
-        edit changes a beyond place in both, the lines are equal without some of the units at such
-        places; a line's text without each such set is a key.  If an edit changes none in one of
-        them, one edit less can change all of that line's: such lines ask all of the anchor's lines
-        whose places the edits can change.  They mostly link to the anchor itself.
+        A place of a line is beyond if its gram is neither in the anchor nor common among the
+        anchor's lines (which are padded at both ends).  An edit changes as many neighbouring places
+        as a gram has units.  Let the beyond grams of each line stand in one fixed order.  If two
+        linked lines share a beyond gram that the edits leave, those before the first such gram are
+        all changed by the edits, so both lines have it among the shortest run of first grams whose
+        places so many edits cannot change together; these are keys (0).
+
+        Else the edits change all beyond places of both lines; the number of edits that this takes
+        is a line's rank.  If each edit changes a beyond place in both, the lines are equal without
+        some of the units at such places: a line's text without each such set is a key (1, for up to
+        two edits).  If some edit does, both lines have a beyond place near it (keys 2, or 1 for more
+        than two edits), and of two edits the other is missed by one line, so its rank is lower.  If
+        none does, the ranks add up to the edits at most (key 3, with the length).  Such lines mostly
+        link to the line of the lowest rank, with which they are compared first.
         """
-        gram = WORD_GRAM if by_words else GRAM
-        lists = "both array<bigint>, own array<bigint>, asks array<bigint>"
-        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond(edits, words, by_words), f"node bigint, h bigint, edits int, grams array<struct<gram:bigint,pos:int>>, {lists}"), "grams")
+        schema = "node bigint, h bigint, rank int, both array<bigint>, own array<bigint>, asks array<bigint>"
+        beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond(by_words), "node bigint, h bigint, text string, grams array<struct<gram:bigint,pos:int>>"), "grams")
         often = beyond.select("h", "grams").mapInArrow(_gram_counts, "h bigint, gram bigint, n bigint").groupBy("h", "gram").agg(F.sum("n").alias("n"))
-        many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 16).alias("most"))
-        common = often.join(many, "h").where("n > most").groupBy("h").agg(F.collect_list(F.struct("gram", "n")).alias("common"))
-        return beyond.join(common, "h", "left").select("node", "h", "edits", "grams", "common", "both", "own", "asks").mapInArrow(_keyed(gram), f"node bigint, h bigint, {lists}")
+        many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 8).alias("most"))
+        common = often.join(many, "h").where("n > most").groupBy("h").agg(F.collect_list("gram").alias("common"))
+        return beyond.join(common, "h", "left").select("h", "node", "text", "grams", "common").mapInArrow(_keyed(edits, words, by_words), schema)
 
     linked = link_components(postings, texts, compare, first_link, F.lit(True), None, "own", refine)
     # lengths that can link differ by one for each `words` words of the shorter

@@ -130,10 +130,10 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     in the group, c the shared keys; None opens all groups met.
 
     A key that more than ``CROWD`` components share would ask for all pairs of them. ``refine``
-    takes the items of such keys with the key's anchor, (node, h), and gives (node, h, both, own,
-    asks): two linked items of one anchor share a key in ``both``, or one has a key in ``asks`` that
-    the other has in ``own``.  Items are first compared with the smallest item of each such key,
-    and keys that are still crowded are refined once more, up to ``ROUNDS`` times.
+    takes the items of such keys with the key's anchor, (node, h), and gives (node, h, rank, both,
+    own, asks): two linked items of one anchor share a key in ``both``, or one has a key in ``asks``
+    that the other has in ``own``.  Items are first compared with the item of the lowest rank of each
+    such key, and keys that are still crowded are refined once more, up to ``ROUNDS`` times.
     """
     postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
     heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
@@ -160,10 +160,10 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
         refined = refine(items.select(F.col("node").alias("q"), "h"))
         keyed = written(refined.join(items, ["node", "h"]).drop("h"), "refined")
         kinds = (("both", True, True, True), ("own", True, False, False), ("asks", False, True, False))
-        rows = [keyed.select(F.explode(c).alias("token"), "node", "n", F.lit(ix).alias("ix"), F.lit(asks).alias("asks"), F.lit(mutual).alias("mutual"), "component") for c, ix, asks, mutual in kinds]
+        rows = [keyed.select(F.explode(c).alias("token"), "node", "n", F.lit(ix).alias("ix"), F.lit(asks).alias("asks"), F.lit(mutual).alias("mutual"), "component", "rank") for c, ix, asks, mutual in kinds]
         rows = rows[0].union(rows[1]).union(rows[2])
-        heads = rows.groupBy("token").agg(F.min(F.when(F.col("ix"), F.struct("node", "component"))).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("asks").alias("asked"))
-        shared = written(rows.join(heads.where("lo < hi AND asked AND head IS NOT NULL").select("token", "head"), "token").withColumn("h", F.col("head.node")), "shared")
+        heads = rows.groupBy("token").agg(F.min(F.when(F.col("ix"), F.struct("rank", "node", "component"))).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("asks").alias("asked"))
+        shared = written(rows.join(heads.where("lo < hi AND asked AND head IS NOT NULL").select("token", "head"), "token").drop("rank").withColumn("h", F.col("head.node")), "shared")
         pairs = written(shared.where("asks AND component <> head.component").select(F.col("node").alias("q"), "h").distinct(), "pairs")
         edges = written(edges.union(verify_pairs(pairs, texts, compare)), "links")
         components = connected_components(edges)
