@@ -24,8 +24,8 @@ from clausework.llm.shared import drop, written
 #: Rows that may be broadcast: ids of 8 to 24 bytes each, so some 24 MB at most.
 BROADCAST_ROWS = 400_000
 GROUP = 64
-#: Components of one key from which its items get finer keys, and how often.
-CROWD, ROUNDS = 8, 2
+#: Components of one key from which its items get finer keys.
+CROWD = 8
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     takes the items of such keys with the key's anchor, (node, h), and gives (node, h, rank, both,
     own, asks): two linked items of one anchor share a key in ``both``, or one has a key in ``asks``
     that the other has in ``own``.  Items are first compared with the item of the lowest rank of each
-    such key, and keys that are still crowded are refined once more, up to ``ROUNDS`` times.
+    such key, and components that then still share a key group by group.
     """
     postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
     heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
@@ -150,12 +150,9 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     open_rows = _open(labelled)
     drop(labelled)
     settled = None
-    for _ in range(ROUNDS if refine is not None else 0):
-        crowds = written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > CROWD).select("token"), "crowds")
-        if crowds.isEmpty():
-            break
-        others = open_rows.join(crowds, "token", "left_anti")
-        settled = others if settled is None else settled.union(others)
+    crowds = written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > CROWD).select("token"), "crowds") if refine is not None else None
+    if crowds is not None and not crowds.isEmpty():
+        settled = open_rows.join(crowds, "token", "left_anti")
         items = written(open_rows.join(crowds, "token").groupBy("node", "h").agg(F.max("n").alias("n"), F.first("component").alias("component")), "crowded")
         refined = refine(items.select(F.col("node").alias("q"), "h"))
         keyed = written(refined.join(items, ["node", "h"]).drop("h"), "refined")
@@ -163,17 +160,17 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
         rows = [keyed.select(F.explode(c).alias("token"), "node", "n", F.lit(ix).alias("ix"), F.lit(asks).alias("asks"), F.lit(mutual).alias("mutual"), "component", "rank") for c, ix, asks, mutual in kinds]
         rows = rows[0].union(rows[1]).union(rows[2])
         heads = rows.groupBy("token").agg(F.min(F.when(F.col("ix"), F.struct("rank", "node", "component"))).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("asks").alias("asked"))
-        shared = written(rows.join(heads.where("lo < hi AND asked AND head IS NOT NULL").select("token", "head"), "token").drop("rank").withColumn("h", F.col("head.node")), "shared")
-        pairs = written(shared.where("asks AND component <> head.component").select(F.col("node").alias("q"), "h").distinct(), "pairs")
+        shared = written(rows.join(heads.where("lo < hi AND asked AND head IS NOT NULL").select("token", "head"), "token").drop("rank"), "shared")
+        pairs = written(shared.where("asks AND component <> head.component").select(F.col("node").alias("q"), F.col("head.node").alias("h")).distinct(), "pairs")
         edges = written(edges.union(verify_pairs(pairs, texts, compare)), "links")
         components = connected_components(edges)
         labelled = _labelled(shared.drop("component", "head"), components)
         drop(items, keyed, shared, pairs)
-        open_rows = _open(labelled)
+        finer = _open(labelled)
         drop(labelled)
     columns = ["token", "node", "n", "ix", "asks", "mutual"]
     if settled is not None:  # components have grown since
-        open_rows = _labelled(settled.select(columns).union(open_rows.select(columns)), components)
+        open_rows = _labelled(settled.select(columns).union(finer.select(columns)), components)
     groups = open_rows.where("ix").groupBy("token", F.col("gid").alias("group")).agg(F.first("component").alias("owner"))
     met = open_rows.where("asks").join(groups, "token").where("component > owner OR component < owner AND NOT mutual").groupBy("node", F.col("group").alias("gid")).agg(F.min("n").alias("n"), F.max("n").alias("top_n"), F.count("*").alias("c"))
     sizes = open_rows.where("ix").groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
