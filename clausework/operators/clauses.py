@@ -6,6 +6,10 @@ clause.  All windows are partitioned by document.
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +23,13 @@ def segmented(blocks: DataFrame) -> DataFrame:
     """(doc_id, idx, number, heading, text) from ``blocks(doc_id, pos, text, is_heading)``.
 
     With two keyword numbers or more ("Article 5") only these start clauses; else top-level numbers
-    do.  Headings always start one.  What stands before the first is the preamble.
+    do.  Headings always start one.  What stands before the first is the preamble.  With a column
+    ``alt``, the text of each block in the other language, clauses also get heading_alt and text_alt.
     """
     doc = Window.partitionBy("doc_id")
     run = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = blocks.select("doc_id", "pos", "text", "is_heading", T.clause_number(F.col("text")).alias("m"))
+    two = "alt" in blocks.columns
+    rows = blocks.select("doc_id", "pos", "text", "is_heading", T.clause_number(F.col("text")).alias("m"), (F.coalesce("alt", F.lit("")) if two else F.lit("")).alias("alt"))
     keyword = F.coalesce(F.col("m.keyword") != "", F.lit(False))
     many = F.count_if(keyword).over(doc) >= 2
     top = F.coalesce(~F.col("m.number").contains("."), F.lit(False))
@@ -33,14 +39,17 @@ def segmented(blocks: DataFrame) -> DataFrame:
     marked = marked.withColumn("clause", F.count_if("starts").over(run)).withColumn("split", T.heading_split(F.col("m.rest")))
     body = F.when(~F.col("starts"), F.col("text")).when(F.col("numbered"), F.col("split.body")).otherwise("")
     first = lambda c: F.max(F.when(F.col("starts"), c))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", body.alias("t")))), lambda x: x["t"])
+    joined = lambda c: F.trim(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("t")))), lambda x: x["t"]), lambda t: t != ""), "\n"))
+    other = T.alternate_heading(F.col("alt"))
+    started = F.col("starts") & (F.col("alt") != "")
     per = marked.groupBy("doc_id", "clause").agg(
         first(F.when(F.col("numbered"), F.col("m.number"))).alias("number"),
         first(F.when(F.col("numbered"), F.col("split.heading")).otherwise(F.col("text"))).alias("heading"),
-        F.trim(F.array_join(F.filter(parts, lambda t: t != ""), "\n")).alias("text"),
+        joined(body).alias("text"),
+        *([F.coalesce(first(F.when(started, other["heading"])), F.lit("")).alias("heading_alt"), joined(F.when(started, other["body"]).otherwise(F.col("alt"))).alias("text_alt")] if two else []),
     )
     place = F.row_number().over(doc.orderBy("clause")) - 1
-    return per.select("doc_id", place.cast("bigint").alias("idx"), "number", F.when(F.col("clause") == 0, "Preamble").otherwise(F.col("heading")).alias("heading"), "text")
+    return per.select("doc_id", place.cast("bigint").alias("idx"), "number", F.when(F.col("clause") == 0, "Preamble").otherwise(F.col("heading")).alias("heading"), "text", *["heading_alt", "text_alt"] * two)
 
 
 def labelled(clauses: DataFrame, hints: DataFrame) -> DataFrame:
@@ -61,7 +70,7 @@ def labelled(clauses: DataFrame, hints: DataFrame) -> DataFrame:
     top = best.groupBy("doc_id", "idx").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     out = clauses.join(top, ["doc_id", "idx"], "left")
     preamble = F.col("heading") == "Preamble"
-    return out.select(*clauses.columns, F.when(preamble, "parties").otherwise(F.coalesce("b.key", F.lit("other"))).alias("clause_key"), F.round(F.when(preamble, 0.7).otherwise(F.coalesce("b.score", F.lit(0.0))), 3).alias("confidence"))
+    return out.select(*clauses.columns, F.when(preamble, "parties").otherwise(F.coalesce("b.key", F.lit("other"))).alias("clause_key"), F.round(F.when(preamble, 0.7).otherwise(F.coalesce("b.score", F.lit(0.0))), 2).alias("confidence"))
 
 
 def evaluated(rules: DataFrame, clauses: DataFrame, documents: DataFrame) -> DataFrame:
@@ -105,22 +114,45 @@ def law_pairs(law_rules: DataFrame, clauses: DataFrame) -> DataFrame:
     return met.where((F.size("triggers") == 0) | F.exists("triggers", lambda t: F.contains(low, F.lower(t)))).select("doc_id", "idx", "law_rule")
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """Typed values that one language version of a clause has and the other lacks: (pair_id, kind, side, value).
+#: Kinds of differences: how severe and how certain they are.
+KINDS = {"amount": ("high", 0.9), "percent": ("high", 0.9), "duration": ("high", 0.9), "date": ("high", 0.9), "tax_code": ("high", 0.9), "number": ("medium", 0.75), "negation": ("medium", 0.6), "figure_words": ("high", 0.95), "missing_counterpart": ("medium", 0.7)}
+
+
+def differences(pairs: DataFrame, languages: tuple[str, str] = ("vi", "en"), graded: bool = False) -> DataFrame:
+    """Values that one language version of a clause has and the other lacks: (pair_id, kind, side, value[, severity, confidence]).
 
     Values become (pair, kind, value) rows with a signed count; one aggregate gives both directions.
+    A figure that contradicts its words within one version, and a negation in one version alone,
+    are differences too.  ``pairs`` has pair_id, primary, other and, if known, clause_key: parties
+    and signatures need no counterpart.
     """
+    texts = pairs.withColumns({c: T.nfc(F.coalesce(c, F.lit(""))) for c in ("primary", "other")})
+    text = lambda x: x.cast("string")
+    period = lambda x: F.when(x["unit"] == "mo", text(x["value"])).otherwise(F.concat_ws(" ", text(x["value"]), x["unit"]))
+
     def rows(side: str, sign: int) -> DataFrame:
         c = F.col(side)
-        kinds = {"amount": F.transform(V.amounts(c), lambda a: F.concat_ws(" ", a["currency"], F.format_number(a["value"], 2))), "percent": F.transform(V.percents(c), lambda x: x.cast("string")), "duration": F.transform(V.durations(c), lambda x: x.cast("string")), "date": F.transform(V.dates(c), lambda x: x.cast("string")), "tax_code": V.tax_codes(c)}
+        kinds = {
+            "amount": F.transform(V.amounts(c), lambda a: F.format_number(a["value"], 2)), "percent": F.transform(V.percents(c), text), "duration": F.transform(V.periods(c), period),
+            "date": F.transform(V.dates(c), lambda x: text(x["value"])), "tax_code": V.tax_codes(c), "number": F.transform(V.standalone_numbers(c), text),
+            "negation": F.when(V.negated(c, languages[sign < 0]), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
+        }
         named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))
         each = F.concat(*[F.transform(v, named(k)) for k, v in kinds.items()])
-        return pairs.where("primary <> '' AND other <> ''").select("pair_id", F.explode(each).alias("x")).select("pair_id", "x.kind", "x.value", F.lit(sign).alias("n"))
+        return texts.where("trim(primary) <> '' AND trim(other) <> ''").select("pair_id", F.explode(each).alias("x")).select("pair_id", "x.kind", "x.value", F.lit(sign).alias("n"))
 
     uneven = rows("primary", 1).union(rows("other", -1)).groupBy("pair_id", "kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
     found = uneven.select("pair_id", "kind", F.when(F.col("n") > 0, "primary").otherwise("other").alias("side"), "value")
-    absent = pairs.where("(primary = '') <> (other = '')").select("pair_id", F.lit("missing_counterpart").alias("kind"), F.when(F.col("primary") == "", "other").otherwise("primary").alias("side"), F.lit("").alias("value"))
-    return found.union(absent)
+    spelled = lambda side: texts.where("trim(other) <> ''").select("pair_id", F.lit(side).alias("side"), F.explode(V.figures_with_words(F.col(side))).alias("x"))
+    unequal = spelled("primary").union(spelled("other")).where("x.words_value <> floor(x.figure)")
+    found = found.union(unequal.select("pair_id", F.lit("figure_words"), "side", "x.span"))
+    needed = ~F.col("clause_key").isin("parties", "signatures") if "clause_key" in pairs.columns else F.lit(True)
+    absent = texts.where("(trim(primary) = '') <> (trim(other) = '')").where(F.coalesce(needed, F.lit(True)))
+    found = found.union(absent.select("pair_id", F.lit("missing_counterpart").alias("kind"), F.when(F.trim("primary") == "", "other").otherwise("primary").alias("side"), F.lit("").alias("value")))
+    if not graded:
+        return found
+    grade = F.create_map(*[x for k, (s, c) in KINDS.items() for x in (F.lit(k), F.struct(F.lit(s).alias("severity"), F.lit(c).alias("confidence")))])
+    return found.withColumn("g", F.element_at(grade, F.col("kind"))).select(*found.columns, "g.severity", "g.confidence")
 
 
 def contract_type(text: Column, types: dict[str, list[str]]) -> Column:
@@ -150,34 +182,45 @@ def micro_scores(predicted: Column, gold: Column) -> list[Column]:
 
 
 def word_changes(old: str, new: str, cells: int = 400_000) -> list[tuple[str, str]]:
-    """(op, text) runs of a word diff: longest common subsequence, deletions first; too large is one replacement."""
-    a, b = old.split(), new.split()
+    """(op, text) runs of a word diff along a longest common subsequence; words and the blanks between them are tokens.
+
+    Where there is a choice the old text's token goes first.  A common blank between two changes
+    belongs to both, so a replaced phrase is one deletion and one insertion.  Texts of more than
+    ``cells`` pairs of tokens are one replacement.
+    """
+    a, b = (re.findall(r"\s+|\S+", x) for x in (old, new))
     if len(a) * len(b) > cells:
-        return [("delete", old), ("insert", new)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return [run for run in (("delete", old), ("insert", new)) if run[1]]
+    words = np.array(b, object)
+    # ahead[i][j]: tokens that a[i:] and b[j:] have in common in this order
+    ahead = [np.zeros(len(b) + 1, int)]
+    for token in reversed(a):
+        below = ahead[-1]
+        best = np.maximum(below[:-1], (words == token) * (below[1:] + 1))
+        ahead.append(np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(int))
+    ahead.reverse()
     i = j = 0
-    runs: list[tuple[str, list[str]]] = []
-
-    def put(op: str, word: str) -> None:
-        if runs and runs[-1][0] == op:
-            runs[-1][1].append(word)
-        else:
-            runs.append((op, [word]))
-
+    steps: list[tuple[str, str]] = []
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i] == b[j]:
-            put("equal", a[i])
+            steps.append(("equal", a[i]))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            put("delete", a[i])
+        elif i < len(a) and (j == len(b) or ahead[i + 1][j] == ahead[i][j]):
+            steps.append(("delete", a[i]))
             i += 1
         else:
-            put("insert", b[j])
+            steps.append(("insert", b[j]))
             j += 1
-    return [(op, " ".join(words)) for op, words in runs]
+    change = [op != "equal" for op, _ in steps]
+    for k in range(1, len(steps) - 1):
+        change[k] |= steps[k][1].isspace() and steps[k - 1][0] != "equal" != steps[k + 1][0]
+    runs = []
+    for changed, group in itertools.groupby(range(len(steps)), key=change.__getitem__):
+        part = [steps[k] for k in group]
+        sides = (("delete", "insert"), ("insert", "delete")) if changed else (("equal", ""),)
+        texts = [(op, "".join(t for o, t in part if o != other)) for op, other in sides]
+        runs += [run for run in texts if run[1]]
+    return runs
 
 
 @F.pandas_udf(ArrayType(StructType().add("op", StringType()).add("text", StringType())))

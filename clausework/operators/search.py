@@ -21,16 +21,32 @@ def ranked(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _scores(units: DataFrame, queries: DataFrame, form) -> DataFrame:
+    terms = queries.select("qid", F.explode(F.slice(T.search_terms(form(F.col("text"))), 1, MAX_TERMS)).alias("term"))
+    words = units.select("id", F.explode(T.tokens(form(F.col("text")))).alias("term"))
+    wanted = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return wanted.join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
+
+
 def lexical(units: DataFrame, queries: DataFrame, k: int = 20, form=lambda c: c) -> DataFrame:
     """(qid, id, score, rank): a tenth of the summed frequencies of up to 24 query terms in each unit.
 
     ``form`` is applied to texts and queries first (``unaccented`` for the second index).
     """
-    terms = queries.select("qid", F.explode(F.slice(T.search_terms(form(F.col("text"))), 1, MAX_TERMS)).alias("term"))
-    words = units.select("id", F.explode(T.tokens(form(F.col("text")))).alias("term"))
-    wanted = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    score = wanted.join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
-    return ranked(score, "qid", [F.desc("score"), F.col("id")], k)
+    return ranked(_scores(units, queries, form), "qid", [F.desc("score"), F.col("id")], k)
+
+
+def searched(units: DataFrame, queries: DataFrame, jurisdictions: list[str], asof: str, require_verified: bool = False, k: int = 20) -> DataFrame:
+    """(qid, id, score, rank) over two indexes, as written and without accents; the better score counts.
+
+    Only units of the jurisdictions, in force at ``asof`` and, if required, verified are searched:
+    ``units(id, text, jurisdiction, status, effective_from, effective_to, review_status)``.
+    """
+    held = units.where(F.col("jurisdiction").isin(jurisdictions) & in_force(F.lit(asof).cast("date")))
+    if require_verified:
+        held = held.where("review_status = 'verified'")
+    both = _scores(held, queries, lambda c: c).union(_scores(held, queries, T.unaccented))
+    return ranked(both.groupBy("qid", "id").agg(F.max("score").alias("score")), "qid", [F.desc("score"), F.col("id")], k)
 
 
 def reranked(hits: DataFrame, units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -76,21 +92,32 @@ def fused(lexical_hits: DataFrame, dense_hits: DataFrame, k: int) -> DataFrame:
     return out.select("qid", "id", "score", "rank")
 
 
-def quoted(units: DataFrame, passages: DataFrame, lead: int = 6) -> DataFrame:
-    """(id, pid) where the passage stands word for word in the unit (canonical form).
+def quoted(units: DataFrame, passages: DataFrame, lead: int = 6, chars: int = 6) -> DataFrame:
+    """(id, pid) where the passage is a part of the unit's text (both in canonical form).
 
-    Candidates share the passage's first ``lead`` words, an equi-join on hashes; only they are compared.
+    The first and the last word of a passage may be parts of longer ones, those between are whole:
+    candidates share the first ``lead`` of these, an equi-join on hashes.  Passages without such
+    words join on their first ``chars`` characters.  Only candidates are compared.
     """
-    words = lambda c: F.split(T.canonical(F.coalesce(c, F.lit(""))), " ")
-    p = passages.select("pid", T.canonical(F.col("text")).alias("p"), words(F.col("text")).alias("w")).where("p <> ''")
-    p = p.select("pid", "p", F.least(F.size("w"), F.lit(lead)).alias("n"), F.xxhash64(F.array_join(F.slice("w", 1, lead), " ")).alias("h"))
-    sizes = [r.n for r in p.select("n").distinct().collect()]  # at most ``lead`` values
-    u = units.select("id", "text", words(F.col("text")).alias("w"))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
-    lists = [F.when(F.size("w") >= n, grams(n)).otherwise(F.expr("array()").cast("array<bigint>")) for n in sizes] or [F.expr("array()").cast("array<bigint>")]
-    keyed = u.select("id", F.explode(F.array_distinct(F.concat(*lists))).alias("h"))
-    met = keyed.join(p.select("h", "pid"), "h").select("id", "pid").distinct()
-    return met.join(units.select("id", "text"), "id").join(p.select("pid", "p"), "pid").where(F.contains(T.canonical(F.col("text")), F.col("p"))).select("id", "pid")
+    words = lambda c: F.split(c, " ")
+    p = passages.select("pid", T.canonical(F.coalesce("text", F.lit(""))).alias("p")).where("p <> ''").withColumn("w", words(F.col("p")))
+    inner = F.slice("w", 2, F.least(F.size("w") - 2, F.lit(lead)))
+    long = p.where(F.size("w") > 2).select("pid", "p", F.size(inner).alias("n"), F.xxhash64(F.array_join(inner, " ")).alias("h"))
+    short = p.where(F.size("w") <= 2).select("pid", "p", F.least(F.length("p"), F.lit(chars)).alias("n")).withColumn("h", F.xxhash64(F.expr("substring(p, 1, n)")))
+    u = units.select("id", T.canonical(F.coalesce("text", F.lit(""))).alias("t"))
+    runs = lambda size, n, part: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), part)).otherwise(F.array().cast("array<bigint>"))
+
+    def keyed(found: DataFrame, grams) -> DataFrame:
+        sizes = [r.n for r in found.select("n").distinct().collect()]  # at most ``lead`` or ``chars`` values
+        if not sizes:
+            return u.select("id").limit(0).join(found.select("pid"), F.lit(False))
+        hashes = u.select("id", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("h"))
+        return hashes.join(found.select("h", "pid"), "h").select("id", "pid").distinct()
+
+    by_words = keyed(long, lambda n: T.bound(words(F.col("t")), lambda w: runs(F.size(w), n, lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))))
+    by_chars = keyed(short, lambda n: runs(F.length("t"), n, lambda i: F.xxhash64(F.substring("t", i, n))))
+    met = by_words.union(by_chars)
+    return met.join(u, "id").join(p.select("pid", "p"), "pid").where(F.contains("t", "p")).select("id", "pid")
 
 
 def support(claim: Column, unit: Column, quotes: Column | None = None) -> Column:
