@@ -220,8 +220,8 @@ def spans(words: int, most: int) -> np.ndarray:
     return out
 
 
-def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each of the given lines, and the keys (line, key) of those with at least ``words`` words."""
+def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each of the given lines, and the keys (line, key, place of the key's first word) of those with at least ``words`` words."""
     base = hashes.base
     part = points[base : base + len(hashes.sums) - 1]
     solid = ~_blank(part)
@@ -247,23 +247,20 @@ def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.nda
     long = n[line] >= words
     starts, ends, line = starts[long], ends[long], line[long]
     if len(starts) < 2 * RUN:
-        return n, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return n, *(np.zeros(0, np.int64) for _ in range(3))
+    place = np.arange(len(starts)) - np.searchsorted(line, line)
     grams = textnp.shingles(hashes.of(starts, ends), RUN)
     size = np.minimum(spans(words, int(n.max()))[n], MOST_SPAN)[line]  # words of each word's spans
-    found, least = [], grams
+    found, least = [], np.arange(len(grams))  # where the first least run of each span begins
     for width in range(RUN, MOST_SPAN + 1):
         if width > RUN:
-            least = np.minimum(least[:-1], grams[width - RUN :])
+            other = np.arange(width - RUN, len(grams))
+            least = np.where(grams[least[:-1]] <= grams[other], least[:-1], other)
         at = np.flatnonzero(size[: len(least)] == width)
         at = at[line[at] == line[at + width - 1]]
-        found.append((line[at], least[at]))
-    line, key = (np.concatenate(x) for x in zip(*found, strict=True))
-    key = key.view(np.int64)
-    order = np.lexsort((key, line))
-    line, key = line[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    return n, line[new], key[new]
+        found.append(least[at])
+    at = np.unique(np.concatenate(found))
+    return n, line[at], grams[at].view(np.int64), place[at]
 
 
 def words_within(a: list[str], b: list[str], words: int) -> bool:
@@ -311,21 +308,26 @@ def _lines(edits: int, min_chars: int, words: int):
                 node = hashes.of(first, end).view(np.int64)
                 some = np.flatnonzero(end - first >= min_chars)
                 once = np.sort(some[np.unique(node[some], return_index=True)[1]])
-                n_words, long, word = word_keys(hashes, lines.points, first, end, words)
+                n_words, long, word, place = word_keys(hashes, lines.points, first, end, words)
                 # an edit changes three words at most, so that longer lines within the edits also link by words
                 pick = once[n_words[once] < 3 * edits * (words + 1)]
                 line, key, own = keys(hashes, first[pick], end[pick], edits)
                 columns = [*(batch.column(c).take(pa.array(lines.doc[i:j])) for c in ("__key", "__version")), pa.array(lines.number[i:j], pa.int64()), pa.array(node), pa.array(end - first, pa.int64())]
                 unique = np.zeros(n, bool)
                 unique[once] = True
-                long, word = long[unique[long]], word[unique[long]]
-                columns += [pa.array(n_words, pa.int64()), textnp.as_list(word, np.concatenate([[0], np.cumsum(np.bincount(long, minlength=n))]), pa.int64())]
+                long, word, place = (x[unique[long]] for x in (long, word, place))
+                order = np.lexsort((place, word, long))
+                long, word, place = long[order], word[order], place[order]
+                new = np.flatnonzero(np.append(True, (long[1:] != long[:-1]) | (word[1:] != word[:-1]))) if len(long) else np.zeros(0, np.int64)
+                places = textnp.as_list(place, np.append(new, len(long)), pa.int32())  # of each key
+                ends = np.concatenate([[0], np.cumsum(np.bincount(long[new], minlength=n))])
+                columns += [pa.array(n_words, pa.int64()), textnp.as_list(word[new], ends, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)]
                 for which in (own, ~own):
                     at = np.flatnonzero(which)
                     at = at[np.argsort(line[at], kind="stable")]
                     ends = np.cumsum(np.bincount(pick[line[at]], minlength=n))
                     columns.append(textnp.as_list(key[at], np.concatenate([[0], ends]), pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "number", "hash", "size", "n_words", "runs", "own", "probes"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "number", "hash", "size", "n_words", "runs", "places", "own", "probes"])
 
     return run
 
@@ -478,7 +480,7 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     if words < 4 * RUN:
         raise ValueError(f"words must be at least {4 * RUN}: shorter lines need not share {2 * RUN} words in a row")
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
-    parsed = rows.withColumn("__version", F.xxhash64("__text")).mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, version bigint, number bigint, hash bigint, size bigint, n_words bigint, runs array<bigint>, own array<bigint>, probes array<bigint>")
+    parsed = rows.withColumn("__version", F.xxhash64("__text")).mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, version bigint, number bigint, hash bigint, size bigint, n_words bigint, runs array<bigint>, places array<array<int>>, own array<bigint>, probes array<bigint>")
     lines = written(parsed, "lines")
     firsts = written(lines.groupBy("hash").agg(F.min(F.struct("key", "version", "number")).alias("at"), F.min("key").alias("known"), F.count("*").alias("n")), "firsts")
     nameless = not firsts.where("known IS NULL").isEmpty()
@@ -496,7 +498,19 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
             held = held.union(free.join(bounded(others, n), "v").dropDuplicates(["v"]).select("__text", "wanted"))
         return ids.join(held.mapInArrow(_find, "node bigint, text string").dropDuplicates(["node"]), "node")
 
-    runs = lines.select(F.explode("runs").alias("token"), F.col("hash").alias("node"), F.col("n_words").alias("n"))
+    runs = lines.select(F.explode(F.arrays_zip("runs", "places")).alias("x"), "hash", "n_words").select(F.col("x.runs").alias("token"), F.col("hash").alias("node"), F.col("n_words").alias("n"), F.col("x.places").alias("places"))
+
+    def apart(crowded: DataFrame) -> DataFrame:
+        """Rows of common runs by the line's length and the run's place in it, neither of which differs by more than the edits."""
+        n, at = F.col("n"), F.col("place")
+        bounds = F.filter(F.sequence(F.floor((n - F.floor(n / words)) / words), F.floor(n / words)), lambda e: e > 0)
+        rows = crowded.withColumn("place", F.explode("places")).withColumn("e", F.explode(bounds)).withColumn("w", 2 * F.col("e") + 1)
+        e, w = F.col("e"), F.col("w")
+        near = lambda x: F.sequence(F.floor((x - e) / w), F.floor((x + e) / w))
+        cells = F.flatten(F.transform(near(n), lambda i: F.transform(near(at), lambda j: F.struct(i.alias("i"), j.alias("j"), F.lit(False).alias("ix")))))
+        own = F.array(F.struct(F.floor(n / w).alias("i"), F.floor(at / w).alias("j"), F.lit(True).alias("ix")))
+        rows = rows.withColumn("c", F.explode(F.concat(own, cells)))
+        return rows.select(F.xxhash64("token", "e", "c.i", "c.j").alias("token"), "node", "n", F.col("c.ix").alias("ix"), (~F.col("c.ix")).alias("asks"), F.lit(False).alias("mutual"), "h", "component").distinct()
 
     def compare(one: pa.Array, two: pa.Array) -> list[bool]:
         return [within(a, b, edits) for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)]
@@ -554,7 +568,7 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     # lengths that can link differ by one for each `words` words of the shorter
     n, hn, lo, hi = (F.col(x) for x in ("n", "hn", "lo", "hi"))
     fits = lambda a, b: b - a <= F.floor(a / words)
-    alike = link_components(runs, texts, compare_words, first_word_link, fits(n, hn) & fits(hn, n), fits(n, lo) & fits(hi, n), None, lambda pairs: refine(pairs, True))
+    alike = link_components(runs, texts, compare_words, first_word_link, fits(n, hn) & fits(hn, n), fits(n, lo) & fits(hi, n), None, lambda pairs: refine(pairs, True), apart)
     linked = connected_components(linked.union(alike).select(F.col("node").alias("a"), F.col("component").alias("b")))
     classed = linked.join(firsts, linked.node == firsts.hash).select("node", "component", "at")
     tops = classed.groupBy("component").agg(F.min("at").alias("top"))

@@ -120,7 +120,12 @@ def _open(labelled: DataFrame) -> DataFrame:
     return written(labelled.join(mixed, "token"), "open")
 
 
-def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column | None, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _crowds(open_rows: DataFrame, most: int = CROWD) -> DataFrame:
+    """Tokens of more than ``most`` components."""
+    return written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > most).select("token"), "crowds")
+
+
+def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column | None, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, apart: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of all linked items.
 
     ``postings(token, node, n)``: n is the item's size.  With ``indexed`` (a boolean column of the
@@ -133,13 +138,14 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     takes the items of such keys with the key's anchor, (node, h), and gives (node, h, rank, both,
     own, asks): two linked items of one anchor share a key in ``both``, or one has a key in ``asks``
     that the other has in ``own``.  Items are first compared with the item of the lowest rank of each
-    such key, and components that then still share a key group by group.
+    such key, and components that then still share a key group by group.  ``apart`` first gives rows
+    of crowded keys narrower keys that need no texts; ``postings`` then has a column ``places`` for it.
     """
     postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
     heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
     if not indexed:
         heads = heads.where("h < top")
-    shared = written(postings.join(heads, "token").where("h < top OR node <> h").select("token", "node", "n", "ix", F.lit(True).alias("asks"), F.lit(not indexed).alias("mutual"), "h"), "shared")
+    shared = written(postings.join(heads, "token").where("h < top OR node <> h").select("token", "node", "n", "ix", F.lit(True).alias("asks"), F.lit(not indexed).alias("mutual"), "h", *["places"] * (apart is not None)), "shared")
     met = shared.where("node <> h").groupBy("node", "h").agg(F.max("n").alias("n"), F.count("*").alias("c"))
     head_sizes = shared.where("node = h").groupBy("h").agg(F.max("n").alias("hn")) if not indexed else shared.select("h", F.lit(0).alias("hn")).distinct()
     pairs = written(met.join(head_sizes, "h").where(near).select(F.col("node").alias("q"), "h"), "pairs")
@@ -150,8 +156,16 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     open_rows = _open(labelled)
     drop(labelled)
     settled = None
-    crowds = written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > CROWD).select("token"), "crowds") if refine is not None else None
-    if crowds is not None and not crowds.isEmpty():
+    columns = ["token", "node", "n", "ix", "asks", "mutual"]
+    crowds = _crowds(open_rows) if refine is not None or apart is not None else None
+    if apart is not None and not crowds.isEmpty():
+        narrow = written(apart(open_rows.join(crowds, "token")), "narrow")
+        heads = narrow.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        kept = [*columns, "h", "component"]
+        open_rows = written(open_rows.join(crowds, "token", "left_anti").select(kept).union(narrow.join(heads, "token").select(kept)), "open")
+        drop(narrow)
+        crowds = _crowds(open_rows, 4 * CROWD)
+    if refine is not None and not crowds.isEmpty():
         settled = open_rows.join(crowds, "token", "left_anti")
         items = written(open_rows.join(crowds, "token").groupBy("node", "h").agg(F.max("n").alias("n"), F.first("component").alias("component")), "crowded")
         refined = refine(items.select(F.col("node").alias("q"), "h"))
@@ -168,9 +182,10 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
         drop(items, keyed, shared, pairs)
         finer = _open(labelled)
         drop(labelled)
-    columns = ["token", "node", "n", "ix", "asks", "mutual"]
     if settled is not None:  # components have grown since
         open_rows = _labelled(settled.select(columns).union(finer.select(columns)), components)
+    elif "gid" not in open_rows.columns:
+        open_rows = _labelled(open_rows.select(columns), components)
     groups = open_rows.where("ix").groupBy("token", F.col("gid").alias("group")).agg(F.first("component").alias("owner"))
     met = open_rows.where("asks").join(groups, "token").where("component > owner OR component < owner AND NOT mutual").groupBy("node", F.col("group").alias("gid")).agg(F.min("n").alias("n"), F.max("n").alias("top_n"), F.count("*").alias("c"))
     sizes = open_rows.where("ix").groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
