@@ -234,12 +234,12 @@ def _search(shared, first_pass: bool, last_pass: bool, shard_bytes: int):
     return run
 
 
-def removal_spans(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+def removal_spans(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None, found_col: str = "__found") -> DataFrame:
     """One row per document: words, merged spans (word places, end excluded) and the items found.
 
     ``block_bytes`` bounds what is read of the benchmark at once; ``shard_bytes`` bounds an index.
-    With ``carry``, these columns of ``df`` come back with one struct ``__found`` in place of the
-    separate columns, whatever names they have; nothing is joined or shuffled.
+    With ``carry``, these columns of ``df`` come back with one struct ``found_col`` in place of the
+    separate columns; nothing is joined or shuffled.
     """
     spark = df.sparkSession
     wanted = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("t")).where("item IS NOT NULL AND t IS NOT NULL")
@@ -255,7 +255,7 @@ def removal_spans(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         rows = rows.mapInArrow(_search(shared, b == 0, last, shard_bytes), f"__key {kind}, n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>" + ", __text string" * (not last))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
     if carry:
-        return rows.select("__key.*", F.struct("n_words", n_hit.alias("n_hit"), "spans", "items").alias("__found"))
+        return rows.select("__key.*", F.struct("n_words", n_hit.alias("n_hit"), "spans", "items").alias(found_col))
     return rows.select(F.col("__key").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 

@@ -12,7 +12,7 @@ partition's number times 2**33 plus a running number.
 
 Ids are those of ``tokenizers`` with ``byte_bpe_50k.json`` (special strings in a text keep their
 own id, as is that library's default); they are made by ``tiktoken`` from the same vocabulary's
-ranks, which gives equal ids several times faster (``tests/llm/test_packing.py`` compares them).
+ranks, which gives equal ids several times faster (``tests/llm/test_packing_and_tokens.py`` compares them).
 
 Defined results: a null or empty text is the end id alone; rows repeat as they come, each with its
 own pieces; an empty table gives an empty result; only the two named columns are read.
