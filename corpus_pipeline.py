@@ -7,7 +7,9 @@ shingles, similarity 0.8 or more) stays, the one with the smallest id; contamina
 the rest is packed.
 
 Rows with the same id are one document to the near duplicate stage, and to line dedup if their texts
-are equal too. Rows without id pass the near duplicate stage.
+are equal too. Rows without id pass the near duplicate stage. Null and empty texts are clean, have no
+lines and no shingles, and stay; each packs as one end mark. Columns beyond those used, of any name,
+come back as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,8 +50,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
-    found = decontaminate.removal_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns)
-    return found.where(~decontaminate.contaminated("__found")).select(*docs.columns)
+    found = fresh("__found", docs.columns)
+    spans = decontaminate.removal_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=docs.columns, found_col=found)
+    return spans.where(~decontaminate.contaminated(found)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
