@@ -11,7 +11,7 @@ import __spark_entry__
 from clausework.functions import text as T
 from clausework.operators import clauses as C
 from clausework.operators import findings as R
-from clausework.plans import catalog
+from clausework.plans import catalog, contracts, texts  # noqa: F401  (they add to the catalogue)
 from clausework.sources import parsing
 from clausework.streaming import limits
 
@@ -48,6 +48,8 @@ def test_page_lines():
     html = "<html><head><title>An  Act</title><style>x</style></head><body><nav>menu</nav><div class='breadcrumb'>home <p>in</p></div><h1>Part 1</h1><p>One&amp;two <b>bold</b><br>next</p><script>no()</script><footer>f</footer></body></html>"
     assert parsing.page_lines(html) == ("An Act", ["Part 1", "One&two bold", "next"])
     assert parsing.page_lines(None) == ("", [])
+    # what is left open inside chrome ends with it; a stray end tag closes nothing
+    assert parsing.page_lines("<nav><p>menu<p>more</nav></b><p>text</i> on<td>cell") == ("", ["text on", "cell"])
 
 
 def test_pages_keep_their_lines(spark, sf):
@@ -58,14 +60,16 @@ def test_pages_keep_their_lines(spark, sf):
 def test_docx_blocks(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s="": f"<w:p>{s}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    merge = lambda v: f'<w:tcPr><w:vMerge w:val="{v}"/></w:tcPr>'
+    wide = '<w:tcPr><w:gridSpan w:val="2"/></w:tcPr>'
     head = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
-    body = f"<w:document {w}><w:body>{p('Title', head)}{p('Text')}<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc><w:tc>{p('a')}</w:tc></w:tr></w:tbl></w:body></w:document>"
+    body = f"<w:document {w}><w:body>{p('Title', head)}{p('Text')}<w:tbl><w:tr><w:tc>{merge('restart')}{p('a')}</w:tc><w:tc>{p('b')}</w:tc><w:tc>{p('a')}</w:tc></w:tr><w:tr><w:tc>{merge('continue')}{p('')}</w:tc><w:tc>{wide}{p('c')}{p('d')}</w:tc></w:tr></w:tbl></w:body></w:document>"
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
         z.writestr("word/document.xml", body)
     files = spark.createDataFrame([("x.docx", bytearray(raw.getvalue())), ("y.docx", bytearray(b"no"))], "path string, content binary")
     got = [(r.pos, r.text, r.is_heading, r.cells) for r in parsing.docx_blocks(files).orderBy("pos").collect()]
-    assert got == [(0, "Title", True, []), (1, "Text", False, []), (2, "a | b", False, ["a", "b"])]
+    assert got == [(0, "Title", True, []), (1, "Text", False, []), (2, "a | b | a", False, ["a", "b", "a"]), (3, "a | c\nd", False, ["a", "c\nd"])]
     kinds = files.select(parsing.sniffed(F.col("path"), F.lit("x/y"), F.col("content")).alias("k")).collect()
     assert [r.k for r in kinds] == [parsing.DOCX, None]
 
@@ -83,7 +87,11 @@ def test_keyword_numbers_rule(spark):
 
 
 def test_word_changes():
-    assert C.word_changes("a b c", "a x c") == [("equal", "a"), ("delete", "b"), ("insert", "x"), ("equal", "c")]
+    assert C.word_changes("a b c", "a x c") == [("equal", "a "), ("delete", "b"), ("insert", "x"), ("equal", " c")]
+    # a blank between two changes belongs to both
+    assert C.word_changes("a b c d", "a x y d") == [("equal", "a "), ("delete", "b c"), ("insert", "x y"), ("equal", " d")]
+    assert C.word_changes("for 2 years", "for five (5) years") == [("equal", "for "), ("delete", "2"), ("insert", "five (5)"), ("equal", " years")]
+    assert C.word_changes("", "New clause") == [("insert", "New clause")] and C.word_changes("Old", "") == [("delete", "Old")]
     assert C.word_changes("a b", "c", cells=1) == [("delete", "a b"), ("insert", "c")]
     assert C.word_changes("", "") == []
 
