@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -54,6 +55,8 @@ RUN = 5
 MOST_SPAN = 19
 #: Characters of a gram in the finer keys of crowded segments.
 GRAM = 4
+#: Grams of an anchor of which the count is told to each of its lines: fewer than this, the most frequent ones.
+MOST_GRAMS = 2048
 #: Words of a gram in the finer keys of long lines.
 WORD_GRAM = 2
 _CJK = "\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -220,8 +223,12 @@ def spans(words: int, most: int) -> np.ndarray:
     return out
 
 
-def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each of the given lines, and the keys (line, key, place of the key's first word) of those with at least ``words`` words."""
+def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Words of each of the given lines, their signatures, and the keys (line, key, place of the key's first word) of those with at least ``words`` words.
+
+    A signature has a bit for each of about a quarter of the different words: an edit changes two
+    bits at most.
+    """
     base = hashes.base
     part = points[base : base + len(hashes.sums) - 1]
     solid = ~_blank(part)
@@ -246,10 +253,15 @@ def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.nda
     n = np.bincount(line, minlength=len(first))
     long = n[line] >= words
     starts, ends, line = starts[long], ends[long], line[long]
+    signature = np.zeros(len(first), _U)
     if len(starts) < 2 * RUN:
-        return n, *(np.zeros(0, np.int64) for _ in range(3))
+        return n, signature.view(np.int64), *(np.zeros(0, np.int64) for _ in range(3))
+    each = hashes.of(starts, ends)
+    bits = np.where(each & _U(3) == 0, _U(1) << (each >> _U(8) & _U(63)), _U(0))
+    heads = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    signature[line[heads]] = np.bitwise_or.reduceat(bits, heads)
     place = np.arange(len(starts)) - np.searchsorted(line, line)
-    grams = textnp.shingles(hashes.of(starts, ends), RUN)
+    grams = textnp.shingles(each, RUN)
     size = np.minimum(spans(words, int(n.max()))[n], MOST_SPAN)[line]  # words of each word's spans
     found, least = [], np.arange(len(grams))  # where the first least run of each span begins
     for width in range(RUN, MOST_SPAN + 1):
@@ -260,7 +272,7 @@ def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.nda
         at = at[line[at] == line[at + width - 1]]
         found.append(least[at])
     at = np.unique(np.concatenate(found))
-    return n, line[at], grams[at].view(np.int64), place[at]
+    return n, signature.view(np.int64), line[at], grams[at].view(np.int64), place[at]
 
 
 def words_within(a: list[str], b: list[str], words: int) -> bool:
@@ -308,7 +320,7 @@ def _lines(edits: int, min_chars: int, words: int):
                 node = hashes.of(first, end).view(np.int64)
                 some = np.flatnonzero(end - first >= min_chars)
                 once = np.sort(some[np.unique(node[some], return_index=True)[1]])
-                n_words, long, word, place = word_keys(hashes, lines.points, first, end, words)
+                n_words, signature, long, word, place = word_keys(hashes, lines.points, first, end, words)
                 # an edit changes three words at most, so that longer lines within the edits also link by words
                 pick = once[n_words[once] < 3 * edits * (words + 1)]
                 line, key, own = keys(hashes, first[pick], end[pick], edits)
@@ -321,13 +333,13 @@ def _lines(edits: int, min_chars: int, words: int):
                 new = np.flatnonzero(np.append(True, (long[1:] != long[:-1]) | (word[1:] != word[:-1]))) if len(long) else np.zeros(0, np.int64)
                 places = textnp.as_list(place, np.append(new, len(long)), pa.int32())  # of each key
                 ends = np.concatenate([[0], np.cumsum(np.bincount(long[new], minlength=n))])
-                columns += [pa.array(n_words, pa.int64()), textnp.as_list(word[new], ends, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)]
+                columns += [pa.array(n_words, pa.int64()), pa.array(signature), textnp.as_list(word[new], ends, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)]
                 for which in (own, ~own):
                     at = np.flatnonzero(which)
                     at = at[np.argsort(line[at], kind="stable")]
                     ends = np.cumsum(np.bincount(pick[line[at]], minlength=n))
                     columns.append(textnp.as_list(key[at], np.concatenate([[0], ends]), pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "number", "hash", "size", "n_words", "runs", "places", "own", "probes"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "number", "hash", "size", "n_words", "sig", "runs", "places", "own", "probes"])
 
     return run
 
@@ -372,33 +384,15 @@ def _first_grams(places: list[tuple], edits: int, gram: int) -> int:
     return min(n, len(places))
 
 
-def _deletions(places: list[int], edits: int, gram: int, size: int) -> set[frozenset[int]]:
-    """The sets of units that at most ``edits`` edits may delete or replace so that every place is changed and every edit changes a place.
+def _near(places: list[int], gram: int, size: int) -> list[int]:
+    """The units of a line that lie in the grams at these places."""
+    return sorted({x for p in places for x in range(max(p, 0), min(p + gram, size))})
 
-    A lost or replaced unit x changes the places x - gram + 1 .. x, a unit put in before x those up
-    to x - 1.
-    """
-    near = sorted({x for p in places for x in range(max(p, 0), min(p + gram, size))})
-    out: set[frozenset[int]] = set()
-
-    def go(left: list[int], edits: int, gone: frozenset[int]) -> None:
-        if _apart(left, gram) > edits:
-            return
-        if left:
-            p = left[0]
-            for x in range(max(p, 0), min(p + gram, size)):
-                go([q for q in left if not q <= x < q + gram], edits - 1, gone | {x})
-            for x in range(max(p + 1, 0), min(p + gram, size + 1)):
-                go([q for q in left if not q < x < q + gram], edits - 1, gone)
-            return
-        out.add(gone)
-        if edits:
-            for x in near:
-                if x not in gone:
-                    go(left, edits - 1, gone | {x})
-
-    go(sorted(places), edits, frozenset())
-    return out
+
+def _without(units: list[str] | str, gone: tuple[int, ...]) -> str:
+    """A line's text without some of its units."""
+    cuts = zip((-1, *gone), (*gone, len(units)), strict=True)
+    return "\r".join(x for a, b in cuts for x in (units[a + 1 : b] if isinstance(units, list) else (units[a + 1 : b],)))
 
 
 def _grams(units: list[str] | str, gram: int) -> list[bytes]:
@@ -446,25 +440,34 @@ def _keyed(edits: int, words: int, by_words: bool):
             split = _WORD.findall if by_words else str
             out: list[list[list[int]]] = [[], [], []]
             ranks = []
-            for h, text, grams, common in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "grams", "common")), strict=True):
+            for h, text, grams, common, most in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "grams", "common", "most")), strict=True):
                 key = lambda *x, h=h: int.from_bytes(hashlib.blake2b("\r".join(map(str, x)).encode("utf-8", "surrogatepass"), digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                units, known = split(text), set(common or ())
+                units, often = split(text), {x["gram"]: x["n"] for x in common or ()}
                 n = len(units)
-                places = sorted((x["gram"], x["pos"]) for x in grams if x["gram"] not in known)
+                places = sorted(((often.get(x["gram"], 0), x["gram"]), x["pos"]) for x in grams if often.get(x["gram"], 0) <= most)
                 at = sorted(p for _, p in places)
-                ranks.append(_apart(at, gram))
-                both = {key(0, g) for g, _ in places[: _first_grams(places, bounds(n)[-1], gram)]}
-                own, asks = set(), set()
-                for e in (e for e in bounds(n) if ranks[-1] <= e):
-                    need, step, reach = ranks[-1], e // 2 + 1, gram - 1 + e
-                    if e < 3:
-                        both.update(key(1, e, *(u for i, u in enumerate(units) if i not in gone)) for gone in _deletions(at, e, gram, n))
-                    else:
+                need, top = _apart(at, gram), bounds(n)[-1]
+                ranks.append(need)
+                near = _near(at, gram, n)
+                first = lambda e: {key(0, g) for (_, g), _ in places[: _first_grams(places, e, gram)]}
+                both, own, asks = set(), set(), set()
+                if top < 3 and len(near) <= top * (2 * gram - 1):
+                    own |= first(top)
+                    asks |= first(top - 1)
+                else:
+                    both |= first(top)
+                for e in bounds(n):
+                    step, reach = e // 2 + 1, gram - 1 + e
+                    if e < 3 and len(near) <= e * (2 * gram - 1):
+                        both.update(key(1, e, _without(units, gone)) for size in range(e + 1) for gone in itertools.combinations(near, size))
+                    if need > e:
+                        continue
+                    if e > 2:
                         both.update(key(1, e, x // (4 * reach)) for p in at for x in (p - reach, p, p + reach))
                     if e == 2:  # with more, the keys above find what has a changed place in common
-                        own.update(key(2, e, p // (4 * reach)) for p in at)
+                        own.update(key(2, e, p // reach) for p in at)
                         if need < e:
-                            asks.update(key(2, e, x // (4 * reach)) for p in at for x in (p - reach, p + reach))
+                            asks.update(key(2, e, p // reach + i) for p in at for i in (-1, 0, 1))
                     own.add(key(3, e, need, n // step))
                     asks.update(key(3, e, j, x // step) for j in range(e - need + 1) for x in range(n - e, n + e + 1, step))
                     asks.update(key(3, e, j, (n + e) // step) for j in range(e - need + 1))
@@ -480,7 +483,7 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     if words < 4 * RUN:
         raise ValueError(f"words must be at least {4 * RUN}: shorter lines need not share {2 * RUN} words in a row")
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
-    parsed = rows.withColumn("__version", F.xxhash64("__text")).mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, version bigint, number bigint, hash bigint, size bigint, n_words bigint, runs array<bigint>, places array<array<int>>, own array<bigint>, probes array<bigint>")
+    parsed = rows.withColumn("__version", F.xxhash64("__text")).mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, version bigint, number bigint, hash bigint, size bigint, n_words bigint, sig bigint, runs array<bigint>, places array<array<int>>, own array<bigint>, probes array<bigint>")
     lines = written(parsed, "lines")
     firsts = written(lines.groupBy("hash").agg(F.min(F.struct("key", "version", "number")).alias("at"), F.min("key").alias("known"), F.count("*").alias("n")), "firsts")
     nameless = not firsts.where("known IS NULL").isEmpty()
@@ -498,7 +501,7 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
             held = held.union(free.join(bounded(others, n), "v").dropDuplicates(["v"]).select("__text", "wanted"))
         return ids.join(held.mapInArrow(_find, "node bigint, text string").dropDuplicates(["node"]), "node")
 
-    runs = lines.select(F.explode(F.arrays_zip("runs", "places")).alias("x"), "hash", "n_words").select(F.col("x.runs").alias("token"), F.col("hash").alias("node"), F.col("n_words").alias("n"), F.col("x.places").alias("places"))
+    runs = lines.select(F.explode(F.arrays_zip("runs", "places")).alias("x"), "hash", "n_words", "sig").select(F.col("x.runs").alias("token"), F.col("hash").alias("node"), F.col("n_words").alias("n"), F.col("x.places").alias("places"), "sig")
 
     def apart(crowded: DataFrame) -> DataFrame:
         """Rows of common runs by the line's length and the run's place in it, neither of which differs by more than the edits."""
@@ -506,11 +509,9 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
         bounds = F.filter(F.sequence(F.floor((n - F.floor(n / words)) / words), F.floor(n / words)), lambda e: e > 0)
         rows = crowded.withColumn("place", F.explode("places")).withColumn("e", F.explode(bounds)).withColumn("w", 2 * F.col("e") + 1)
         e, w = F.col("e"), F.col("w")
-        near = lambda x: F.sequence(F.floor((x - e) / w), F.floor((x + e) / w))
-        cells = F.flatten(F.transform(near(n), lambda i: F.transform(near(at), lambda j: F.struct(i.alias("i"), j.alias("j"), F.lit(False).alias("ix")))))
-        own = F.array(F.struct(F.floor(n / w).alias("i"), F.floor(at / w).alias("j"), F.lit(True).alias("ix")))
-        rows = rows.withColumn("c", F.explode(F.concat(own, cells)))
-        return rows.select(F.xxhash64("token", "e", "c.i", "c.j").alias("token"), "node", "n", F.col("c.ix").alias("ix"), (~F.col("c.ix")).alias("asks"), F.lit(False).alias("mutual"), "h", "component").distinct()
+        cell = lambda x, y, ix=False: F.struct(F.floor(x / w).alias("i"), F.floor(y / w).alias("j"), F.lit(ix).alias("ix"))
+        rows = rows.withColumn("c", F.explode(F.array(cell(n, at, True), *[cell(x, y) for x in (n - e, n + e) for y in (at - e, at + e)])))
+        return rows.select(F.xxhash64("token", "e", "c.i", "c.j").alias("token"), "node", "n", F.col("c.ix").alias("ix"), (~F.col("c.ix")).alias("asks"), F.lit(False).alias("mutual"), "h", "component", "sig").distinct()
 
     def compare(one: pa.Array, two: pa.Array) -> list[bool]:
         return [within(a, b, edits) for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)]
@@ -544,31 +545,41 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
 
         A place of a line is beyond if its gram is neither in the anchor nor common among the
         anchor's lines (which are padded at both ends).  An edit changes as many neighbouring places
-        as a gram has units.  Let the beyond grams of each line stand in one fixed order.  If two
-        linked lines share a beyond gram that the edits leave, those before the first such gram are
-        all changed by the edits, so both lines have it among the shortest run of first grams whose
-        places so many edits cannot change together; these are keys (0).
-
-        Else the edits change all beyond places of both lines; the number of edits that this takes
-        is a line's rank.  If each edit changes a beyond place in both, the lines are equal without
-        some of the units at such places: a line's text without each such set is a key (1, for up to
-        two edits).  If some edit does, both lines have a beyond place near it (keys 2, or 1 for more
-        than two edits), and of two edits the other is missed by one line, so its rank is lower.  If
-        none does, the ranks add up to the edits at most (key 3, with the length).  Such lines mostly
-        link to the line of the lowest rank, with which they are compared first.
+        as a gram has units.  Let the beyond grams of each line stand in one fixed order, those that
+        are frequent among the anchor's lines last.  If two linked lines share a beyond gram that the
+        edits leave, those before the first such gram are all changed by the edits, so both lines
+        have it among the shortest run of first grams whose places so many edits cannot change
+        together; these are keys (0).
+
+        Lines with few beyond places and up to two edits need fewer: if each edit changes a beyond
+        place in both lines, the lines are equal without some of the units there, and a line's text
+        without each such set is a key (1).  Else a line in which one edit changes no beyond place
+        asks with the grams that one edit less cannot change.
+
+        Lines that share no such gram are changed at all their beyond places; the number of edits
+        that this takes is a line's rank.  If an edit changes a beyond place in both, these lie near
+        each other (keys 2, or 1 for more than two edits), and of two edits the other is missed by
+        one line, so its rank is lower.  If none does, the ranks add up to the edits at most (key 3,
+        with the length).  Such lines mostly link to the line of the lowest rank, with which they
+        are compared first.
         """
         schema = "node bigint, h bigint, rank int, both array<bigint>, own array<bigint>, asks array<bigint>"
         beyond = written(paired_texts(pairs, texts).mapInArrow(_beyond(by_words), "node bigint, h bigint, text string, grams array<struct<gram:bigint,pos:int>>"), "grams")
         often = beyond.select("h", "grams").mapInArrow(_gram_counts, "h bigint, gram bigint, n bigint").groupBy("h", "gram").agg(F.sum("n").alias("n"))
-        many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 8).alias("most"))
-        common = often.join(many, "h").where("n > most").groupBy("h").agg(F.collect_list("gram").alias("common"))
-        return beyond.join(common, "h", "left").select("h", "node", "text", "grams", "common").mapInArrow(_keyed(edits, words, by_words), schema)
+        many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 8).alias("most"), (F.sum(F.size("grams")) / MOST_GRAMS).alias("some"))
+        common = often.join(many, "h").where("n > 8 AND n > some").groupBy("h").agg(F.collect_list(F.struct("gram", "n")).alias("common"), F.first("most").alias("most"))
+        lists = beyond.join(common, "h", "left").select("h", "node", "text", "grams", "common", F.coalesce("most", F.lit(8.0)).alias("most"))
+        return lists.mapInArrow(_keyed(edits, words, by_words), schema)
 
     linked = link_components(postings, texts, compare, first_link, F.lit(True), None, "own", refine)
     # lengths that can link differ by one for each `words` words of the shorter
     n, hn, lo, hi = (F.col(x) for x in ("n", "hn", "lo", "hi"))
     fits = lambda a, b: b - a <= F.floor(a / words)
-    alike = link_components(runs, texts, compare_words, first_word_link, fits(n, hn) & fits(hn, n), fits(n, lo) & fits(hi, n), None, lambda pairs: refine(pairs, True), apart)
+    # an edit changes two bits of a signature at most; a key's group of one signature is judged by it
+    sig, one, two = (F.col(x) for x in ("sig", "one", "two"))
+    close = lambda a, b, x, y: F.bit_count(x.bitwiseXOR(y)) <= 2 * F.floor(F.least(a, b) / words)
+    alone = fits(n, lo) & fits(hi, n) & ((one != two) | close(n, hi, sig, one))
+    alike = link_components(runs, texts, compare_words, first_word_link, fits(n, hn) & fits(hn, n) & close(n, hn, sig, F.col("hsig")), fits(n, lo) & fits(hi, n), None, lambda pairs: refine(pairs, True), apart, alone)
     linked = connected_components(linked.union(alike).select(F.col("node").alias("a"), F.col("component").alias("b")))
     classed = linked.join(firsts, linked.node == firsts.hash).select("node", "component", "at")
     tops = classed.groupBy("component").agg(F.min("at").alias("top"))

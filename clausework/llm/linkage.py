@@ -125,7 +125,7 @@ def _crowds(open_rows: DataFrame, most: int = CROWD) -> DataFrame:
     return written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > most).select("token"), "crowds")
 
 
-def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column | None, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, apart: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column | None, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, apart: Callable[[DataFrame], DataFrame] | None = None, alone: Column | None = None) -> DataFrame:
     """(node, component) of all linked items.
 
     ``postings(token, node, n)``: n is the item's size.  With ``indexed`` (a boolean column of the
@@ -140,14 +140,17 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     that the other has in ``own``.  Items are first compared with the item of the lowest rank of each
     such key, and components that then still share a key group by group.  ``apart`` first gives rows
     of crowded keys narrower keys that need no texts; ``postings`` then has a column ``places`` for it.
+    With a column ``sig``, a signature of the item, ``near`` may use (sig, hsig), and ``alone`` is a
+    bound on (n, lo, hi, sig, one, two) of an item and a key's group with signatures one to two.
     """
     postings = postings.withColumn("ix", F.col(indexed) if indexed else F.lit(True))
+    sig = [c for c in ("sig",) if c in postings.columns]
     heads = postings.where("ix").groupBy("token").agg(F.min("node").alias("h"), F.max("node").alias("top"))
     if not indexed:
         heads = heads.where("h < top")
-    shared = written(postings.join(heads, "token").where("h < top OR node <> h").select("token", "node", "n", "ix", F.lit(True).alias("asks"), F.lit(not indexed).alias("mutual"), "h", *["places"] * (apart is not None)), "shared")
-    met = shared.where("node <> h").groupBy("node", "h").agg(F.max("n").alias("n"), F.count("*").alias("c"))
-    head_sizes = shared.where("node = h").groupBy("h").agg(F.max("n").alias("hn")) if not indexed else shared.select("h", F.lit(0).alias("hn")).distinct()
+    shared = written(postings.join(heads, "token").where("h < top OR node <> h").select("token", "node", "n", "ix", F.lit(True).alias("asks"), F.lit(not indexed).alias("mutual"), "h", *sig, *["places"] * (apart is not None)), "shared")
+    met = shared.where("node <> h").groupBy("node", "h").agg(F.max("n").alias("n"), F.count("*").alias("c"), *[F.min(c).alias(c) for c in sig])
+    head_sizes = shared.where("node = h").groupBy("h").agg(F.max("n").alias("hn"), *[F.min(c).alias(f"h{c}") for c in sig]) if not indexed else shared.select("h", F.lit(0).alias("hn")).distinct()
     pairs = written(met.join(head_sizes, "h").where(near).select(F.col("node").alias("q"), "h"), "pairs")
     edges = written(verify_pairs(pairs, texts, compare), "links")
     components = connected_components(edges)
@@ -156,7 +159,7 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
     open_rows = _open(labelled)
     drop(labelled)
     settled = None
-    columns = ["token", "node", "n", "ix", "asks", "mutual"]
+    columns = ["token", "node", "n", "ix", "asks", "mutual", *sig]
     crowds = _crowds(open_rows) if refine is not None or apart is not None else None
     if apart is not None and not crowds.isEmpty():
         narrow = written(apart(open_rows.join(crowds, "token")), "narrow")
@@ -167,11 +170,11 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
         crowds = _crowds(open_rows, 4 * CROWD)
     if refine is not None and not crowds.isEmpty():
         settled = open_rows.join(crowds, "token", "left_anti")
-        items = written(open_rows.join(crowds, "token").groupBy("node", "h").agg(F.max("n").alias("n"), F.first("component").alias("component")), "crowded")
+        items = written(open_rows.join(crowds, "token").groupBy("node", "h").agg(F.max("n").alias("n"), F.first("component").alias("component"), *[F.min(c).alias(c) for c in sig]), "crowded")
         refined = refine(items.select(F.col("node").alias("q"), "h"))
         keyed = written(refined.join(items, ["node", "h"]).drop("h"), "refined")
         kinds = (("both", True, True, True), ("own", True, False, False), ("asks", False, True, False))
-        rows = [keyed.select(F.explode(c).alias("token"), "node", "n", F.lit(ix).alias("ix"), F.lit(asks).alias("asks"), F.lit(mutual).alias("mutual"), "component", "rank") for c, ix, asks, mutual in kinds]
+        rows = [keyed.select(F.explode(c).alias("token"), "node", "n", F.lit(ix).alias("ix"), F.lit(asks).alias("asks"), F.lit(mutual).alias("mutual"), "component", "rank", *sig) for c, ix, asks, mutual in kinds]
         rows = rows[0].union(rows[1]).union(rows[2])
         heads = rows.groupBy("token").agg(F.min(F.when(F.col("ix"), F.struct("rank", "node", "component"))).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("asks").alias("asked"))
         shared = written(rows.join(heads.where("lo < hi AND asked AND head IS NOT NULL").select("token", "head"), "token").drop("rank"), "shared")
@@ -186,8 +189,9 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
         open_rows = _labelled(settled.select(columns).union(finer.select(columns)), components)
     elif "gid" not in open_rows.columns:
         open_rows = _labelled(open_rows.select(columns), components)
-    groups = open_rows.where("ix").groupBy("token", F.col("gid").alias("group")).agg(F.first("component").alias("owner"))
-    met = open_rows.where("asks").join(groups, "token").where("component > owner OR component < owner AND NOT mutual").groupBy("node", F.col("group").alias("gid")).agg(F.min("n").alias("n"), F.max("n").alias("top_n"), F.count("*").alias("c"))
+    groups = open_rows.where("ix").groupBy("token", F.col("gid").alias("group")).agg(F.first("component").alias("owner"), F.min("n").alias("lo"), F.max("n").alias("hi"), *[x for c in sig for x in (F.min(c).alias("one"), F.max(c).alias("two"))])
+    asked = open_rows.where("asks").join(groups, "token").where("component > owner OR component < owner AND NOT mutual")
+    met = (asked if alone is None else asked.where(alone)).groupBy("node", F.col("group").alias("gid")).agg(F.min("n").alias("n"), F.max("n").alias("top_n"), F.count("*").alias("c"))
     sizes = open_rows.where("ix").groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # an item with several sizes (one id, several texts) is not bounded
     bound = met if may is None else met.join(sizes, "gid").where(may | (F.col("n") < F.col("top_n")))
