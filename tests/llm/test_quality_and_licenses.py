@@ -1,8 +1,10 @@
+import random
 import re
 
 from clausework.llm import license_scan as L
 from clausework.llm import quality_rules as Q
 from tests.llm.edge import edge
+from tests.llm.test_similarity import changed, distance
 
 
 def brute_quality(text):
@@ -58,3 +60,45 @@ def test_fuzzy_notices_are_found_within_the_bound(spark):
     assert got[2].labels == ["gpl"] and "lgpl" in got[4].labels
     assert got[3].labels == []
     assert L.scan(edge(spark)).count() == 11 and L.scan(df.limit(0)).count() == 0
+
+
+def nearest(words, notice, edits):
+    """Word runs of a text within the bound of a notice: (first, last, edits)."""
+    found = []
+    for i in range(len(words)):
+        for j in range(i, min(len(words), i + len(notice.split()) + edits + 1)):
+            run = " ".join(words[i : j + 1])
+            if abs(len(run) - len(notice)) <= edits and (d := distance(run, notice)) <= edits:
+                found.append((i, j, d))
+    return found
+
+
+def test_fuzzy_places_match_an_edit_distance_scan():
+    random.seed(6)
+    notices = {"ab ab a b": ("x", 0.5), "under the mit license": ("mit", 0.9), "gnu general public license": ("gpl", 0.9), "creative commons attribution": ("cc-by", 0.8)}
+    finder = L.Finder(notices, 2)
+    for _ in range(600):
+        parts = []
+        for _ in range(random.randint(1, 3)):
+            notice = random.choice(list(notices))
+            parts += [changed(notice, random.randint(0, 3), "ab tz"), random.choice(["a", "of", "b", "the x"])]
+        words = " ".join(parts).split()
+        text = f" {' '.join(words)} "
+        spans = finder.spans(text)
+        for notice in notices:
+            must = L.MUST.get(notice)
+            want = [x for x in nearest(words, notice, finder.edits[notice]) if must is None or must in words[x[0] : x[1] + 1]]
+            mine = [(text.count(" ", 0, a + 1) - 1, text.count(" ", 0, b) - 1, e) for _, n, a, b, e in spans if n == notice]
+            # every place found is one, no two overlap, and nothing within the bound is far from all of them
+            assert all(any(x[:2] == y[:2] and y[2] <= x[2] for y in want) for x in mine), (text, notice)
+            assert all(x[1] < y[0] for x, y in zip(mine, mine[1:], strict=False))
+            assert all(any(x[0] <= y[1] and y[0] <= x[1] for y in mine) for x in want), (text, notice, want, mine)
+
+
+def test_other_licenses_are_not_mistaken(spark):
+    texts = ["released under the MPL license", "under the edit license", "small rights reserved", "Creative Commons Attribution-NonCommercial", "creative commons attribution sharealike 4.0", "creative commons attribution 4.0", "all rights reserved " * 2 + "word " * 50_000 + "under the mit license"]
+    rows = L.scan(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(3, texts[3], "clash")], "doc_id bigint, text string, spans string")).collect()
+    got = {r.doc_id: r.labels for r in rows}
+    assert len(rows) == 8 and [got[i] for i in range(7)] == [[], [], [], ["cc-by-nc"], ["cc-by-sa"], ["cc-by"], ["all-rights-reserved", "mit"]]
+    last = next(r for r in rows if r.doc_id == 6)
+    assert (last.first_word, last.last_word, len(last.spans)) == (50_006, 50_006, 3)

@@ -238,3 +238,57 @@ def test_texts_without_id_or_with_one_id_lose_their_own_lines_alone(spark):
     assert sorted(len(t.split("\n")) for t in same) == [2, 3]
     assert [t for t in got if t not in same] == sorted(["seen before in the first text", "a line that comes twice here", "top b\nonly here, far from all others", "z1", "z2\nstays as no other line is like it", "z2\nstays as no other line is like it"])
     assert sorted((r.n_lines, r.n_exact) for r in L.counts(df).collect() if r.doc_id == 7) == [(2, 0), (2, 0), (2, 1)]
+
+
+def refined_pairs(spark, texts, by_words=False):
+    """Candidate pairs that crowded lines of one anchor still have under their finer keys."""
+    import pyarrow as pa
+
+    rows = [{"q": i + 1, "h": 0, "q_text": t, "h_text": texts[0]} for i, t in enumerate(texts[1:])]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("q", pa.int64()), ("h", pa.int64()), ("q_text", pa.string()), ("h_text", pa.string())]))
+    beyond = next(L._beyond(by_words)(iter([batch])))
+    counts = {}
+    for grams in beyond.column("grams").to_pylist():
+        for g in grams:
+            counts[g["gram"]] = counts.get(g["gram"], 0) + 1
+    most = max(8.0, len(rows) / 8)
+    common = [{"gram": g, "n": n} for g, n in counts.items() if n > max(8, sum(counts.values()) / L.MOST_GRAMS)]
+    keyed = pa.RecordBatch.from_arrays([*beyond.columns, pa.array([common] * len(rows)), pa.array([most] * len(rows))], names=[*beyond.schema.names, "common", "most"])
+    held, asked = {}, {}
+    for r in (r for b in L._keyed(2, 20, by_words)(iter([keyed])) for r in b.to_pylist()):
+        for x in r["both"] + r["own"]:
+            held[x] = held.get(x, 0) + 1
+        for x in r["both"] + r["asks"]:
+            asked[x] = asked.get(x, 0) + 1
+    return sum(n * held.get(x, 0) for x, n in asked.items())
+
+
+def test_candidates_of_crowded_lines_grow_in_proportion(spark):
+    numbered = lambda i: f"the same text with a number at its end {i * 7919 % 100_000}"
+    small, large = (refined_pairs(spark, [numbered(i) for i in range(n)]) for n in (400, 1600))
+    assert large < 1600 * 90 and large < 6.5 * small, (small, large)
+    # one short word of fourteen replaced: what is left is a small part of all pairs
+    replaced = lambda i: " ".join("w%d" % (i * 31 % 977) if j == i % 14 else f"word{j}" for j in range(14))
+    assert refined_pairs(spark, [replaced(i) for i in range(1600)]) < 1600 * 1600 / 7
+
+
+def test_lines_of_rows_without_id_link(spark):
+    rows = [(None, "a line that is nearly the same as another"), (None, "a line that is nearly the sane as another"), (3, "x")]
+    got = sorted((r.exact, r.near) for r in L.decisions(spark.createDataFrame(rows, "doc_id bigint, text string")).where("size > 5").collect())
+    assert sorted(got) == [(False, False), (False, True)]
+
+
+def test_removed_lines_name_the_first_of_their_class(spark):
+    line = "a line that is nearly the same as another"
+    rows = [(1, f"first\n{line}"), (2, f"{line}\nown words here"), (3, line.replace("same", "sane")), (4, None)]
+    got = {r.doc_id: (r.removed_lines, r.first_ids, r.first_lines) for r in L.counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: ([], [], []), 2: ([0], [1], [1]), 3: ([0], [1], [1]), 4: ([], [], [])}
+
+
+def test_equal_ids_with_different_texts_have_the_links_of_each(spark):
+    random.seed(8)
+    long, short = ([f"{p}{random.randint(0, 10**6)}" for _ in range(n)] for p, n in (("a", 60), ("b", 12)))
+    near = long[:30] + ["changed"] + long[31:]
+    rows = [(5, " ".join(long)), (5, " ".join(short)), (9, " ".join(near)), (7, " ".join(short) + " x")] + [(100 + i, " ".join(f"c{i}{j}" for j in range(20))) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in N.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got[9] == got[7] == got[5] == 5 and all(got[i] == i for i in range(100, 120))

@@ -44,6 +44,17 @@ def test_round_trip_with_magic_in_payloads(spark, tmp_path, split):
         assert (full[page].payload_bytes, full[page].payload_digest) == (len(body.encode()), hashlib.sha256(body.encode()).hexdigest())
 
 
+def test_repeated_ids_with_different_payloads(spark, tmp_path):
+    a, b = "a" * 150, "b" * 150
+    rows = [(5, "u", a, "x"), (5, "u", b, "x"), (6, "u", a, "x"), (7, "u", b, "x"), (5, "u", a, "x"), (8, "u", "long " * 400_000, "x")]
+    path = f"file://{tmp_path}/warc"
+    W.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string, payload_digest string").repartition(2), path)
+    got = sorted(tuple(r) for r in W.resolved(W.read_archives(spark, path)).select("record_page", "record_type", "refers_to", "payload_bytes", "payload_digest").collect())
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(5, "response", None, 150, digest(a)), (5, "response", None, 150, digest(a)), (5, "response", None, 150, digest(b)), (6, "revisit", 5, 150, digest(a)), (7, "revisit", 5, 150, digest(b)), (8, "response", None, 2_000_000, digest("long " * 400_000))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_archive_of_no_pages(spark, tmp_path):
     W.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), f"file://{tmp_path}/w")
     assert W.resolved(W.read_archives(spark, f"file://{tmp_path}/w")).count() == 0
