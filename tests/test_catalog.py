@@ -90,7 +90,7 @@ def test_word_changes():
     assert C.word_changes("a b c", "a x c") == [("equal", "a "), ("delete", "b"), ("insert", "x"), ("equal", " c")]
     # a blank between two changes belongs to both
     assert C.word_changes("a b c d", "a x y d") == [("equal", "a "), ("delete", "b c"), ("insert", "x y"), ("equal", " d")]
-    assert C.word_changes("for 2 years", "for five (5) years") == [("equal", "for "), ("delete", "2"), ("insert", "five (5)"), ("equal", " years")]
+    assert C.word_changes("for 2 years", "for five (5) years") == [("equal", "for "), ("delete", "2 "), ("insert", "five (5) "), ("equal", "years")]
     assert C.word_changes("", "New clause") == [("insert", "New clause")] and C.word_changes("Old", "") == [("delete", "Old")]
     assert C.word_changes("a b", "c", cells=1) == [("delete", "a b"), ("insert", "c")]
     assert C.word_changes("", "") == []
