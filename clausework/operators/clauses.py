@@ -127,19 +127,21 @@ def differences(pairs: DataFrame, languages: tuple[str, str] = ("vi", "en"), gra
     and signatures need no counterpart.
     """
     texts = pairs.withColumns({c: T.nfc(F.coalesce(c, F.lit(""))) for c in ("primary", "other")})
+    read = {"amounts": V.amounts, "periods": V.periods, "dates": V.dates, "spelled": V.figures_with_words}
     text = lambda x: x.cast("string")
     period = lambda x: F.when(x["unit"] == "mo", text(x["value"])).otherwise(F.concat_ws(" ", text(x["value"]), x["unit"]))
 
     def rows(side: str, sign: int) -> DataFrame:
         c = F.col(side)
         kinds = {
-            "amount": F.transform(V.amounts(c), lambda a: F.format_number(a["value"], 2)), "percent": F.transform(V.percents(c), text), "duration": F.transform(V.periods(c), period),
-            "date": F.transform(V.dates(c), lambda x: text(x["value"])), "tax_code": V.tax_codes(c), "number": F.transform(V.standalone_numbers(c), text),
+            "amount": F.transform("amounts", lambda a: F.format_number(a["value"], 2)), "percent": F.transform(V.percents(c), text), "duration": F.transform("periods", period),
+            "date": F.transform("dates", lambda x: text(x["value"])), "tax_code": V.tax_codes(c), "number": F.transform(V.standalone_numbers(c, [F.col(x) for x in read]), text),
             "negation": F.when(V.negated(c, languages[sign < 0]), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
         }
         named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))
         each = F.concat(*[F.transform(v, named(k)) for k, v in kinds.items()])
-        return texts.where("trim(primary) <> '' AND trim(other) <> ''").select("pair_id", F.explode(each).alias("x")).select("pair_id", "x.kind", "x.value", F.lit(sign).alias("n"))
+        both = texts.where("trim(primary) <> '' AND trim(other) <> ''").select("pair_id", side, *[use(c).alias(name) for name, use in read.items()])
+        return both.select("pair_id", F.explode(each).alias("x")).select("pair_id", "x.kind", "x.value", F.lit(sign).alias("n"))
 
     uneven = rows("primary", 1).union(rows("other", -1)).groupBy("pair_id", "kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
     found = uneven.select("pair_id", "kind", F.when(F.col("n") > 0, "primary").otherwise("other").alias("side"), "value")

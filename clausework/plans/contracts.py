@@ -27,10 +27,13 @@ def order_values(spark, sf_dir):
     date = F.when(k % 3 == 0, day("d/M/yyyy")).when(k % 3 == 1, day("d MMMM yyyy")).otherwise(day("'ngày' dd 'tháng' MM 'năm' yyyy"))
     term = F.when(k % 2 == 0, F.concat((c % 9 + 1).cast("string"), F.lit(" Năm"))).otherwise(F.concat(F.lit("twelve ("), (c % 48 + 1).cast("string"), F.lit(") MONTHS")))
     text = F.concat(F.lit("The price is Us$ "), F.format_number("o_totalprice", 2), F.lit(" since "), date, F.lit(", fee "), (k % 90).cast("string"), F.lit(" Per Cent, for "), term, F.lit(", notice "), (c % 30 + 1).cast("string"), F.lit(" business days, in "), (k % 97).cast("string"), F.lit(" copies"))
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), text.alias("t"))
-    t, first = F.col("t"), lambda found: F.get(found, F.lit(0))
-    short = first(F.filter(V.periods(t), lambda x: x["unit"] != "mo"))
-    return rows.select("id", first(V.amounts(t))["currency"].alias("currency"), first(V.amounts(t))["value"].alias("amount"), first(V.percents(t)).alias("percent"), first(V.dates(t))["value"].alias("day"), first(V.durations(t)).alias("months"), short["value"].alias("notice"), short["unit"].alias("unit"), first(V.standalone_numbers(t)).alias("copies"))
+    t = F.col("t")
+    read = {"amounts": V.amounts, "periods": V.periods, "dates": V.dates, "spelled": V.figures_with_words}
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), text.alias("t")).select("id", "t", *[use(t).alias(name) for name, use in read.items()])
+    first = lambda found: F.get(found, F.lit(0))
+    months, short = (F.filter("periods", test) for test in (lambda x: x["unit"] == "mo", lambda x: x["unit"] != "mo"))
+    rows = rows.select("id", "t", *read, first(months).alias("long"), first(short).alias("short"), first(F.col("amounts")).alias("a"))
+    return rows.select("id", "a.currency", F.col("a.value").alias("amount"), first(V.percents(t)).alias("percent"), first(F.col("dates"))["value"].alias("day"), F.col("long.value").cast("int").alias("months"), F.col("short.value").alias("notice"), "short.unit", first(V.standalone_numbers(t, [F.col(x) for x in read])).alias("copies"))
 
 
 _SIDES = "(SELECT 'primary' AS side UNION ALL SELECT 'other')"
@@ -177,3 +180,12 @@ def filtered_search(spark, sf_dir):
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     units = d.select(i.alias("id"), "text", F.col("lang").alias("jurisdiction"), F.when(i % 5 == 0, "repealed").otherwise("in_force").alias("status"), F.date_add(F.lit("2020-01-01").cast("date"), (i % 3000).cast("int")).alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.when(i % 3 == 0, "unverified").otherwise("verified").alias("review_status"))
     return S.searched(units, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), ["en", "fr"], "2024-06-01", require_verified=True)
+
+
+@query("""WITH l AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, 'page # of ' || lower(l_returnflag) || '-##' AS shape FROM lineitem), n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY 1)
+SELECT doc_id, shape, count(DISTINCT page) AS n_pages FROM l JOIN n USING (doc_id) GROUP BY doc_id, shape, pages HAVING count(DISTINCT page) >= greatest(3, ceil(pages * 0.3))""")
+def line_shape_headers(spark, sf_dir):
+    """Running headers with changing numbers, on the pages of a document for each supplier."""
+    page = F.col("l_linenumber")
+    text = F.concat(F.lit("Page  "), page.cast("string"), F.lit(" of "), "l_returnflag", F.lit("-"), (F.col("l_orderkey") % 90 + 10).cast("string"))
+    return C.chrome(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), page.alias("page"), text.alias("text")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clausework.functions import text as T
 from clausework.functions import values as V
 from clausework.operators import clauses as C
-from clausework.operators import routing
+from clausework.operators import objects, routing
 from clausework.operators import search as S
 from clausework.plans.catalog import query, table
 from clausework.sources import parsing
@@ -187,10 +187,8 @@ def accuracy_report(spark, sf_dir):
 def aes_roundtrip(spark, sf_dir):
     key, bound = F.lit("0123456789abcdef0123456789abcdef").cast("binary"), F.concat(F.lit("tenant/"), F.col("doc_id").cast("string"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    nonce = F.unhex(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 24))
-    sealed = d.select("doc_id", F.aes_encrypt("t", key, F.lit("GCM"), F.lit("DEFAULT"), nonce, bound).alias("c"), bound.alias("aad"))
-    plain = F.aes_decrypt("c", key, F.lit("GCM"), F.lit("DEFAULT"), F.col("aad"))
-    return sealed.select("doc_id", F.sha2(plain, 256).alias("digest"), F.octet_length("c").cast("bigint").alias("stored"))
+    sealed = d.select("doc_id", objects.sealed(F.col("t"), key, bound).alias("c"), bound.alias("place"))
+    return sealed.select("doc_id", F.sha2(objects.opened(F.col("c"), key, F.col("place")), 256).alias("digest"), F.octet_length("c").cast("bigint").alias("stored"))
 
 
 @query()

@@ -10,9 +10,10 @@ from clausework.functions import text as T
 from clausework.functions import values as V
 from clausework.operators import bilingual as B
 from clausework.operators import clauses as C
-from clausework.operators import routing, statutes
+from clausework.operators import objects, routing, statutes
 from clausework.operators import search as S
 from clausework.plans import texts
+from clausework.sources import parsing
 
 
 def column(spark, rows, use):
@@ -108,6 +109,24 @@ def test_quotes_may_cut_words(spark):
     assert got == {(1, 1), (2, 1), (1, 2), (1, 3), (2, 3)}
 
 
+def test_small_text_functions(spark):
+    assert column(spark, ["min_duration_months", ""], T.humanised) == ["Min duration months", ""]
+    assert column(spark, ["Short. A \"long\" sentence ends here; the rest", " x. ", None], T.first_sentence) == ["Short. A 'long' sentence ends here", "x", ""]
+    assert column(spark, ["1234.0", "1234.5"], lambda c: T.grouped_thousands(c.cast("double"))) == ["1,234", "1,234.50"]
+    assert column(spark, ["Điều 301", "s 75"], lambda c: T.pinpoint(c, F.lit("Act"))) == ["Điều 301 Act", "Act, s 75"]
+    assert column(spark, ["SG/ACT-1", "sg/act", "SGP/X"], parsing.is_instrument_id) == [True, False, False]
+
+
+def test_sealed_objects(spark):
+    df = spark.createDataFrame([("same text", "a"), ("same text", "a")], "t string, place string")
+    key = F.lit("0123456789abcdef").cast("binary")
+    both = df.select(objects.sealed(F.col("t").cast("binary"), key, F.col("place")).alias("c"), "place").persist()
+    assert both.select("c").distinct().count() == 2  # each with its own nonce
+    opened = both.select(objects.opened(F.col("c"), key, F.col("place")).cast("string").alias("a"), objects.opened(F.col("c"), key, F.lit("b")).alias("b")).collect()
+    assert [tuple(r) for r in opened] == [("same text", None)] * 2
+    both.unpersist()
+
+
 def test_legacy_fonts(spark):
     assert column(spark, ["Lu©t sè 99 §iÒu 1. Ph¹m vi ®iÒu chØnh vµ ®èi t\u00ad­îng", "Điều 1. Phạm vi điều chỉnh", "plain"], statutes.legacy_encoded) == [True, False, False]
 
