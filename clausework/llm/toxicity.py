@@ -33,6 +33,8 @@ from clausework.llm import textnp
 from clausework.llm.shared import written
 
 MAX_TRAIN = 20_000
+#: Bytes of text that a worker looks at together; its arrays take some hundred times as much.
+SLICE_BYTES = 1 << 19
 FOLDS = 5
 
 #: Common insults in four languages.
@@ -154,7 +156,7 @@ def _featured(df: DataFrame, stems: np.ndarray, weights: np.ndarray, extra: list
     """Rows (``extra`` columns kept) with their features as a vector; ``df`` holds ``__text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textnp.slices(batches, "__text"):
+        for batch in textnp.slices(batches, "__text", SLICE_BYTES):
             x = features(*textnp.buffer(batch.column("__text")), stems, weights)
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), values], names=[*extra, "__f"])
@@ -170,7 +172,7 @@ def _stem_counts(df: DataFrame) -> DataFrame:
     """(stem, toxic texts, clean texts) of ``df(__text, __y)``; counted per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textnp.slices(batches, "__text", 4 << 20):
+        for batch in textnp.slices(batches, "__text", SLICE_BYTES):
             data, offs = textnp.buffer(batch.column("__text"))
             low = textnp.LOWER[data]
             words = textnp.Words(low, offs, textnp.ALNUM)
