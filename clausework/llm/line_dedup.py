@@ -419,11 +419,16 @@ def _beyond(by_words: bool):
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, gram, n) of each batch, counted before anything is shuffled; lines of one anchor come together."""
+    """(h, gram, n) of grams that a batch has twice or more, counted before anything is shuffled; lines of one anchor come together.
+
+    The counts only order the grams of an anchor and say which are common, so that what a batch has
+    once need not count: any order and any set of common grams gives the same links.
+    """
     for batch in batches:
         lists = batch.column("grams")
         t = pa.table({"h": batch.column("h").take(pa.compute.list_parent_indices(lists)), "gram": lists.flatten().field("gram")})
         t = t.group_by(["h", "gram"]).aggregate([("gram", "count")]).select(["h", "gram", "gram_count"]).rename_columns(["h", "gram", "n"])
+        t = t.filter(pa.compute.greater(t["n"], 1))
         yield from t.combine_chunks().to_batches()
 
 
