@@ -27,27 +27,29 @@ FIM_PERCENT, SPM_PERCENT = 100, 50
 
 def draws(id_col: Column, seed: int, n: int = 4) -> list[Column]:
     """Unsigned integers from the first 8-digit groups of the hash of ``seed:id``."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))), 256)
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), id_col), 256)
     return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(n)]
 
 
 def offsets(docs: DataFrame, unit: str, seed: int) -> DataFrame:
-    """(id, nul, hash, n, first, second) of the documents that have units: code points before both cuts.
+    """(id, hash, n, chars, first, second) of the documents that have units: code points in all and before both cuts.
 
-    ``docs`` has (id, nul, hash, text); id, nul and hash together stand for one text of one id.
+    ``docs`` has (id, hash, text); id and hash together stand for one text of one id.
     """
-    key = ["id", "nul", "hash"]
+    key = ["id", "hash"]
     found = docs.select(*key, F.posexplode(F.regexp_extract_all("text", F.lit(f"({unit})"), F.lit(1))).alias("at", "unit"))
+    # all that follows wants a document's units together, so they are dealt once
+    dealt = found.select(*key, "at", F.length("unit").alias("size")).repartition(*key)
     # a repeated row repeats its units: the aggregate keeps one of each
-    units = found.select(*key, F.col("at").cast("bigint").alias("at"), F.length("unit").cast("bigint").alias("size")).groupBy(*key, "at").agg(F.max("size").alias("size"))
+    units = dealt.groupBy(*key, "at").agg(F.max("size").cast("bigint").alias("size"))
     summed = units.select(*key, (F.col("at") + 1).alias("ordinal"), F.sum("size").over(Window.partitionBy(*key).orderBy("at")).alias("end"))
-    counts = units.groupBy(*key).agg(F.count("*").alias("n"))
-    one, two = (h % (F.col("n") + 1) for h in draws(F.when(~F.col("nul"), F.col("id")), seed, 2))
-    asked = counts.select(*key, "n", F.explode(F.array(F.struct(F.lit(1).alias("cut"), F.least(one, two).alias("ordinal")), F.struct(F.lit(2).alias("cut"), F.greatest(one, two).alias("ordinal")))).alias("r")).select(*key, "n", "r.*")
+    counts = units.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
+    one, two = (h % (F.col("n") + 1) for h in draws(F.col("id"), seed, 2))
+    asked = counts.select(*key, "n", "chars", F.explode(F.array(F.struct(F.lit(1).alias("cut"), F.least(one, two).alias("ordinal")), F.struct(F.lit(2).alias("cut"), F.greatest(one, two).alias("ordinal")))).alias("r")).select(*key, "n", "chars", "r.*")
     met = asked.join(summed, [*key, "ordinal"], "left")
     # no unit stands before ordinal 0
     at = lambda cut: F.coalesce(F.max(F.when(F.col("cut") == cut, F.col("end"))), F.lit(0)).cast("bigint")
-    return met.groupBy(*key).agg(F.max("n").alias("n"), at(1).alias("first"), at(2).alias("second"))
+    return met.groupBy(*key).agg(F.max("n").alias("n"), F.max("chars").alias("chars"), at(1).alias("first"), at(2).alias("second"))
 
 
 def restored(output: Column, form: Column) -> Column:
@@ -64,15 +66,15 @@ def transformed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
 
     ``fim_percent`` of the documents are rearranged, ``spm_percent`` of these with the suffix first.
     """
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("nul"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("id", "nul", F.xxhash64("text").alias("hash"), "text")
-    cut = docs.join(offsets(docs, unit, seed), ["id", "nul", "hash"], "left")
-    own = F.when(~F.col("nul"), F.col("id"))
-    _, _, h3, h4 = draws(own, seed)
+    # a null id is an empty string from here on, so that keys are never null
+    docs = df.select(F.coalesce(F.col(id_col).cast("bigint").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("id", F.xxhash64("text").alias("hash"), "text")
+    cut = docs.join(offsets(docs, unit, seed), ["id", "hash"], "left")
+    _, _, h3, h4 = draws(F.col("id"), seed)
     odd = (F.col("text") == "") | F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE)) | (h3 % 100 >= fim_percent)
-    cut = cut.select(own.alias("doc"), "text", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "first", "second", F.when(odd, "plain").when(h4 % 100 < spm_percent, "spm").otherwise("psm").alias("form"))
+    cut = cut.select(F.expr("try_cast(id AS bigint)").alias("doc"), "text", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.col("chars").cast("int").alias("chars"), "first", "second", F.when(odd, "plain").when(h4 % 100 < spm_percent, "spm").otherwise("psm").alias("form"))
     text, first, second = F.col("text"), F.col("first").cast("int"), F.col("second").cast("int")
-    a, b, c = F.substr(text, F.lit(1), first), F.substr(text, first + 1, second - first), F.substr(text, second + 1, F.length(text))
+    a, b, c = F.substr(text, F.lit(1), first), F.substr(text, first + 1, second - first), F.substr(text, second + 1, F.col("chars") - second)
     output = F.when(F.col("form") == "psm", F.concat(F.lit(PREFIX), a, F.lit(SUFFIX), c, F.lit(MIDDLE), b)).when(F.col("form") == "spm", F.concat(F.lit(SUFFIX), c, F.lit(PREFIX), a, F.lit(MIDDLE), b)).otherwise(text)
     moved = F.col("form") != "plain"
     return cut.select(F.col("doc").alias(id_col), "n", "form", F.when(moved, F.col("first")).alias("prefix_chars"), F.when(moved, F.col("second") - F.col("first")).alias("middle_chars"), output.alias("output"))
