@@ -7,14 +7,18 @@ group it goes to, so equal runs of ``window`` words always meet:
   is longest (then: has the least hash).  Neighbouring suffixes mostly share it and travel together as
   one segment of text, of which each group gets ``window - 1`` words more than it has suffixes;
 * where such a prefix has more suffixes than a share of a group, it is extended to the whole
-  ``window`` words, and each suffix travels alone.  One pass over the texts counts the prefixes.
+  ``window`` words, and each suffix travels alone.
+
+One pass over the texts counts the prefixes, group by group, and tells each shard the fate of its own: a
+prefix that one document alone has can begin no repeat and is dropped; so only what may repeat travels.
 
 So groups are sized for memory.  In each, a suffix array of the group's segments with the lengths of
 common prefixes is the suffix tree: neighbours that share ``window`` words or more are below one deep
 internal node, whose smallest document keeps the run.  The others' windows come back as spans; spans
 that overlap or touch are one maximal repeat of the document.
 
-Before anything is sent, equal segments of one shard are combined: those of larger documents are
+The texts are written once in compressed shards of a few megabytes, which fates and spans are joined
+to.  Before anything is sent, equal segments of one shard are combined: those of larger documents are
 spans at once, so a passage that a third of all documents share travels once a shard.
 
 Defined results: words are ``[^\x20\x09-\x0D]+`` as written; a null text has none; rows without id
@@ -35,18 +39,16 @@ from pyspark.sql import functions as F
 
 from clausework.llm import textnp
 from clausework.llm.decontaminate import suffix_array
+from clausework.llm.shared import written
 
 WINDOW, GRAM = 13, 3
 SHARD_BYTES = 3 << 20
 #: Text of one group. A segment repeats its neighbours' words, hence about three bytes for each of the corpus.
 GROUP_BYTES = 8 << 20
 SPREAD = 3
-#: Prefixes that may be extended, a bound on what is broadcast (8 bytes each).
-MAX_EXTENDED = 500_000
 SEGMENT_BYTES = 120
 _U = np.uint64
 _BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_FLAGS = "doc bigint, digest bigint, first bigint, n bigint"
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -95,11 +97,14 @@ class Shard:
         ends = np.flatnonzero(whole & np.r_[fresh[1:] | ~whole[1:], True]) + 1
         self.windows, self.owner, self.prefix = ends - self.start, self.text_of[self.start], total[place[self.start]]
 
+    def only(self, mask: np.ndarray) -> None:
+        self.start, self.windows, self.owner, self.prefix = self.start[mask], self.windows[mask], self.owner[mask], self.prefix[mask]
+
     def extend(self, often: np.ndarray) -> None:
         """Suffixes of these prefixes (sorted) travel alone, dealt by all their ``window`` words."""
         if not len(often) or not len(self.prefix):
             return
-        hot = often[np.minimum(np.searchsorted(often, self.prefix), len(often) - 1)] == self.prefix
+        hot = _held(often, self.prefix)
         if not hot.any():
             return
         size = self.windows[hot]
@@ -149,100 +154,187 @@ class Shard:
         return out.tobytes(), begin
 
 
-def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, ids, digests, first word) of texts with id; longer ones come in pieces that overlap by so many words."""
-    for batch in textnp.slices(batches, "text", max_bytes):
-        batch = batch.filter(batch.column("doc").is_valid())
-        if not batch.num_rows:
-            continue
-        data, offs = textnp.buffer(batch.column("text"))
-        doc, digest = batch.column("doc").to_numpy(), batch.column("digest").to_numpy()
-        if len(data) <= 2 * max_bytes or batch.num_rows > 1:
-            yield data, offs, doc, digest, np.zeros(len(doc), np.int64)
-            continue
-        at, word = 0, 0
-        while at < len(data):
-            to = min(len(data), at + max_bytes)
-            while True:
-                part = data[at:to]
-                words = textnp.Words(part, np.array([0, len(part)]), textnp.NON_SPACE, hashed=False)
-                n = len(words.starts) - (to < len(data))  # the last word may go on
-                if n > 2 * overlap or to == len(data):
-                    break
-                to = min(len(data), to + max_bytes)
-            if not n:
-                break
-            yield part[: words.ends[n - 1]], np.array([0, int(words.ends[n - 1])]), doc, digest, np.array([word])
-            if to == len(data):
+def pieces(data: np.ndarray, offs: np.ndarray, max_bytes: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, first word) of a shard; a single long text comes in pieces that overlap by so many words."""
+    if len(offs) > 2 or len(data) <= 2 * max_bytes:
+        yield data, offs, 0
+        return
+    at, word = 0, 0
+    while at < len(data):
+        to = min(len(data), at + max_bytes)
+        while True:
+            words = textnp.Words(data[at:to], np.array([0, to - at]), textnp.NON_SPACE, hashed=False)
+            n = len(words.starts) - (to < len(data))  # the last word may go on
+            if n > 2 * overlap or to == len(data):
                 break
-            word, at = word + n - overlap, at + int(words.starts[n - overlap])
+            to = min(len(data), to + max_bytes)
+        if not n:
+            return
+        end = int(words.ends[n - 1])
+        yield data[at : at + end], np.array([0, end]), word
+        if to == len(data):
+            return
+        word, at = word + n - overlap, at + int(words.starts[n - overlap])
+
 
+_SHARDS = pa.schema([("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary()), ("bytes", pa.int64())])
+_SENT = pa.schema([("grp", pa.int64()), ("shard", pa.int64()), ("packed", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("docs", "firsts")], *[(c, pa.list_(pa.int32())) for c in ("rows", "windows", "times")]])
 
-def _prefixes(window: int, gram: int, shard_bytes: int, least: int = 3):
-    """mapInArrow: per shard, prefixes of several segments; and once the bytes (kind 1) and segments (kind 2) of the task."""
 
+def _kind(schema: pa.Schema) -> str:
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} " + (f"array<{names[f.type.value_type]}>" if pa.types.is_list(f.type) else names[f.type]) for f in schema)
+
+
+def _pack(max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = count = 0
-        for data, offs, doc, _, _ in pieces(batches, shard_bytes, window - 1):
-            shard = Shard(data, offs, window, gram)
-            sent, _ = shard.combine(doc)
-            size, count = size + len(data), count + len(sent)
-            value, n = np.unique(shard.prefix[sent], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int((n >= least).sum()), np.int32)), pa.array(value[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["kind", "prefix", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([size, count], pa.int64())], names=["kind", "prefix", "n"])
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in textnp.slices(batches, "text", max_bytes):
+            data, offs = textnp.buffer(batch.column("text"))
+            docs = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc"))
+            yield pa.RecordBatch.from_arrays([docs, textnp.as_list(np.diff(offs), np.array([0, batch.num_rows]), pa.int64()), pa.array([packer.compress(data.tobytes())], pa.binary()), pa.array([len(data)])], schema=_SHARDS)
 
     return run
 
 
-_SENT = pa.schema(
-    [("grp", pa.int64()), ("packed", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("docs", "digests")], *[(c, pa.list_(pa.int32())) for c in ("windows", "times")], ("firsts", pa.list_(pa.int64()))]
-)
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Shard by shard: its row, the bytes and offsets of its texts, and their ids."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            offs = np.concatenate([[0], np.cumsum(row.column("sizes").flatten().to_numpy())]).astype(np.int64)
+            yield row, np.frombuffer(unpack.decompress(row.column("packed")[0].as_py()), np.uint8), offs, row.column("docs").flatten()
+
 
+def _ids(docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return docs.fill_null(0).to_numpy(), docs.is_valid().to_numpy(zero_copy_only=False)
 
-def _deal(shared, groups: int, window: int, gram: int, shard_bytes: int):
-    """mapInArrow: a shard's segments, packed by group; spans found in the shard itself go by the upper half of the groups."""
+
+def _several(prefix: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each prefix belongs to more than one of the documents."""
+    if not len(prefix):
+        return np.zeros(0, bool)
+    value, slot = np.unique(prefix, return_inverse=True)
+    order = np.argsort(slot.ravel(), kind="stable")
+    start = np.searchsorted(slot.ravel()[order], np.arange(len(value)))
+    return (np.minimum.reduceat(doc[order], start) < np.maximum.reduceat(doc[order], start))[slot.ravel()]
+
+
+def _count(groups: int, window: int, gram: int, shard_bytes: int):
+    """mapInArrow over shards: the prefixes of a shard and how many segments it would send of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for data, offs, doc, digest, base in pieces(batches, shard_bytes, window - 1):
-            shard = Shard(data, offs, window, gram)
-            shard.extend(shared.value)
-            sent, local = shard.combine(doc)
-            if not len(sent):
+        for row, data, offs, docs in _opened(batches):
+            doc, valid = _ids(docs)
+            found = []
+            for part, cuts, _ in pieces(data, offs, shard_bytes, window - 1):
+                shard = Shard(part, cuts, window, gram)
+                shard.only(valid[shard.owner])
+                found.append(shard.prefix[shard.combine(doc)[0]])
+            prefix, n = np.unique(np.concatenate(found) if found else np.zeros(0, _U), return_counts=True)
+            if not len(prefix):
                 continue
-            number = shard.start - shard.words.first[shard.owner] + base[shard.owner]
-            # one record for equal segments of one text
-            group = (shard.prefix[sent] % _U(groups)).astype(np.int64)
-            order = np.lexsort((shard.start[sent], shard.owner[sent], shard.same[sent], group))
-            sent, group = sent[order], group[order]
-            fresh = np.r_[True, (shard.same[sent[1:]] != shard.same[sent[:-1]]) | (shard.owner[sent[1:]] != shard.owner[sent[:-1]])]
-            record = np.flatnonzero(fresh)
-            times = np.diff(np.r_[record, len(sent)])
-            text, begin = shard.texts()
-            ones = sent[record]
-            lo = begin[shard.start[ones]].tolist()
-            hi = (begin[shard.start[ones] + shard.windows[ones] + window - 1] - 1).tolist()
-            cut = np.flatnonzero(np.r_[True, group[record[1:]] != group[record[:-1]]])
-            edges = np.r_[cut, len(record)]
-            packed = [packer.compress(b"\n".join([text[x:y] for x, y in zip(lo[a:b], hi[a:b], strict=True)])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            lists = lambda values, ends, kind: textnp.as_list(values, ends, kind)
-            firsts = np.r_[record, len(sent)][edges]
-            rows = [
-                pa.array(group[record[cut]]), pa.array(packed, pa.binary()), lists(doc[shard.owner[ones]], edges, pa.int64()), lists(digest[shard.owner[ones]], edges, pa.int64()),
-                lists(shard.windows[ones].astype(np.int32), edges, pa.int32()), lists(times.astype(np.int32), edges, pa.int32()), lists(number[sent], firsts, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(rows, schema=_SENT)
-            if len(local):
-                ends = np.array([0, len(local)])
-                at = groups + int(shard.sums[-1] % _U(groups))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at]), pa.array([None], pa.binary()), lists(doc[shard.owner[local]], ends, pa.int64()), lists(digest[shard.owner[local]], ends, pa.int64()), lists(shard.windows[local].astype(np.int32), ends, pa.int32()), lists(np.ones(len(local), np.int32), ends, pa.int32()), lists(number[local], ends, pa.int64())],
-                    schema=_SENT,
-                )
+            group = prefix % _U(groups)
+            order = np.argsort(group, kind="stable")
+            cut = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+            edges = np.r_[cut, len(order)]
+            packed = [(prefix[order[a:b]].tobytes(), n[order[a:b]].astype(np.uint32).tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group[order[cut]].astype(np.int64)), pa.array([row.column("shard")[0].as_py()] * len(cut), pa.int64()), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())], names=["grp", "shard", "prefixes", "counts"]
+            )
 
     return run
 
 
+def _fates(most: int):
+    """Prefixes of a group that several shards have, and those of more than ``most`` segments, back to their shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        prefix = [np.frombuffer(x.as_py(), _U) for x in table["prefixes"]]
+        n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]).astype(np.int64)
+        owner = np.repeat(np.arange(len(prefix)), [len(x) for x in prefix])
+        flat = np.concatenate(prefix)
+        value, slot, shards = np.unique(flat, return_inverse=True, return_counts=True)
+        slot = slot.ravel()
+        often = np.bincount(slot, weights=n) > most
+        kept = np.flatnonzero((shards[slot] > 1) | often[slot])
+        edges = np.searchsorted(owner[kept], np.arange(len(prefix) + 1)).tolist()
+        pairs = list(zip(edges[:-1], edges[1:], strict=True))
+        back = pa.table({"shard": table["shard"], "prefixes": pa.array([flat[kept[a:b]].tobytes() for a, b in pairs], pa.binary()), "often": pa.array([often[slot[kept[a:b]]].tobytes() for a, b in pairs], pa.binary())})
+        return back.filter(pa.array([a < b for a, b in pairs]))
+
+    return run
+
+
+def _deal(groups: int, window: int, gram: int, shard_bytes: int):
+    """mapInArrow over shards and their prefixes' fates: segments packed by group; spans found in the shard itself go by the upper half of the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for row, data, offs, docs in _opened(batches):
+            doc, valid = _ids(docs)
+            number = row.column("shard")[0].as_py()
+            fates = row.column("fates").flatten()
+            shared = np.concatenate([np.zeros(0, _U), *[np.frombuffer(x.as_py(), _U) for x in fates.field(0)]])
+            often = np.concatenate([np.zeros(0, bool), *[np.frombuffer(x.as_py(), bool) for x in fates.field(1)]])
+            order = np.argsort(shared)
+            shared, often = shared[order], np.sort(shared[often])
+            for part, cuts, base in pieces(data, offs, shard_bytes, window - 1):
+                shard = Shard(part, cuts, window, gram)
+                shard.only(valid[shard.owner])
+                # a prefix of one document only can begin no repeat
+                shard.only(_held(shared, shard.prefix) | _several(shard.prefix, doc[shard.owner]))
+                shard.extend(often)
+                yield from _rows(shard, doc, base, number, groups, window, packer)
+
+    return run
+
+
+def _held(sorted_values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(asked), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, asked), len(sorted_values) - 1)] == asked
+
+
+def _rows(shard: Shard, doc: np.ndarray, base: int, number: int, groups: int, window: int, packer: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+    sent, local = shard.combine(doc)
+    if not len(sent):
+        return
+    first = shard.start - shard.words.first[shard.owner] + base
+    lists = lambda values, ends, kind: textnp.as_list(values, ends, kind)
+    # one record for equal segments of one text
+    group = (shard.prefix[sent] % _U(groups)).astype(np.int64)
+    order = np.lexsort((shard.start[sent], shard.owner[sent], shard.same[sent], group))
+    sent, group = sent[order], group[order]
+    fresh = np.r_[True, (shard.same[sent[1:]] != shard.same[sent[:-1]]) | (shard.owner[sent[1:]] != shard.owner[sent[:-1]])]
+    record = np.flatnonzero(fresh)
+    times = np.diff(np.r_[record, len(sent)])
+    ones = sent[record]
+    text, begin = shard.texts()
+    lo = begin[shard.start[ones]].tolist()
+    hi = (begin[shard.start[ones] + shard.windows[ones] + window - 1] - 1).tolist()
+    cut = np.flatnonzero(np.r_[True, group[record[1:]] != group[record[:-1]]])
+    edges = np.r_[cut, len(record)]
+    packed = [packer.compress(b"\n".join([text[x:y] for x, y in zip(lo[a:b], hi[a:b], strict=True)])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(group[record[cut]]), pa.array([number] * len(cut), pa.int64()), pa.array(packed, pa.binary()), lists(doc[shard.owner[ones]], edges, pa.int64()), lists(first[sent], np.r_[record, len(sent)][edges], pa.int64()),
+            lists(shard.owner[ones], edges, pa.int32()), lists(shard.windows[ones], edges, pa.int32()), lists(times, edges, pa.int32()),
+        ],
+        schema=_SENT,
+    )
+    if len(local):
+        ends = np.array([0, len(local)])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([groups + number % groups]), pa.array([number], pa.int64()), pa.array([None], pa.binary()), lists(doc[shard.owner[local]], ends, pa.int64()), lists(first[local], ends, pa.int64()),
+                lists(shard.owner[local], ends, pa.int32()), lists(shard.windows[local], ends, pa.int32()), lists(np.ones(len(local)), ends, pa.int32()),
+            ],
+            schema=_SENT,
+        )
+
+
 def deep_nodes(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes starting at ``at`` in order, and for each the topmost node of the tree that is ``depth`` words deep.
 
@@ -258,12 +350,16 @@ def deep_nodes(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray
     return order, np.cumsum(np.r_[False, ~shared])
 
 
+_FLAGS = "shard bigint, rows array<int>, firsts array<bigint>, windows array<int>"
+
+
 def _tree(groups: int, window: int):
     def run(table: pa.Table) -> pa.Table:
-        flat = {c: pa.concat_arrays([x.flatten() for x in table[c].chunks]).to_numpy() for c in ("docs", "digests", "windows", "times", "firsts")}
-        windows, times = flat["windows"].astype(np.int64), flat["times"].astype(np.int64)
         if table["grp"][0].as_py() >= groups:
-            return pa.table({"doc": flat["docs"], "digest": flat["digests"], "first": flat["firsts"], "n": windows})
+            return table.select(["shard", "rows", "firsts", "windows"])
+        flat = {c: pa.concat_arrays([x.flatten() for x in table[c].chunks]).to_numpy() for c in ("docs", "rows", "windows", "times", "firsts")}
+        records = pa.concat_arrays([x.value_lengths() for x in table["docs"].chunks]).to_numpy()
+        windows, times = flat["windows"].astype(np.int64), flat["times"].astype(np.int64)
         unpack = zstandard.ZstdDecompressor()
         data = np.frombuffer(b"\n".join(unpack.decompress(x.as_py()) for x in table["packed"]), np.uint8)
         words = textnp.Words(data, np.array([0, len(data)]), textnp.NON_SPACE)
@@ -289,37 +385,25 @@ def _tree(groups: int, window: int):
         repeat = times[which]
         at = np.repeat(first_time[which], repeat) + np.arange(int(repeat.sum())) - np.repeat(np.cumsum(repeat) - repeat, repeat)
         own = np.repeat(which, repeat)
-        return pa.table({"doc": flat["docs"][own], "digest": flat["digests"][own], "first": flat["firsts"][at] + np.repeat(a - begin[which], repeat), "n": np.repeat(b - a, repeat)})
+        edges = np.searchsorted(own, np.concatenate([[0], np.cumsum(records)]))
+        back = pa.table({
+            "shard": table["shard"], "rows": textnp.as_list(flat["rows"][own], edges, pa.int32()), "firsts": textnp.as_list(flat["firsts"][at] + np.repeat(a - begin[which], repeat), edges, pa.int64()),
+            "windows": textnp.as_list(np.repeat(b - a, repeat), edges, pa.int32()),
+        })
+        return back.filter(pa.array(np.diff(edges) > 0))
 
     return run
 
 
-def repeats(rows: DataFrame, window: int, gram: int, shard_bytes: int, group_bytes: int) -> DataFrame:
-    """(doc, digest, first, n): ``n`` windows of a text, from word ``first`` on, that a smaller document holds."""
-    spark = rows.sparkSession
-    counts = rows.mapInArrow(_prefixes(window, gram, shard_bytes), "kind int, prefix bigint, n bigint").groupBy("kind", "prefix").agg(F.sum("n").alias("n"))
-    kinds = counts.groupBy("kind").agg(F.sum("n").alias("n")).where("kind > 0")
-    total = {r.kind: r.n for r in kinds.collect()}
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(2 * partitions, -(-SPREAD * total.get(1, 0) // group_bytes))
-    share = SPREAD * total.get(1, 0) // groups // SEGMENT_BYTES // 8
-    most = max(16, share, total.get(2, 0) // MAX_EXTENDED)
-    often = counts.where(f"kind = 0 AND n > {most}").select("prefix").toPandas()["prefix"]
-    shared = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(_U)))
-    dealt = rows.mapInArrow(_deal(shared, groups, window, gram, shard_bytes), "grp bigint, packed binary, docs array<bigint>, digests array<bigint>, windows array<int>, times array<int>, firsts array<bigint>")
-    return dealt.groupBy("grp").applyInArrow(_tree(groups, window), _FLAGS)
-
-
 def _cut(window: int):
+    """mapInArrow over shards and their repeats: one row per document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textnp.slices(batches, "text"):
-            data, offs = textnp.buffer(batch.column("text"))
+        for row, data, offs, docs in _opened(batches):
             words = textnp.Words(data, offs, textnp.NON_SPACE, hashed=False)
             n = len(words.starts)
-            at = batch.column("at")
-            of = np.repeat(np.arange(batch.num_rows), at.value_lengths().fill_null(0).to_numpy())
-            runs = at.flatten()
-            first, count = (runs.field(i).to_numpy() for i in (0, 1))
+            runs = row.column("runs").flatten()
+            of, first, count = (np.concatenate([np.zeros(0, np.int64), *[x.values.to_numpy() for x in runs.field(i)]]).astype(np.int64) for i in range(3))
             edge = np.zeros(n + 1, np.int64)
             np.add.at(edge, words.first[of] + first, 1)
             np.add.at(edge, words.first[of] + first + count + window - 1, -1)
@@ -341,7 +425,7 @@ def _cut(window: int):
                     kept.append(b" ".join([raw[starts[j]:ends[j]] for j in (x + np.flatnonzero(stay[x:y])).tolist()]))
             removed = np.concatenate([[0], np.cumsum(~stay)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(np.diff(words.first)), pa.array(removed[words.first[1:]] - removed[words.first[:-1]]), spans, pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "spans", "kept"]
+                [docs, pa.array(np.diff(words.first)), pa.array(removed[words.first[1:]] - removed[words.first[:-1]]), spans, pa.array(kept, pa.binary()).cast(pa.string())], names=["doc", "n_words", "n_removed", "spans", "kept"]
             )
 
     return run
@@ -352,11 +436,23 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``shard_bytes`` bounds what a task reads at once, ``group_bytes`` the text of a suffix tree.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc", F.xxhash64("text").alias("digest"), "text")
-    runs = repeats(rows, window, gram, shard_bytes, group_bytes).groupBy("doc", "digest").agg(F.collect_list(F.struct("first", "n")).alias("at"))
-    none = F.array().cast("array<struct<first:bigint,n:bigint>>")
-    met = rows.join(runs, ["doc", "digest"], "left").select("doc", "text", F.coalesce("at", none).alias("at"))
+    shards = written(rows.mapInArrow(_pack(shard_bytes), _kind(_SHARDS)).withColumn("shard", F.monotonically_increasing_id()), "shards")
+    size = shards.agg(F.sum("bytes")).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(2 * partitions, -(-SPREAD * size // group_bytes))
+    # what a prefix may have: an eighth of a group
+    most = max(16, SPREAD * size // groups // SEGMENT_BYTES // 8)
+    count_groups = max(partitions, -(-size // (4 * group_bytes)))
+    counted = shards.mapInArrow(_count(count_groups, window, gram, shard_bytes), "grp bigint, shard bigint, prefixes binary, counts binary")
+    fates = counted.groupBy("grp").applyInArrow(_fates(most), "shard bigint, prefixes binary, often binary").groupBy("shard").agg(F.collect_list(F.struct("prefixes", "often")).alias("fates"))
+    none = F.array().cast("array<struct<prefixes:binary,often:binary>>")
+    told = shards.join(fates.hint("shuffle_hash"), "shard", "left").select("shard", "docs", "sizes", "packed", F.coalesce("fates", none).alias("fates"))
+    dealt = told.mapInArrow(_deal(groups, window, gram, shard_bytes), _kind(_SENT))
+    found = dealt.groupBy("grp").applyInArrow(_tree(groups, window), _FLAGS).groupBy("shard").agg(F.collect_list(F.struct("rows", "firsts", "windows")).alias("runs"))
+    none = F.array().cast("array<struct<rows:array<int>,firsts:array<bigint>,windows:array<int>>>")
+    met = shards.join(found.hint("shuffle_hash"), "shard", "left").select("docs", "sizes", "packed", F.coalesce("runs", none).alias("runs"))
     out = met.mapInArrow(_cut(window), "doc bigint, n_words bigint, n_removed bigint, spans array<struct<first:bigint,end:bigint>>, kept string")
     return out.withColumnRenamed("doc", id_col)
 
