@@ -18,6 +18,7 @@ as they come; an empty table gives an empty result; only the two named columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -102,8 +103,18 @@ class Finder:
                         at = done = m.end()
                     else:
                         at = m.start() + 1
-        inside = lambda x, y: y[2] <= x[2] and x[3] <= y[3] and len(x[1]) < len(y[1])
-        return sorted((x for x in found if not any(inside(x, y) for y in found)), key=lambda x: (x[2], x[3], x[1]))
+        return sorted(_outermost(found), key=lambda x: (x[2], x[3], x[1]))
+
+
+def _outermost(found: list[tuple[str, str, int, int, int]]) -> list[tuple[str, str, int, int, int]]:
+    """Places that lie within no place of a longer notice; one sweep, as places of one notice don't overlap."""
+    out, open_places = [], []
+    for _, group in groupby(sorted(found, key=lambda x: x[2]), key=lambda x: x[2]):
+        here = list(group)
+        # at most one open place a notice
+        open_places = [y for y in open_places if y[3] > here[0][2]] + here
+        out += [x for x in here if not any(x[3] <= y[3] and len(x[1]) < len(y[1]) for y in open_places)]
+    return out
 
 
 def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -147,16 +158,20 @@ def _scan(phrases: dict[str, str], notices: dict[str, tuple[str, float]], edits:
                 spans = []
                 if i in exact or i in near:
                     text = whole[joined[1][i] : joined[1][i + 1]]
+                    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
                     if i in exact:
                         for p, label in wanted:
                             if at := _places(text, p):
                                 labels.add(label)
-                                starts += [text.count(b" ", 0, x) for x in at]
+                                starts += (np.searchsorted(blanks, at)).tolist()
                     if i in near:
                         plain = text.decode("utf-8", "replace")
-                        for label, notice, a, b, e in finder.spans(plain):
-                            first = max(0, plain.count(" ", 0, a + 1) - 1)
-                            spans.append({"label": label, "notice": notice, "first_word": first, "last_word": max(first, plain.count(" ", 0, b) - 1), "edits": e})
+                        if len(plain) != len(text):  # places are in characters
+                            blanks = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le"), np.uint32) == 32)
+                        places = finder.spans(plain)
+                        before = np.searchsorted(blanks, [[a + 1, b] for _, _, a, b, _ in places]).reshape(-1, 2) - 1
+                        for (label, notice, _, _, e), (first, last) in zip(places, np.maximum(before, 0).tolist(), strict=True):
+                            spans.append({"label": label, "notice": notice, "first_word": first, "last_word": max(first, last), "edits": e})
                 for column, value in zip(out, (int(words.first[i + 1] - words.first[i]), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), spans), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())])))
