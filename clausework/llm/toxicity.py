@@ -96,15 +96,19 @@ _ODD = np.zeros(256, bool)
 _ODD[[*b"0134570@$!*"]] = True
 
 
-def features(data: np.ndarray, offs: np.ndarray, stems: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The feature matrix (texts x FEATURES) of a batch; ``stems`` are sorted hashes."""
+#: What is counted of a text; all but the largest weight add up over its parts.
+COUNTED = ["insults", "learned", "weight", "most", "hits", "you", "upper", "letters", "shouted", "exclaim", "punctuation", "obfuscated", "clear", "words", "tokens", "bytes"]
+_EXCLAIM = np.isin(np.arange(256), [33, 63])
+
+
+def _counted(data: np.ndarray, offs: np.ndarray, stems: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts x COUNTED, hits, second persons, first words): what each text has, and which of its words are lexicon words and second persons."""
     n = len(offs) - 1
     low = textnp.LOWER[data]
     words = textnp.Words(low, offs, textnp.ALNUM)
     counts = np.diff(words.first)
     owner = np.repeat(np.arange(n), counts)
     per = lambda x: np.bincount(owner, x, n)
-    many, chars = np.maximum(counts, 1), np.maximum(np.diff(offs), 1)
     share = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[data])])[offs]) if len(data) else np.zeros(n)
 
     insults, second = word_hashes(INSULTS), word_hashes(SECOND_PERSON)
@@ -115,11 +119,6 @@ def features(data: np.ndarray, offs: np.ndarray, stems: np.ndarray, weights: np.
         weight = np.maximum(weight, np.where(here, weights[at] if len(weights) else 0.0, 0.0))
     hit = insult | (weight > 0)
     you, _ = _member(second, words.hashes)
-    place = np.arange(len(you))
-    after = np.maximum.accumulate(np.where(you, place, -(10**9))) if len(you) else place
-    before = np.minimum.accumulate(np.where(you, place, 10**9)[::-1])[::-1] if len(you) else place
-    same = lambda other: (other >= words.first[owner]) & (other < words.first[owner + 1])
-    near = hit & (((place - after <= NEAR) & same(after)) | ((before - place <= NEAR) & same(before)))
 
     # tokens with disguises undone: symbols inside are dropped, look-alikes become letters
     kept = ~_DROPPED[data]
@@ -130,7 +129,6 @@ def features(data: np.ndarray, offs: np.ndarray, stems: np.ndarray, weights: np.
     for h in _stems(plain, tokens):
         clear |= _member(stems, h)[0]
     t_owner = np.repeat(np.arange(n), np.diff(tokens.first))
-    disguised = np.maximum(0, np.bincount(t_owner, clear, n) - per(hit))
 
     raw = textnp.Words(data, offs, textnp.NON_SPACE, hashed=False)
     size = raw.ends - raw.starts
@@ -138,18 +136,53 @@ def features(data: np.ndarray, offs: np.ndarray, stems: np.ndarray, weights: np.
     letters, odd, caps = total(_LETTER), total(_ODD), total(_UPPER)
     inner = odd - (_ODD[data[raw.ends - 1]] if len(size) else 0)
     r_owner = np.repeat(np.arange(n), np.diff(raw.first))
-    r_many = np.maximum(np.diff(raw.first), 1)
-    hits, learned = per(hit), per(weight > 0)
     most = np.zeros(n)
     np.maximum.at(most, owner, weight)
-    out = np.stack([
-        100 * per(insult) / many, 100 * learned / many, 100 * per(weight) / many, most, np.log1p(learned), np.log1p(per(insult)),
-        100 * per(near) / many, 100 * per(you) / many, share(_UPPER) / np.maximum(share(_LETTER), 1),
-        np.bincount(r_owner, (caps == letters) & (letters > 1), n) / r_many,
-        share(np.isin(np.arange(256), [33, 63])) / chars, share(_PUNCT) / chars,
-        np.bincount(r_owner, (letters > 1) & (inner > 0), n) / r_many, np.where(hits + disguised > 0, disguised, 0), np.log1p(counts),
+    found = np.stack([
+        per(insult), per(weight > 0), per(weight), most, per(hit), per(you), share(_UPPER), share(_LETTER), np.bincount(r_owner, (caps == letters) & (letters > 1), n), share(_EXCLAIM), share(_PUNCT),
+        np.bincount(r_owner, (letters > 1) & (inner > 0), n), np.bincount(t_owner, clear, n), counts, np.diff(raw.first), np.diff(offs),
+    ], axis=1)
+    return found, hit, you, words.first
+
+
+def _pieces(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A text in runs of about ``most`` bytes that end at white space; every kind of word ends there too."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + most)
+        while to < len(data) and textnp.NON_SPACE[data[to - 1]]:
+            gap = np.flatnonzero(~textnp.NON_SPACE[data[to : to + most]])
+            to = to + int(gap[0]) + 1 if len(gap) else min(len(data), to + most)
+        yield data[at:to]
+        at = to
+
+
+def features(data: np.ndarray, offs: np.ndarray, stems: np.ndarray, weights: np.ndarray, most_bytes: int = SLICE_BYTES) -> np.ndarray:
+    """The feature matrix (texts x FEATURES) of a batch; ``stems`` are sorted hashes. A long text alone is counted run by run."""
+    n = len(offs) - 1
+    if n == 1 and len(data) > 2 * most_bytes:
+        parts = [_counted(x, np.array([0, len(x)]), stems, weights) for x in _pieces(data, most_bytes)]
+        found = np.sum([x[0] for x in parts], axis=0)
+        found[:, COUNTED.index("most")] = np.max([x[0][:, COUNTED.index("most")] for x in parts], axis=0)
+        hit, you = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+        first = np.array([0, len(hit)])
+    else:
+        found, hit, you, first = _counted(data, offs, stems, weights)
+    c = dict(zip(COUNTED, found.T, strict=True))
+    # lexicon words with a second person within NEAR words of the same text
+    number = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+    near = np.zeros(len(hit), bool)
+    for d in range(NEAR + 1):
+        same = number[d:] == number[: len(number) - d]
+        near[d:] |= you[: len(you) - d] & same
+        near[: len(near) - d] |= you[d:] & same
+    near = np.bincount(number, hit & near, n)
+    many, chars, tokens = np.maximum(c["words"], 1), np.maximum(c["bytes"], 1), np.maximum(c["tokens"], 1)
+    disguised = np.maximum(0, c["clear"] - c["hits"])
+    return np.stack([
+        100 * c["insults"] / many, 100 * c["learned"] / many, 100 * c["weight"] / many, c["most"], np.log1p(c["learned"]), np.log1p(c["insults"]), 100 * near / many, 100 * c["you"] / many,
+        c["upper"] / np.maximum(c["letters"], 1), c["shouted"] / tokens, c["exclaim"] / chars, c["punctuation"] / chars, c["obfuscated"] / tokens, np.where(c["hits"] + disguised > 0, disguised, 0), np.log1p(c["words"]),
     ], axis=1)
-    return out
 
 
 def _featured(df: DataFrame, stems: np.ndarray, weights: np.ndarray, extra: list[str]) -> DataFrame:
@@ -168,23 +201,30 @@ def _featured(df: DataFrame, stems: np.ndarray, weights: np.ndarray, extra: list
     return df.mapInArrow(run, schema).withColumn("__x", array_to_vector("__f")).drop("__f")
 
 
+def _stemmed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All stems of all words and the texts they are in."""
+    low = textnp.LOWER[data]
+    words = textnp.Words(low, offs, textnp.ALNUM)
+    return np.concatenate(_stems(low, words)), np.tile(np.repeat(np.arange(len(offs) - 1), np.diff(words.first)), len(STEMS) + 1)
+
+
 def _stem_counts(df: DataFrame) -> DataFrame:
     """(stem, toxic texts, clean texts) of ``df(__text, __y)``; counted per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textnp.slices(batches, "__text", SLICE_BYTES):
             data, offs = textnp.buffer(batch.column("__text"))
-            low = textnp.LOWER[data]
-            words = textnp.Words(low, offs, textnp.ALNUM)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(words.first)).astype(np.uint64)
             toxic = np.asarray(batch.column("__y")).astype(bool)
-            stem = np.concatenate(_stems(low, words))
-            doc = np.tile(owner, len(STEMS) + 1)
-            order = np.lexsort((doc, stem))
-            stem, doc = stem[order], doc[order]
-            fresh = np.ones(len(stem), bool)
-            fresh[1:] = (stem[1:] != stem[:-1]) | (doc[1:] != doc[:-1])
-            stem, bad = stem[fresh], toxic[doc[fresh].astype(np.int64)]
+            if batch.num_rows == 1:  # perhaps a long text
+                stem = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(_stemmed(x, np.array([0, len(x)]))[0]) for x in _pieces(data, SLICE_BYTES)]]))
+                bad = np.repeat(toxic, len(stem))
+            else:
+                stem, doc = _stemmed(data, offs)
+                order = np.lexsort((doc, stem))
+                stem, doc = stem[order], doc[order]
+                fresh = np.ones(len(stem), bool)
+                fresh[1:] = (stem[1:] != stem[:-1]) | (doc[1:] != doc[:-1])
+                stem, bad = stem[fresh], toxic[doc[fresh]]
             if not len(stem):
                 continue
             value, first = np.unique(stem, return_index=True)
