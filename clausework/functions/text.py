@@ -27,6 +27,8 @@ VIETNAMESE = "[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếề
 TONES = "[àáãèéìíòóõùúý]"
 VI_COMMON = "và của các cho được theo trong với là có không khi này thanh toán giá bên hợp đồng điều khoản tin thông".split()
 EN_COMMON = "the and of to in shall is be by or for with any this that on as party parties agreement article clause which under from not all such will may means its at an a".split()
+#: Shares of words from which a short text is Vietnamese or English, and words of a text too short to tell.
+VI_SHARE, EN_SHARE, FEW_WORDS = 0.2, 0.08, 6
 #: Words that tell the languages of a whole contract.
 EN_MARKS = ["the", "and", "of", "agreement", "shall", "party", "to", "in"]
 ID_MARKS = ["yang", "dan", "dengan", "perjanjian", "pihak", "untuk", "dalam", "tersebut", "pasal"]
@@ -81,8 +83,7 @@ def tokens(text: Column) -> Column:
 
 def search_terms(text: Column, stop: list[str] = STOP) -> Column:
     """Distinct tokens without stop words, in order of first use."""
-    held = F.array(*[F.lit(x) for x in stop])
-    return F.array_distinct(F.filter(tokens(text), lambda w: ~F.array_contains(held, w)))
+    return F.array_distinct(F.filter(tokens(text), lambda w: ~w.isin(stop)))
 
 
 def sentences(text: Column) -> Column:
@@ -137,7 +138,7 @@ def short_language(text: Column) -> Column:
     def judged(words: Column) -> Column:
         vi = _share(words, lambda w: w.rlike(VIETNAMESE) | w.isin(VI_COMMON) | w.rlike(TONES))
         en = _share(words, lambda w: w.isin(EN_COMMON))
-        return F.when(F.size(words) == 0, None).when(vi >= 0.2, "vi").when((en >= 0.08) | (vi == 0) & (F.size(words) <= 6), "en")
+        return F.when(F.size(words) == 0, None).when(vi >= VI_SHARE, "vi").when((en >= EN_SHARE) | (vi == 0) & (F.size(words) <= FEW_WORDS), "en")
 
     return bound(letters(text), judged)
 

@@ -41,12 +41,16 @@ def segmented(blocks: DataFrame) -> DataFrame:
     first = lambda c: F.max(F.when(F.col("starts"), c))
     joined = lambda c: F.trim(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("t")))), lambda x: x["t"]), lambda t: t != ""), "\n"))
     other = T.alternate_heading(F.col("alt"))
-    started = F.col("starts") & (F.col("alt") != "")
+    # the first other text of a clause carries its heading if it stands beside the start, or alone behind it
+    leads = (F.col("clause") > 0) & (F.col("alt") != "") & (F.col("pos") == F.min(F.when(F.col("alt") != "", F.col("pos"))).over(Window.partitionBy("doc_id", "clause")))
+    if two:
+        marked = marked.withColumn("leads", leads & (F.col("starts") | (F.coalesce("text", F.lit("")) == "")))
+    first_other = lambda c: F.max(F.when(F.col("leads"), c))
     per = marked.groupBy("doc_id", "clause").agg(
         first(F.when(F.col("numbered"), F.col("m.number"))).alias("number"),
         first(F.when(F.col("numbered"), F.col("split.heading")).otherwise(F.col("text"))).alias("heading"),
         joined(body).alias("text"),
-        *([F.coalesce(first(F.when(started, other["heading"])), F.lit("")).alias("heading_alt"), joined(F.when(started, other["body"]).otherwise(F.col("alt"))).alias("text_alt")] if two else []),
+        *([F.coalesce(first_other(other["heading"]), F.lit("")).alias("heading_alt"), joined(F.when(F.col("leads"), other["body"]).otherwise(F.col("alt"))).alias("text_alt")] if two else []),
     )
     place = F.row_number().over(doc.orderBy("clause")) - 1
     return per.select("doc_id", place.cast("bigint").alias("idx"), "number", F.when(F.col("clause") == 0, "Preamble").otherwise(F.col("heading")).alias("heading"), "text", *["heading_alt", "text_alt"] * two)
@@ -73,6 +77,10 @@ def labelled(clauses: DataFrame, hints: DataFrame) -> DataFrame:
     return out.select(*clauses.columns, F.when(preamble, "parties").otherwise(F.coalesce("b.key", F.lit("other"))).alias("clause_key"), F.round(F.when(preamble, 0.7).otherwise(F.coalesce("b.score", F.lit(0.0))), 2).alias("confidence"))
 
 
+#: Rules that may be broadcast.
+MAX_RULES = 10_000
+
+
 def evaluated(rules: DataFrame, clauses: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per document and rule that applies: classification and confidence.
 
@@ -80,9 +88,17 @@ def evaluated(rules: DataFrame, clauses: DataFrame, documents: DataFrame) -> Dat
     tests decides.
     """
     first = clauses.groupBy("doc_id", "clause_key").agg(F.min_by(F.struct("idx", "heading", "text"), "idx").alias("c"))
-    pairs = documents.select("doc_id").join(rules, F.lit(True)).join(first, ["doc_id", "clause_key"], "left")
+    # values are read once for each first clause, whatever the number of rules on it
     body = F.concat_ws(" ", F.coalesce("c.heading", F.lit("")), F.coalesce("c.text", F.lit("")))
-    rows = pairs.withColumn("body", body).withColumn("months", F.get(V.durations(F.col("body")), F.lit(0))).withColumn("amount", F.get(V.amounts(F.col("body")), F.lit(0))["value"]).withColumn("pct", V.percents(F.col("body")))
+    read = first.select("doc_id", "clause_key", "c", body.alias("body"), V.values(body).alias("v")).select("doc_id", "clause_key", "c", "body", F.get(F.filter("v.periods", lambda x: x["unit"] == "mo"), F.lit(0))["value"].alias("months"), F.get("v.amounts", F.lit(0))["value"].alias("amount"), F.col("v.percents").alias("pct"))
+    n = rules.count()
+    known = rules if n > MAX_RULES else F.broadcast(rules)
+    # a rule on a clause that a document lacks matters only if it is required: all others are an equi-join
+    absent = documents.select("doc_id").join(known.where("required"), F.lit(True)).join(first.select("doc_id", "clause_key"), ["doc_id", "clause_key"], "left_anti")
+    gone = ["c", "body", "months", "amount", "pct"]
+    columns = ["doc_id", *rules.columns, *gone]
+    held = documents.select("doc_id").join(read, "doc_id").join(known, "clause_key").select(columns)
+    rows = held.union(absent.withColumns({c: F.lit(None).cast(held.schema[c].dataType) for c in gone}).select(columns))
     low = F.lower("body")
     has = lambda c: F.exists(F.coalesce(F.col(c), F.expr("array()").cast("array<string>")), lambda w: F.contains(low, F.lower(w)))
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
@@ -135,7 +151,7 @@ def differences(pairs: DataFrame, languages: tuple[str, str] = ("vi", "en"), gra
         c = F.col(side)
         kinds = {
             "amount": F.transform("amounts", lambda a: F.format_number(a["value"], 2)), "percent": F.transform(V.percents(c), text), "duration": F.transform("periods", period),
-            "date": F.transform("dates", lambda x: text(x["value"])), "tax_code": V.tax_codes(c), "number": F.transform(V.standalone_numbers(c, [F.col(x) for x in read]), text),
+            "date": F.transform("dates", lambda x: text(x["value"])), "tax_code": V.tax_codes(c), "number": F.transform(V.standalone_numbers(c), text),
             "negation": F.when(V.negated(c, languages[sign < 0]), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
         }
         named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))

@@ -12,10 +12,12 @@ from clausework.functions import text as T
 from clausework.functions import values as V
 from clausework.operators import bilingual as B
 from clausework.operators import clauses as C
+from clausework.operators import ingest
 from clausework.operators import parties as P
 from clausework.operators import search as S
 from clausework.operators import statutes
 from clausework.plans.catalog import query, table
+from clausework.plans.texts import TYPES
 
 
 @query("""SELECT o_orderkey AS id, 'USD' AS currency, round(o_totalprice, 2) AS amount, CAST(o_orderkey % 90 AS DOUBLE) AS percent, CAST(o_orderdate AS DATE) AS day,
@@ -33,7 +35,7 @@ def order_values(spark, sf_dir):
     first = lambda found: F.get(found, F.lit(0))
     months, short = (F.filter("periods", test) for test in (lambda x: x["unit"] == "mo", lambda x: x["unit"] != "mo"))
     rows = rows.select("id", "t", *read, first(months).alias("long"), first(short).alias("short"), first(F.col("amounts")).alias("a"))
-    return rows.select("id", "a.currency", F.col("a.value").alias("amount"), first(V.percents(t)).alias("percent"), first(F.col("dates"))["value"].alias("day"), F.col("long.value").cast("int").alias("months"), F.col("short.value").alias("notice"), "short.unit", first(V.standalone_numbers(t, [F.col(x) for x in read])).alias("copies"))
+    return rows.select("id", "a.currency", F.col("a.value").alias("amount"), first(V.percents(t)).alias("percent"), first(F.col("dates"))["value"].alias("day"), F.col("long.value").cast("int").alias("months"), F.col("short.value").alias("notice"), "short.unit", first(V.standalone_numbers(t)).alias("copies"))
 
 
 _SIDES = "(SELECT 'primary' AS side UNION ALL SELECT 'other')"
@@ -57,41 +59,43 @@ def version_differences(spark, sf_dir):
     return C.differences(pairs, graded=True)
 
 
-_CLAUSES = """SELECT c_nationkey AS doc_id, k, 'Điều ' || k || '. Bên bán phải giao hàng cho ' || c_custkey || '.' AS vi, 'Article ' || k || '. The seller shall deliver to ' || c_custkey || '.' AS en FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer)"""
+_CLAUSES = """SELECT c_custkey // 40 AS doc_id, k, 'Điều ' || k || '. Bên bán phải giao hàng cho ' || c_custkey || '.' AS vi, 'Article ' || k || '. The seller shall deliver to ' || c_custkey || '.' AS en FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) AS k FROM customer)"""
 
 
 def _written_clauses(spark, sf_dir):
     from pyspark.sql import Window
 
-    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), k.alias("k"), F.col("c_custkey").cast("string").alias("who"))
+    doc = F.floor(F.col("c_custkey") / 40)
+    k = F.row_number().over(Window.partitionBy(doc).orderBy("c_custkey"))
+    rows = table(spark, sf_dir, "customer").select(doc.alias("doc_id"), k.alias("k"), F.col("c_custkey").cast("string").alias("who"))
     line = lambda head, body: F.concat(F.lit(head), F.col("k").cast("string"), F.lit(body), F.col("who"), F.lit("."))
     return rows.select("doc_id", "k", line("Điều ", ". Bên bán phải giao hàng cho ").alias("vi"), line("Article ", ". The seller shall deliver to ").alias("en"))
 
 
-@query(f"""WITH c AS ({_CLAUSES}), b AS (SELECT doc_id, k, 0 AS h, vi AS text, CASE WHEN doc_id % 4 IN (0, 1) THEN en ELSE '' END AS alt FROM c UNION ALL SELECT doc_id, k, 1, '', en FROM c WHERE doc_id % 4 = 2)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, h) - 1 AS INT) AS pos, text, alt, CASE doc_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'inline' WHEN 2 THEN 'paragraphs' ELSE 'single' END AS layout FROM b""")
-def bilingual_layouts(spark, sf_dir):
-    """Table rows, inline pairs, alternating paragraphs and one language, one document a nation."""
+def _layout_blocks(spark, sf_dir):
+    """Table rows, inline pairs, alternating paragraphs and one language, one document for forty customers."""
     rows, d = _written_clauses(spark, sf_dir), F.col("doc_id") % 4
     none = F.array().cast("array<string>")
     block = lambda pos, text, cells: F.struct(pos.cast("int").alias("pos"), text.alias("text"), cells.alias("cells"))
     one = block(F.col("k") * 2, F.when(d == 0, F.concat_ws(" | ", "vi", "en")).when(d == 1, F.concat_ws(" ", "vi", "en")).otherwise(F.col("vi")), F.when(d == 0, F.array("vi", "en")).otherwise(none))
-    blocks = rows.select("doc_id", F.explode(F.when(d == 2, F.array(one, block(F.col("k") * 2 + 1, F.col("en"), none))).otherwise(F.array(one))).alias("b")).select("doc_id", "b.*", F.lit(False).alias("is_heading"))
-    return B.separated(blocks).select("doc_id", "pos", "text", "alt", "layout")
+    return rows.select("doc_id", F.explode(F.when(d == 2, F.array(one, block(F.col("k") * 2 + 1, F.col("en"), none))).otherwise(F.array(one))).alias("b")).select("doc_id", "b.*", F.lit(False).alias("is_heading"))
+
+
+@query(f"""WITH c AS ({_CLAUSES}), b AS (SELECT doc_id, k, 0 AS h, vi AS text, CASE WHEN doc_id % 4 IN (0, 1) THEN en ELSE '' END AS alt FROM c UNION ALL SELECT doc_id, k, 1, '', en FROM c WHERE doc_id % 4 = 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, h) - 1 AS INT) AS pos, text, alt, CASE doc_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'inline' WHEN 2 THEN 'paragraphs' ELSE 'single' END AS layout FROM b""")
+def bilingual_layouts(spark, sf_dir):
+    return B.separated(_layout_blocks(spark, sf_dir)).select("doc_id", "pos", "text", "alt", "layout")
 
 
 @query(f"""WITH c AS ({_CLAUSES}), n AS (SELECT doc_id, max(k) AS last FROM c GROUP BY 1)
 SELECT doc_id, CAST(k - 1 AS BIGINT) AS idx, CAST(k AS VARCHAR) AS number, CASE WHEN last >= 2 THEN '' WHEN k = last THEN 'Title' ELSE '' END AS heading_alt, CASE WHEN last < 2 THEN en ELSE substring(en, 12 + length(CAST(k AS VARCHAR)) - 1) END AS text_alt, last >= 2 AS halves FROM c JOIN n USING (doc_id)""")
 def two_halves(spark, sf_dir):
     """All English clauses in the last Vietnamese one, given back by number; without a preamble their title has no place."""
-    from pyspark.sql import Window
-
     rows = _written_clauses(spark, sf_dir)
-    last = F.col("k") == F.max("k").over(Window.partitionBy("doc_id"))
-    every = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "en"))), lambda x: x["en"]), "\n").alias("all"))
     split = T.heading_split(T.clause_number(F.col("vi"))["rest"])
-    clauses = rows.withColumn("last", last).join(every, "doc_id").select("doc_id", (F.col("k") - 1).cast("bigint").alias("idx"), F.col("k").cast("string").alias("number"), split["heading"].alias("heading"), split["body"].alias("text"), F.when(F.col("last"), "Title").otherwise("").alias("heading_alt"), F.when(F.col("last"), F.col("all")).otherwise("").alias("text_alt"))
+    # the whole other version meets the last clause alone
+    every = rows.groupBy("doc_id").agg(F.max("k").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "en"))), lambda x: x["en"]), "\n").alias("all"))
+    clauses = rows.join(every, ["doc_id", "k"], "left").select("doc_id", (F.col("k") - 1).cast("bigint").alias("idx"), F.col("k").cast("string").alias("number"), split["heading"].alias("heading"), split["body"].alias("text"), F.when(F.col("all").isNotNull(), "Title").otherwise("").alias("heading_alt"), F.coalesce("all", F.lit("")).alias("text_alt"))
     return B.redistributed(clauses).select("doc_id", "idx", "number", "heading_alt", "text_alt", "halves")
 
 
@@ -104,15 +108,16 @@ def prevailing_language(spark, sf_dir):
     return B.prevailing(rows.select("doc_id", (F.col("k") - 1).cast("bigint").alias("idx"), F.when(third, "Bản tiếng Việt sẽ được ưu tiên.").otherwise(F.col("vi")).alias("primary"), F.when(third, en).otherwise(F.col("en")).alias("other")))
 
 
-_STATUTES = """SELECT s_nationkey AS instrument, k, s_suppkey AS who, max(k) OVER (PARTITION BY s_nationkey) AS last FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)"""
+_STATUTES = """SELECT s_suppkey // 40 AS instrument, k, s_suppkey AS who, max(k) OVER (PARTITION BY s_suppkey // 40) AS last FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey // 40 ORDER BY s_suppkey) AS k FROM supplier)"""
 
 
 def _statute_lines(spark, sf_dir):
-    """Lines of a statute for each nation: suppliers are articles, two to a chapter; article 2 quotes article 1 at the start of a line."""
+    """Lines of a statute for forty suppliers: they are its articles, two to a chapter; article 2 quotes article 1 at the start of a line."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("s_nationkey")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("instrument"), F.row_number().over(w.orderBy("s_suppkey")).alias("k"), F.col("s_suppkey").cast("string").alias("who"), F.count("*").over(w).alias("last"))
+    instrument = F.floor(F.col("s_suppkey") / 40)
+    w = Window.partitionBy(instrument)
+    rows = table(spark, sf_dir, "supplier").select(instrument.alias("instrument"), F.row_number().over(w.orderBy("s_suppkey")).alias("k"), F.col("s_suppkey").cast("string").alias("who"), F.count("*").over(w).alias("last"))
     k = F.col("k").cast("string")
     some = lambda test, *lines: F.when(test, F.array(*lines)).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
@@ -144,17 +149,20 @@ def statute_accounting(spark, sf_dir):
 _LAWS = {"SG": ["singapore"], "MY": ["malaysia"], "VN": ["việt nam", "vietnam"]}
 
 
-@query("""WITH t AS (SELECT n_regionkey AS id, string_agg(n, ',' ORDER BY n_nationkey) FILTER (r <= 4) AS parties FROM (SELECT *, chr(CAST(65 + n_nationkey AS INT)) || 'co' AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) GROUP BY 1)
-SELECT id, parties, CASE id % 4 WHEN 0 THEN 'VN' WHEN 1 THEN 'MY' WHEN 2 THEN 'SG' END AS law, CASE id % 4 WHEN 0 THEN 0.85 WHEN 1 THEN 0.75 WHEN 2 THEN 0.75 ELSE 0 END::DOUBLE AS confidence FROM t""")
+_FORMS = ["Pte Ltd", "Sdn. Bhd.", "Berhad", "JSC", "Co., Ltd.", "Limited", "LLC", "Inc."]
+
+
+@query(f"""SELECT c_custkey AS id, translate(upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]), ' ', '') || ' Trading ' || {str(_FORMS)}[c_custkey % {len(_FORMS)} + 1] || CASE WHEN c_custkey % 3 = 0 THEN ',PT Maju Jaya' ELSE '' END AS parties,
+CASE c_custkey % 4 WHEN 0 THEN 'VN' WHEN 1 THEN 'MY' WHEN 2 THEN 'SG' END AS law, CASE c_custkey % 4 WHEN 0 THEN 0.85 WHEN 1 THEN 0.75 WHEN 2 THEN 0.75 ELSE 0 END::DOUBLE AS confidence FROM customer""")
 def parties_and_law(spark, sf_dir):
-    """Contracts between the nations of a region as companies; a law clause outweighs another law's name elsewhere."""
-    n = table(spark, sf_dir, "nation").withColumn("n", F.concat(F.char(F.col("n_nationkey") + 65), F.lit("co")))
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n"))), lambda x: F.concat(x["n"], F.lit(" Pte Ltd"))), " (one) and ")
-    law = F.when(F.col("id") % 4 == 0, " (seat: Singapore). Governing law: the law of Vietnam.").when(F.col("id") % 4 == 1, " in Malaysia.").when(F.col("id") % 4 == 2, " in Singapore, not Malaysia.").otherwise(" sign.")
-    text = n.groupBy(F.col("n_regionkey").alias("id")).agg(names.alias("names")).select("id", F.concat(F.lit("between "), "names", law).alias("t"))
+    """Who signs a contract with each customer, in all forms of companies; a law clause outweighs another law's name elsewhere."""
+    k = F.col("c_custkey")
+    name = F.concat(F.translate(F.initcap("c_mktsegment"), " ", ""), F.lit(" Trading "), F.get(F.array(*map(F.lit, _FORMS)), (k % len(_FORMS)).cast("int")))
+    law = F.when(k % 4 == 0, " (seat: Singapore). Governing law: the law of Vietnam.").when(k % 4 == 1, " in Malaysia.").when(k % 4 == 2, " in Singapore, not Malaysia.").otherwise(" sign.")
+    text = F.concat(F.lit("this deed is made between the seller, "), name, F.when(k % 3 == 0, " (one) and PT Maju Jaya of the islands, and again ").otherwise(" and "), name, law)
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("t"))
     g = P.governing_law(F.col("t"), _LAWS)
-    found = F.transform(P.parties(F.col("t")), lambda x: F.replace(x, F.lit(" Pte Ltd"), F.lit("")))
-    return text.select("id", F.array_join(found, ",").alias("parties"), g["law"].alias("law"), g["confidence"].alias("confidence"))
+    return rows.select("id", F.array_join(P.parties(F.col("t")), ",").alias("parties"), g["law"].alias("law"), g["confidence"].alias("confidence"))
 
 
 _BOOKS = [("firm", "tenant", 1, ["web"], []), ("de_only", "tenant", 0, ["forum"], ["de"]), ("starter_en", "starter", 0, [], ["en"]), ("starter_any", "starter", 1, ["news", "forum"], [])]
@@ -189,3 +197,20 @@ def line_shape_headers(spark, sf_dir):
     page = F.col("l_linenumber")
     text = F.concat(F.lit("Page  "), page.cast("string"), F.lit(" of "), "l_returnflag", F.lit("-"), (F.col("l_orderkey") % 90 + 10).cast("string"))
     return C.chrome(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), page.alias("page"), text.alias("text")))
+
+
+_INGEST = f"""WITH c AS ({_CLAUSES}), n AS (SELECT doc_id, max(k) AS last FROM c GROUP BY 1)"""
+
+
+@query(f"""{_INGEST} SELECT doc_id, k - 1 AS idx, CAST(k AS VARCHAR) AS number, 'Article' AS dummy, CASE WHEN doc_id % 4 = 3 THEN '' ELSE substring(en, 12 + length(CAST(k AS VARCHAR)) - 1) END AS text_alt, 'delivery' AS clause_key FROM c""".replace("'Article' AS dummy, ", ""))
+def ingested_clauses(spark, sf_dir):
+    """Clauses of contracts in all layouts with both versions and their label."""
+    _, found = ingest.reviewed(_layout_blocks(spark, sf_dir), TYPES, _LAWS, spark.createDataFrame([("delivery", 0, "giao hàng"), ("delivery", 0, "deliver"), ("other_key", 1, "insurance")], "key string, ord int, hint string"))
+    return found.select("doc_id", "idx", "number", "text_alt", "clause_key")
+
+
+@query(f"""{_INGEST} SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'vi' ELSE 'both' END AS output, CASE doc_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'inline' WHEN 2 THEN 'paragraphs' ELSE 'single' END AS layout, 'OTHER' AS contract_type FROM n""")
+def ingested_documents(spark, sf_dir):
+    """Languages, layout and type of these contracts."""
+    documents, _ = ingest.reviewed(_layout_blocks(spark, sf_dir), TYPES, _LAWS, spark.createDataFrame([("delivery", 0, "deliver")], "key string, ord int, hint string"))
+    return documents.select("doc_id", "output", "layout", "contract_type")
