@@ -88,7 +88,9 @@ class Shard:
         for j in range(gram):
             total += h[j : j + m] * textnp._STEPS[j]
         total = textnp.mix(total)
-        long = words.ends[gram - 1 :] - words.starts[:m]
+        # letters alone: white space between the words does not count
+        size = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
+        long = size[gram : gram + m] - size[:m]
         keys = (_U(63) - np.minimum(long >> 1, 63).astype(_U) << _U(58)) | (total >> _U(6))
         place = least_places(keys, window - gram + 1)
         whole = self.text_of[: len(place)] == self.text_of[window - 1 :]
