@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from clausework.llm.shared import drop, written
 
-#: Rows that may be broadcast: ids of 8 to 24 bytes each, so some 24 MB at most.
+#: Rows, or entries of lists in them, that may be broadcast: 8 to 24 bytes each, so some 10 MB at most.
 BROADCAST_ROWS = 400_000
 GROUP = 64
 #: Components of one key from which its items get finer keys.
@@ -95,7 +95,7 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: Callable[[DataFra
     parts = queries.groupBy("gid").agg(F.ceil(F.count("*") / 1024).cast("int").alias("parts"))
     asked = queries.join(parts, "gid").groupBy(F.col("q").alias("node")).agg(F.collect_list(F.struct("gid", F.pmod(F.xxhash64("q"), F.col("parts").cast("bigint")).alias("part"))).alias("at"))
     held = members.join(parts, "gid").groupBy("node").agg(F.collect_list(F.struct("gid", "parts")).alias("at"))
-    n, m = (x.select("node").distinct().count() for x in (queries.withColumnRenamed("q", "node"), members))
+    n, m = queries.count(), members.count()  # of what the lists hold in all
     left = texts(asked, n).select("node", "text", F.explode("at").alias("at")).select("at.gid", "at.part", "node", "text")
     right = texts(held, m).select("node", "text", F.explode("at").alias("at")).select("at.gid", F.explode(F.expr("sequence(0L, cast(at.parts - 1 as bigint))")).alias("part"), "node", "text")
 

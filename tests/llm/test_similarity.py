@@ -263,7 +263,7 @@ def refined_pairs(spark, texts, by_words=False):
     return sum(n * held.get(x, 0) for x, n in asked.items())
 
 
-def test_candidates_of_crowded_lines_grow_in_proportion(spark):
+def test_candidates_of_crowded_lines_stay_far_below_all_pairs(spark):
     numbered = lambda i: f"the same text with a number at its end {i * 7919 % 100_000}"
     small, large = (refined_pairs(spark, [numbered(i) for i in range(n)]) for n in (400, 1600))
     assert large < 1600 * 90 and large < 6.5 * small, (small, large)
