@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import text as T
+from clausework.operators import vectors as V
 from clausework.operators.findings import in_force
 
 MAX_TERMS, MAX_QUERIES = 24, 1000
@@ -69,17 +70,18 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if n > MAX_QUERIES:
         blocks = -(-2 * n // MAX_QUERIES)
         block = F.pmod(F.xxhash64("qid"), F.lit(blocks).cast("bigint"))
-        out = [_dense_block(vectors, queries.where(block == i), k) for i in range(blocks)]
+        out = [V.all_pairs(vectors, queries.where(block == i), k) for i in range(blocks)]
         return functools.reduce(DataFrame.union, out)
-    return _dense_block(vectors, queries, k)
+    return V.all_pairs(vectors, queries, k)
 
 
-def _dense_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select("qid", F.col("embedding").alias("q"), F.sqrt(dot("embedding", "embedding")).alias("ql"))
-    v = vectors.select("id", F.col("embedding").alias("v"), F.sqrt(dot("embedding", "embedding")).alias("vl"))
-    score = v.join(F.broadcast(q), F.lit(True)).select("qid", "id", F.round(dot("q", "v") / (F.col("ql") * F.col("vl")), 4).alias("score"))
-    return ranked(score, "qid", [F.desc("score"), F.col("id")], k)
+def indexed(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As ``dense``, over a partitioned index that opens a list only where its bound allows."""
+    index = V.build(vectors)
+    n = queries.count()
+    blocks = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks).cast("bigint"))
+    return functools.reduce(DataFrame.union, [V.nearest(index, queries.where(block == i), k)[0] for i in range(blocks)])
 
 
 def fused(lexical_hits: DataFrame, dense_hits: DataFrame, k: int) -> DataFrame:

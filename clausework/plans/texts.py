@@ -109,6 +109,13 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir)
 
 
+@query(f"WITH {DENSE} SELECT * FROM den")
+def dense_index(spark, sf_dir):
+    """The same by the partitioned index."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return S.indexed(v, v.where("id % 20 = 0").withColumnRenamed("id", "qid"), 20)
+
+
 @query(f"""WITH {LEXICAL}, {DENSE}, f AS (SELECT qid, id, lex.rank AS a, den.rank AS b, round(coalesce(1.0::DOUBLE / (59 + lex.rank), 0) + coalesce(1.0::DOUBLE / (59 + den.rank), 0), 8) AS score FROM (SELECT * FROM lex WHERE qid % 20 = 0) lex FULL JOIN den USING (qid, id))
 SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, coalesce(a, 1073741824), coalesce(b, 1073741824), id) AS rank FROM f) WHERE rank <= 10""")
 def rrf_fusion(spark, sf_dir):

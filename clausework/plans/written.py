@@ -154,13 +154,16 @@ def contract_type(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), C.contract_type(title, TYPES).alias("kind"))
 
 
-@query("""WITH e AS (SELECT n_nationkey AS n, n_nationkey % 3 AS tier, n_nationkey % 5 = 0 AS byo, 'p' || n_regionkey AS provider, n_nationkey % 4 = 0 AS anywhere, 'R' || n_regionkey AS region, n_nationkey % 2 = 0 AS vision, n_nationkey % 3 = 0 AS speaks_vi, 1000 * (n_nationkey + 1) AS most FROM nation),
+ROUTING_SQL = """WITH e AS (SELECT n_nationkey AS n, n_nationkey % 3 AS tier, n_nationkey % 5 = 0 AS byo, 'p' || n_regionkey AS provider, n_nationkey % 4 = 0 AS anywhere, 'R' || n_regionkey AS region, n_nationkey % 2 = 0 AS vision, n_nationkey % 3 = 0 AS speaks_vi, 1000 * (n_nationkey + 1) AS most FROM nation),
 r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'R' || (c_custkey % 4) END AS residency, c_custkey % 20 * 500 AS est_in, c_custkey % 3 AS top, (c_custkey // 3) % 3 AS wished FROM customer),
 j AS (SELECT k AS request_id, CAST(n AS VARCHAR) AS endpoint_id, n, tier, wished, CASE WHEN k % 2 = 1 OR speaks_vi THEN 0 ELSE 1 END AS speaks, round((est_in * n + 500 * 2 * n) / 1e6, 6) AS cost,
 CASE WHEN k % 6 = 1 AND provider = 'p1' THEN 'matter_conflict_deny' WHEN k % 6 = 2 AND provider <> 'p2' THEN 'matter_not_allowlisted' WHEN n % 7 = 3 THEN 'endpoint_disabled' WHEN residency IS NOT NULL AND NOT anywhere AND region <> residency THEN 'residency'
 WHEN k % 8 = 0 AND NOT anywhere AND residency IS NULL THEN 'restricted_requires_self_hosted' WHEN k % 3 = 0 AND NOT vision THEN 'capability_missing:vision' WHEN est_in + 500 > most THEN 'context_too_long' WHEN tier > top THEN 'tier_above_rule' WHEN k % 10 = 0 AND tier < top THEN 'below_escalation_tier'
 WHEN k % 9 = 0 AND tier = 0 THEN 'below_quality_floor' WHEN byo AND NOT (k % 7 = 0 AND provider IN ('p0', 'p3')) THEN 'no_byo_credential' WHEN (est_in * n + 500 * 2 * n) / 1e6 > 0.05 THEN 'budget_exceeded' ELSE '' END AS reason FROM r, e)
-SELECT request_id, endpoint_id, reason, CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY request_id, reason = '' ORDER BY CASE WHEN tier = wished THEN 0 WHEN tier < wished THEN 1 ELSE 2 END, abs(tier - wished), speaks, cost, n) ELSE 0 END AS rank FROM j""")
+SELECT request_id, endpoint_id, reason, CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY request_id, reason = '' ORDER BY CASE WHEN tier = wished THEN 0 WHEN tier < wished THEN 1 ELSE 2 END, abs(tier - wished), speaks, cost, n) ELSE 0 END AS rank FROM j"""
+
+
+@query(ROUTING_SQL)
 def routing_plan(spark, sf_dir):
     """A request for each customer over endpoints written from nations."""
     n, k = F.col("n_nationkey"), F.col("c_custkey")

@@ -11,7 +11,7 @@ import __spark_entry__
 from clausework.functions import text as T
 from clausework.operators import clauses as C
 from clausework.operators import findings as R
-from clausework.plans import catalog, contracts, texts  # noqa: F401  (they add to the catalogue)
+from clausework.plans import answers, catalog, contracts, records, reprints, texts, written  # noqa: F401  (they add to the catalogue)
 from clausework.sources import parsing
 from clausework.streaming import limits
 
@@ -136,3 +136,21 @@ def test_jsonl_keeps_bad_lines(spark, tmp_path):
     (tmp_path / "u.jsonl").write_text('{"id": "a", "n": 1}\nnot json\n')
     rows = parsing.read_jsonl(spark, str(tmp_path / "u.jsonl"), StructType().add("id", StringType()).add("n", IntegerType())).collect()
     assert sorted(((r.id, r._corrupt) for r in rows), key=repr) == [("a", None), (None, "not json")]
+
+
+def test_json_lines_name_what_they_cannot_read(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType, StructType
+
+    lines = [f'{{"id": "r{i}", "n": {i}}}' for i in range(400)]
+    lines[7], lines[300], lines[301], lines[12] = "not json", '{"id": "x", "n": "word"}', "", '{"id": "half"'
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("[\n" + lines[0])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # many blocks a file
+    try:
+        rows, errors = parsing.read_jsonl_checked(spark, str(tmp_path), StructType().add("id", StringType()).add("n", IntegerType()))
+        got = {(r.path.rsplit("/", 1)[1], r.line): r.n for r in rows.collect()}
+        assert got == {("a.jsonl", i + 1): i for i in range(400) if i not in (7, 12, 300, 301)} | {("b.jsonl", 2): 0}
+        assert sorted((r.path.rsplit("/", 1)[1], r.line, r.error) for r in errors.collect()) == [("a.jsonl", 8, "no JSON"), ("a.jsonl", 13, "no JSON"), ("a.jsonl", 301, "a field of another type"), ("b.jsonl", 1, "no JSON")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
