@@ -143,30 +143,32 @@ def differences(pairs: DataFrame, languages: tuple[str, str] = ("vi", "en"), gra
     and signatures need no counterpart.
     """
     texts = pairs.withColumns({c: T.nfc(F.coalesce(c, F.lit(""))) for c in ("primary", "other")})
-    read = {"amounts": V.amounts, "periods": V.periods, "dates": V.dates, "spelled": V.figures_with_words}
     text = lambda x: x.cast("string")
     period = lambda x: F.when(x["unit"] == "mo", text(x["value"])).otherwise(F.concat_ws(" ", text(x["value"]), x["unit"]))
+    # each version is read once, and all rows of a pair come from one list
+    read = texts.withColumns({"vp": V.values(F.col("primary")), "vo": V.values(F.col("other"))})
+    row = lambda kind, value, sign, own=None: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(sign).alias("n"), (F.lit(None).cast("string") if own is None else own).alias("own"))
+    none = F.array().cast("array<struct<kind:string,value:string,n:int,own:string>>")
 
-    def rows(side: str, sign: int) -> DataFrame:
-        c = F.col(side)
+    def rows(side: str, v: Column, sign: int) -> tuple[Column, Column]:
         kinds = {
-            "amount": F.transform("amounts", lambda a: F.format_number(a["value"], 2)), "percent": F.transform(V.percents(c), text), "duration": F.transform("periods", period),
-            "date": F.transform("dates", lambda x: text(x["value"])), "tax_code": V.tax_codes(c), "number": F.transform(V.standalone_numbers(c), text),
-            "negation": F.when(V.negated(c, languages[sign < 0]), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
+            "amount": F.transform(v["amounts"], lambda a: F.format_number(a["value"], 2)), "percent": F.transform(v["percents"], text), "duration": F.transform(v["periods"], period),
+            "date": F.transform(v["dates"], lambda x: text(x["value"])), "tax_code": v["tax_codes"], "number": F.transform(v["numbers"], text),
+            "negation": F.when(V.negated(F.col(side), languages[sign < 0]), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
         }
-        named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))
-        each = F.concat(*[F.transform(v, named(k)) for k, v in kinds.items()])
-        both = texts.where("trim(primary) <> '' AND trim(other) <> ''").select("pair_id", side, *[use(c).alias(name) for name, use in read.items()])
-        return both.select("pair_id", F.explode(each).alias("x")).select("pair_id", "x.kind", "x.value", F.lit(sign).alias("n"))
-
-    uneven = rows("primary", 1).union(rows("other", -1)).groupBy("pair_id", "kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+        named = lambda kind: lambda x: row(kind, x, sign)
+        # amounts that contradict their words stand for themselves: they never cancel out
+        unequal = F.filter(v["spelled"], lambda x: F.coalesce(x["words_value"] != F.floor(x["figure"]), F.lit(False)))
+        return F.concat(*[F.transform(x, named(k)) for k, x in kinds.items()]), F.transform(unequal, lambda x, i: row("figure_words", x["span"], sign, i.cast("string")))
+
+    (one, one_words), (two, two_words) = rows("primary", F.col("vp"), 1), rows("other", F.col("vo"), -1)
+    here, there = F.trim("primary") != "", F.trim("other") != ""
+    needed = F.coalesce(~F.col("clause_key").isin("parties", "signatures"), F.lit(True)) if "clause_key" in pairs.columns else F.lit(True)
+    absent = F.when((here != there) & needed, F.array(row("missing_counterpart", F.lit(""), F.when(here, 1).otherwise(-1)))).otherwise(none)
+    every = F.concat(F.when(here & there, F.concat(one, two)).otherwise(none), F.when(there, F.concat(one_words, two_words)).otherwise(none), absent)
+    each = read.select("pair_id", F.explode(every).alias("x")).select("pair_id", "x.*").withColumn("own", F.when(F.col("own").isNotNull(), F.concat_ws(" ", text(F.col("n")), "own")))
+    uneven = each.groupBy("pair_id", "kind", "value", "own").agg(F.sum("n").alias("n")).where("n <> 0")
     found = uneven.select("pair_id", "kind", F.when(F.col("n") > 0, "primary").otherwise("other").alias("side"), "value")
-    spelled = lambda side: texts.where("trim(other) <> ''").select("pair_id", F.lit(side).alias("side"), F.explode(V.figures_with_words(F.col(side))).alias("x"))
-    unequal = spelled("primary").union(spelled("other")).where("x.words_value <> floor(x.figure)")
-    found = found.union(unequal.select("pair_id", F.lit("figure_words"), "side", "x.span"))
-    needed = ~F.col("clause_key").isin("parties", "signatures") if "clause_key" in pairs.columns else F.lit(True)
-    absent = texts.where("(trim(primary) = '') <> (trim(other) = '')").where(F.coalesce(needed, F.lit(True)))
-    found = found.union(absent.select("pair_id", F.lit("missing_counterpart").alias("kind"), F.when(F.trim("primary") == "", "other").otherwise("primary").alias("side"), F.lit("").alias("value")))
     if not graded:
         return found
     grade = F.create_map(*[x for k, (s, c) in KINDS.items() for x in (F.lit(k), F.struct(F.lit(s).alias("severity"), F.lit(c).alias("confidence")))])

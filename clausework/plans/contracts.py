@@ -29,13 +29,11 @@ def order_values(spark, sf_dir):
     date = F.when(k % 3 == 0, day("d/M/yyyy")).when(k % 3 == 1, day("d MMMM yyyy")).otherwise(day("'ngày' dd 'tháng' MM 'năm' yyyy"))
     term = F.when(k % 2 == 0, F.concat((c % 9 + 1).cast("string"), F.lit(" Năm"))).otherwise(F.concat(F.lit("twelve ("), (c % 48 + 1).cast("string"), F.lit(") MONTHS")))
     text = F.concat(F.lit("The price is Us$ "), F.format_number("o_totalprice", 2), F.lit(" since "), date, F.lit(", fee "), (k % 90).cast("string"), F.lit(" Per Cent, for "), term, F.lit(", notice "), (c % 30 + 1).cast("string"), F.lit(" business days, in "), (k % 97).cast("string"), F.lit(" copies"))
-    t = F.col("t")
-    read = {"amounts": V.amounts, "periods": V.periods, "dates": V.dates, "spelled": V.figures_with_words}
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), text.alias("t")).select("id", "t", *[use(t).alias(name) for name, use in read.items()])
-    first = lambda found: F.get(found, F.lit(0))
-    months, short = (F.filter("periods", test) for test in (lambda x: x["unit"] == "mo", lambda x: x["unit"] != "mo"))
-    rows = rows.select("id", "t", *read, first(months).alias("long"), first(short).alias("short"), first(F.col("amounts")).alias("a"))
-    return rows.select("id", "a.currency", F.col("a.value").alias("amount"), first(V.percents(t)).alias("percent"), first(F.col("dates"))["value"].alias("day"), F.col("long.value").cast("int").alias("months"), F.col("short.value").alias("notice"), "short.unit", first(V.standalone_numbers(t)).alias("copies"))
+    v, first = F.col("v"), lambda found: F.get(found, F.lit(0))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), V.values(text).alias("v"))
+    months, short = (first(F.filter(v["periods"], test)) for test in (lambda x: x["unit"] == "mo", lambda x: x["unit"] != "mo"))
+    rows = rows.select("id", "v", months.alias("long"), short.alias("short"), first(v["amounts"]).alias("a"))
+    return rows.select("id", "a.currency", F.col("a.value").alias("amount"), first(v["percents"]).alias("percent"), first(v["dates"])["value"].alias("day"), F.col("long.value").cast("int").alias("months"), F.col("short.value").alias("notice"), "short.unit", first(v["numbers"]).alias("copies"))
 
 
 _SIDES = "(SELECT 'primary' AS side UNION ALL SELECT 'other')"
