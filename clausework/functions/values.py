@@ -118,6 +118,14 @@ class Walk:
     def is_mark(self, i: int, marks: str) -> bool:
         return i < len(self.tokens) and self.tokens[i][0] == 3 and self.tokens[i][1] in marks
 
+    def whole(self, i: int, most: int) -> bool:
+        """Whether token i is a whole number of so many digits at most."""
+        return i < len(self.tokens) and len(self.tokens[i][1]) <= most and self.tokens[i][1].isdigit()
+
+    def full(self, i: int) -> bool:
+        """Whether token i is a year of four digits."""
+        return i < len(self.tokens) and len(self.tokens[i][1]) == 4 and self.tokens[i][1].isdigit()
+
     def gap(self, i: int) -> int:
         """Characters between token i and the one before."""
         return self.tokens[i][2] - self.tokens[i - 1][3]
@@ -170,11 +178,9 @@ class Walk:
 
     def date(self, i: int) -> tuple[datetime.date | None, int]:
         """(day, tokens) of a date that begins at token i."""
-        low, t = self.low, self.tokens
+        low, t, whole, full = self.low, self.tokens, self.whole, self.full
         day = month = year = None
         n = 0
-        whole = lambda j, most: self.is_number(j) and t[j][1].isdigit() and len(t[j][1]) <= most
-        full = lambda j: self.is_number(j) and t[j][1].isdigit() and len(t[j][1]) == 4
         if low[i] == "ngày" and whole(i + 1, 2) and low[i + 2 : i + 3] == ["tháng"] and whole(i + 3, 2) and low[i + 4 : i + 5] == ["năm"] and full(i + 5):
             day, month, year, n = int(low[i + 1]), int(low[i + 3]), int(low[i + 5]), 6
         elif self.is_number(i):
@@ -276,7 +282,8 @@ class Walk:
         for i, (kind, raw, start, end) in enumerate(self.tokens):
             if i < skip:
                 continue
-            if kind != 3:
+            word = self.low[i]
+            if kind == 1 or word == "ngày" or word in _MONTH:
                 day, n = self.date(i)
                 if n:
                     out["dates"].append({"value": day, "span": self.span(i, i + n)})
@@ -298,7 +305,7 @@ class Walk:
                     tail = self.is_mark(i + 1, "-") and not self.gap(i + 1) and self.is_number(i + 2) and not self.gap(i + 2) and len(self.tokens[i + 2][1]) == 3 and self.tokens[i + 2][1].isdigit()
                     out["tax_codes"].append(self.span(i, i + 3) if tail else raw)
                     self.use(i, i + 3 if tail else i + 1)
-            if kind != 3 and i >= timed:
+            if i >= timed and (kind == 1 or word in _VI or word in _EN):
                 n, j = self.counted(i)
                 unit, factor, size = self.unit(j) if j > i else ("", 0, 0)
                 if size and n and (unit != "mo" or n < 1000):
