@@ -1,7 +1,8 @@
 """From blocks to clauses, labels, rule findings and language comparison.
 
 Segmentation is gaps and islands: a running count of starts per document gives each block its
-clause.  All windows are partitioned by document.
+clause.  All windows are partitioned by document.  Blocks are dealt once, in as many partitions as their
+number asks for; labels and findings stay in these, so what a task holds does not grow with the input.
 """
 
 from __future__ import annotations
@@ -17,19 +18,21 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from clausework.functions import text as T
 from clausework.functions import values as V
+from clausework.sources.tables import dealt
 
 
-def segmented(blocks: DataFrame) -> DataFrame:
+def segmented(blocks: DataFrame, together: bool = False) -> DataFrame:
     """(doc_id, idx, number, heading, text) from ``blocks(doc_id, pos, text, is_heading)``.
 
     With two keyword numbers or more ("Article 5") only these start clauses; else top-level numbers
     do.  Headings always start one.  What stands before the first is the preamble.  With a column
     ``alt``, the text of each block in the other language, clauses also get heading_alt and text_alt.
+    ``together`` says that documents were dealt by doc_id before they were cut into blocks.
     """
     doc = Window.partitionBy("doc_id")
     run = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     two = "alt" in blocks.columns
-    rows = blocks.select("doc_id", "pos", "text", "is_heading", T.clause_number(F.col("text")).alias("m"), (F.coalesce("alt", F.lit("")) if two else F.lit("")).alias("alt"))
+    rows = (blocks if together else dealt(blocks, "doc_id")).select("doc_id", "pos", "text", "is_heading", T.clause_number(F.col("text")).alias("m"), (F.coalesce("alt", F.lit("")) if two else F.lit("")).alias("alt"))
     keyword = F.coalesce(F.col("m.keyword") != "", F.lit(False))
     many = F.count_if(keyword).over(doc) >= 2
     top = F.coalesce(~F.col("m.number").contains("."), F.lit(False))

@@ -11,6 +11,7 @@ from clausework.operators import objects, routing
 from clausework.operators import search as S
 from clausework.plans.catalog import query, table
 from clausework.sources import parsing
+from clausework.sources.tables import PART_ROWS, dealt
 from clausework.streaming import limits
 
 SP = r"[\x09-\x0D\x{85}\p{Z}]+"
@@ -209,8 +210,9 @@ HEADING = r"^\p{Lu}[^.!?:;,]{0,40}$"
 
 def _document_clauses(spark, sf_dir):
     """Clauses of all documents: lines as blocks, short lines without punctuation as headings."""
-    blocks = parsing.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return C.segmented(blocks.withColumn("is_heading", F.col("text").rlike(HEADING)))
+    documents = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", part=PART_ROWS // 20)
+    blocks = parsing.text_blocks(documents, "doc_id", "text")
+    return C.segmented(blocks.withColumn("is_heading", F.col("text").rlike(HEADING)), together=True)
 
 
 def _document_labels(spark, sf_dir):

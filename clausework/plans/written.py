@@ -14,6 +14,7 @@ from clausework.operators import routing
 from clausework.operators import search as S
 from clausework.plans.catalog import query, table
 from clausework.plans.texts import HINTS, RULE_SCHEMA, RULES, TYPES
+from clausework.sources.tables import PART_ROWS, dealt
 
 
 def _contract_clauses(spark, sf_dir):
@@ -26,8 +27,9 @@ def _contract_clauses(spark, sf_dir):
         line(F.lit("(a) renewal")), line(F.concat(F.lit("3. Liability: capped at S$ "), amount, F.lit(" in total"))),
     )
     annex = F.when(k % 2 == 0, F.array(line(F.lit("Annex"), True))).otherwise(F.slice(blocks, 1, 0))
-    rows = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.posexplode(F.concat(blocks, annex)).alias("pos", "b"))
-    return C.segmented(rows.select("doc_id", "pos", "b.*"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", part=PART_ROWS // 7)
+    rows = orders.select(k.alias("doc_id"), F.posexplode(F.concat(blocks, annex)).alias("pos", "b"))
+    return C.segmented(rows.select("doc_id", "pos", "b.*"), together=True)
 
 
 def _contract_labels(spark, sf_dir):
