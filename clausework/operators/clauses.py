@@ -62,20 +62,24 @@ def segmented(blocks: DataFrame, together: bool = False) -> DataFrame:
 def labelled(clauses: DataFrame, hints: DataFrame) -> DataFrame:
     """The best taxonomy key of each clause from ``hints(key, ord, hint)``; ties go to the smaller ord.
 
-    Hints of up to four letters are whole words, longer ones substrings; the hint list is small and
-    its size is checked by Spark before it is broadcast.
+    Hints of up to four letters are whole words, longer ones substrings; the taxonomy is small and goes
+    to all clauses.
     """
     text = F.lower(F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, 600)))
-    low = clauses.select("doc_id", "idx", F.lower(F.coalesce("heading", F.lit(""))).alias("h"), text.alias("t"))
+    where = lambda c: F.struct(c.alias("s"), T.tokens(c).alias("w"))
     lists = hints.groupBy("key").agg(F.min("ord").alias("ord"), F.collect_set(F.lower("hint")).alias("hints"))
-    whole = lambda where, x: F.when(F.length(x) <= 4, F.array_contains(T.tokens(where), x)).otherwise(F.contains(where, x))
-    length = lambda x: F.least(F.length(x), F.lit(30)) / 1000.0
-    head = F.transform(F.filter("hints", lambda x: whole(F.col("h"), x)), lambda x: F.when(F.length(x) > 4, 0.9).otherwise(0.6) + length(x))
-    body = F.transform(F.filter("hints", lambda x: whole(F.col("t"), x)), lambda x: F.when(F.length(x) > 6, 0.45).otherwise(0.25) + length(x))
-    score = F.coalesce(F.array_max(head), F.array_max(body), F.lit(0.0))
-    best = low.join(lists, F.lit(True)).withColumn("score", score).where("score > 0")
-    top = best.groupBy("doc_id", "idx").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ord"))).alias("b"))
-    out = clauses.join(top, ["doc_id", "idx"], "left")
+    lists = lists.agg(F.collect_list(F.struct("key", "ord", "hints")).alias("lists"))  # one row, so that clauses stay where they are
+    whole = lambda x, hint: F.when(F.length(hint) <= 4, F.array_contains(x["w"], hint)).otherwise(F.contains(x["s"], hint))
+    length = lambda hint: F.least(F.length(hint), F.lit(30)) / 1000.0
+
+    def scored(x: Column) -> Column:
+        head = lambda hints: F.transform(F.filter(hints, lambda h: whole(x["h"], h)), lambda h: F.when(F.length(h) > 4, 0.9).otherwise(0.6) + length(h))
+        body = lambda hints: F.transform(F.filter(hints, lambda h: whole(x["t"], h)), lambda h: F.when(F.length(h) > 6, 0.45).otherwise(0.25) + length(h))
+        score = lambda hints: F.coalesce(F.array_max(head(hints)), F.array_max(body(hints)), F.lit(0.0))
+        every = F.transform("lists", lambda l: F.struct(score(l["hints"]).alias("score"), (-l["ord"]).alias("order"), l["key"].alias("key")))  # noqa: E741
+        return F.array_max(F.filter(every, lambda e: e["score"] > 0))
+
+    out = clauses.join(F.broadcast(lists), F.lit(True)).withColumn("b", T.bound(F.struct(where(F.lower(F.coalesce("heading", F.lit("")))).alias("h"), where(text).alias("t")), scored))
     preamble = F.col("heading") == "Preamble"
     return out.select(*clauses.columns, F.when(preamble, "parties").otherwise(F.coalesce("b.key", F.lit("other"))).alias("clause_key"), F.round(F.when(preamble, 0.7).otherwise(F.coalesce("b.score", F.lit(0.0))), 2).alias("confidence"))
 

@@ -180,3 +180,30 @@ def test_lower_tiers_go_before_higher_ones(spark):
     rows.append(("e1b", "self", ["self"], "T1", "plan", ["*"], ["json"], [], 10000, 5.0, 5.0, True, 9))
     got = routing.plan(spark.createDataFrame(texts.REQUESTS[:1], texts.REQUEST_SCHEMA), spark.createDataFrame(rows, texts.ENDPOINT_SCHEMA)).orderBy("rank").collect()
     assert [r.endpoint_id for r in got] == ["e1b", "eT1", "eT0", "eT2"]
+
+
+def test_clauses_stay_in_partitions_of_bounded_size(spark, monkeypatch):
+    """Labels, rules and law pairs of ten times the blocks take ten times the partitions, not larger ones."""
+    from clausework.sources import tables
+
+    monkeypatch.setattr(tables, "PART_ROWS", 500)
+    blocks = spark.range(500).selectExpr("id AS doc_id", "explode(array(struct(0 AS pos, '1. Term. Ten months.' AS text), struct(1 AS pos, '2. Liability: none' AS text))) AS b").selectExpr("doc_id", "b.*", "false AS is_heading")
+    hints = spark.createDataFrame([("term", 0, "term"), ("liability", 1, "liability")], "key string, ord int, hint string")
+
+    def most(df):
+        return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+    clauses = C.segmented(blocks.union(blocks.selectExpr("doc_id + 500", "pos", "text", "is_heading")))
+    assert clauses.count() == 2000 and most(clauses) <= 1000
+    labels = C.labelled(clauses, hints)
+    assert most(labels) <= 1000
+    assert {(r.clause_key, r.confidence, r["count"]) for r in labels.groupBy("clause_key", "confidence").count().collect()} == {("term", 0.6, 1000), ("liability", 0.91, 1000)}
+
+
+def test_rules_on_absent_clauses_keyless_rules_and_repeated_documents(spark):
+    rules = spark.createDataFrame([("a", "term", True, None, None, None, None, None, None, None, None), ("b", "law", True, None, None, None, None, None, None, None, None), ("c", "law", False, None, None, None, None, None, None, None, None), ("d", None, True, None, None, None, None, None, None, None, None)], texts.RULE_SCHEMA)
+    clauses = spark.createDataFrame([(1, 0, "Term", "x", "term"), (1, 1, "Term", "y", "term"), (1, 2, "None", "z", None)], "doc_id bigint, idx bigint, heading string, text string, clause_key string")
+    docs = spark.createDataFrame([(1,), (2,), (2,), (None,)], "doc_id bigint")
+    got = sorted((str(r.doc_id), r.rule_key, r.classification) for r in C.evaluated(rules, clauses, docs).collect())
+    lacks = [("a", "missing"), ("b", "missing"), ("d", "missing")]
+    assert got == sorted([("1", "a", "standard"), ("1", "b", "missing"), ("1", "d", "missing"), *[("2", k, v) for k, v in lacks * 2], *[("None", k, v) for k, v in lacks]])
