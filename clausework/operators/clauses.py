@@ -86,6 +86,13 @@ def labelled(clauses: DataFrame, hints: DataFrame) -> DataFrame:
 
 #: Rules that may be broadcast.
 MAX_RULES = 10_000
+#: Documents of a partition in which they meet their first clauses.
+DOCUMENT_ROWS = 100_000
+
+
+def _known(rules: DataFrame) -> DataFrame:
+    """Rules, to be broadcast while they are few."""
+    return rules if rules.count() > MAX_RULES else F.broadcast(rules)
 
 
 def evaluated(rules: DataFrame, clauses: DataFrame, documents: DataFrame) -> DataFrame:
@@ -98,14 +105,20 @@ def evaluated(rules: DataFrame, clauses: DataFrame, documents: DataFrame) -> Dat
     # values are read once for each first clause, whatever the number of rules on it
     body = F.concat_ws(" ", F.coalesce("c.heading", F.lit("")), F.coalesce("c.text", F.lit("")))
     read = first.select("doc_id", "clause_key", "c", body.alias("body"), V.values(body).alias("v")).select("doc_id", "clause_key", "c", "body", F.get(F.filter("v.periods", lambda x: x["unit"] == "mo"), F.lit(0))["value"].alias("months"), F.get("v.amounts", F.lit(0))["value"].alias("amount"), F.col("v.percents").alias("pct"))
-    n = rules.count()
-    known = rules if n > MAX_RULES else F.broadcast(rules)
-    # a rule on a clause that a document lacks matters only if it is required: all others are an equi-join
-    absent = documents.select("doc_id").join(known.where("required"), F.lit(True)).join(first.select("doc_id", "clause_key"), ["doc_id", "clause_key"], "left_anti")
-    gone = ["c", "body", "months", "amount", "pct"]
-    columns = ["doc_id", *rules.columns, *gone]
-    held = documents.select("doc_id").join(read, "doc_id").join(known, "clause_key").select(columns)
-    rows = held.union(absent.withColumns({c: F.lit(None).cast(held.schema[c].dataType) for c in gone}).select(columns))
+    known = _known(rules)
+    # a rule on a clause that a document lacks matters only if it is required; all rules meet their clause in an equi-join
+    one = F.struct("clause_key", "c", "body", "months", "amount", "pct")
+    kind = read.select(one.alias("x")).schema["x"].dataType
+    per = read.where("clause_key IS NOT NULL").groupBy("doc_id").agg(F.collect_list(one).alias("held"))
+    required = F.broadcast(rules.where("required").agg(F.collect_set("clause_key").alias("keys"), F.bool_or(F.col("clause_key").isNull()).alias("keyless")))
+    held = F.coalesce("held", F.array().cast(ArrayType(kind)))
+    lacking = lambda key: F.struct(key.alias("clause_key"), *[F.lit(None).cast(kind[c].dataType).alias(c) for c in kind.names[1:]])
+    wanted = F.when(F.col("keyless"), F.concat("keys", F.array(F.lit(None).cast("string")))).otherwise(F.col("keys"))
+    absent = F.transform(F.array_except(wanted, F.transform(held, lambda x: x["clause_key"])), lacking)
+    docs = documents.select("doc_id")
+    n = docs.count()
+    every = dealt(docs, "doc_id", rows=n, part=DOCUMENT_ROWS).join(dealt(per, "doc_id", rows=n, part=DOCUMENT_ROWS), "doc_id", "left").join(required, F.lit(True)).select("doc_id", F.explode(F.concat(held, absent)).alias("x"))
+    rows = every.select("doc_id", "x.*").join(known.withColumnRenamed("clause_key", "on"), F.col("clause_key").eqNullSafe(F.col("on")))
     low = F.lower("body")
     has = lambda c: F.exists(F.coalesce(F.col(c), F.expr("array()").cast("array<string>")), lambda w: F.contains(low, F.lower(w)))
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
