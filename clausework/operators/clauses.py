@@ -145,7 +145,7 @@ def evaluated(rules: DataFrame, clauses: DataFrame, documents: DataFrame) -> Dat
 def law_pairs(law_rules: DataFrame, clauses: DataFrame) -> DataFrame:
     """(doc_id, idx, law_rule): keys are exploded into an equi-join, triggers filter what it finds."""
     keyed = law_rules.select("law_rule", "triggers", F.explode("clause_keys").alias("clause_key")).distinct()
-    met = clauses.join(keyed, "clause_key")
+    met = clauses.join(_known(keyed), "clause_key")
     low = F.lower(F.concat_ws(" ", "heading", "text"))
     return met.where((F.size("triggers") == 0) | F.exists("triggers", lambda t: F.contains(low, F.lower(t)))).select("doc_id", "idx", "law_rule")
 
