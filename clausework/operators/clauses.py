@@ -109,15 +109,15 @@ def evaluated(rules: DataFrame, clauses: DataFrame, documents: DataFrame) -> Dat
     # a rule on a clause that a document lacks matters only if it is required; all rules meet their clause in an equi-join
     one = F.struct("clause_key", "c", "body", "months", "amount", "pct")
     kind = read.select(one.alias("x")).schema["x"].dataType
-    per = read.where("clause_key IS NOT NULL").groupBy("doc_id").agg(F.collect_list(one).alias("held"))
+    docs = documents.select("doc_id")
+    n = docs.count()
+    per = dealt(read.where("clause_key IS NOT NULL"), "doc_id", rows=n, part=DOCUMENT_ROWS).groupBy("doc_id").agg(F.collect_list(one).alias("held"))
     required = F.broadcast(rules.where("required").agg(F.collect_set("clause_key").alias("keys"), F.bool_or(F.col("clause_key").isNull()).alias("keyless")))
     held = F.coalesce("held", F.array().cast(ArrayType(kind)))
     lacking = lambda key: F.struct(key.alias("clause_key"), *[F.lit(None).cast(kind[c].dataType).alias(c) for c in kind.names[1:]])
     wanted = F.when(F.col("keyless"), F.concat("keys", F.array(F.lit(None).cast("string")))).otherwise(F.col("keys"))
     absent = F.transform(F.array_except(wanted, F.transform(held, lambda x: x["clause_key"])), lacking)
-    docs = documents.select("doc_id")
-    n = docs.count()
-    every = dealt(docs, "doc_id", rows=n, part=DOCUMENT_ROWS).join(dealt(per, "doc_id", rows=n, part=DOCUMENT_ROWS), "doc_id", "left").join(required, F.lit(True)).select("doc_id", F.explode(F.concat(held, absent)).alias("x"))
+    every = dealt(docs, "doc_id", rows=n, part=DOCUMENT_ROWS).join(per, "doc_id", "left").join(required, F.lit(True)).select("doc_id", F.explode(F.concat(held, absent)).alias("x"))
     rows = every.select("doc_id", "x.*").join(known.withColumnRenamed("clause_key", "on"), F.col("clause_key").eqNullSafe(F.col("on")))
     low = F.lower("body")
     has = lambda c: F.exists(F.coalesce(F.col(c), F.expr("array()").cast("array<string>")), lambda w: F.contains(low, F.lower(w)))
@@ -150,6 +150,9 @@ def law_pairs(law_rules: DataFrame, clauses: DataFrame) -> DataFrame:
     return met.where((F.size("triggers") == 0) | F.exists("triggers", lambda t: F.contains(low, F.lower(t)))).select("doc_id", "idx", "law_rule")
 
 
+#: Pairs of a partition in which versions are compared.
+PAIR_ROWS = 50_000
+
 #: Kinds of differences: how severe and how certain they are.
 KINDS = {"amount": ("high", 0.9), "percent": ("high", 0.9), "duration": ("high", 0.9), "date": ("high", 0.9), "tax_code": ("high", 0.9), "number": ("medium", 0.75), "negation": ("medium", 0.6), "figure_words": ("high", 0.95), "missing_counterpart": ("medium", 0.7)}
 
@@ -162,11 +165,13 @@ def differences(pairs: DataFrame, languages: tuple[str, str] = ("vi", "en"), gra
     are differences too.  ``pairs`` has pair_id, primary, other and, if known, clause_key: parties
     and signatures need no counterpart.
     """
-    texts = pairs.withColumns({c: T.nfc(F.coalesce(c, F.lit(""))) for c in ("primary", "other")})
+    # pairs are many and narrow: they are dealt to all cores, and in bounded parts, before Python reads them
+    dealt_out = dealt(pairs, "pair_id", part=PAIR_ROWS)
     text = lambda x: x.cast("string")
     period = lambda x: F.when(x["unit"] == "mo", text(x["value"])).otherwise(F.concat_ws(" ", text(x["value"]), x["unit"]))
     # each version is read once, and all rows of a pair come from one list
-    read = texts.withColumns({"vp": V.values(F.col("primary")), "vo": V.values(F.col("other"))})
+    normal = dealt_out.withColumns({"p": V.normal_values(F.col("primary")), "o": V.normal_values(F.col("other"))})
+    read = normal.withColumns({"primary": F.col("p.text"), "other": F.col("o.text"), "vp": F.col("p.v"), "vo": F.col("o.v")})
     row = lambda kind, value, sign, own=None: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(sign).alias("n"), (F.lit(None).cast("string") if own is None else own).alias("own"))
     none = F.array().cast("array<struct<kind:string,value:string,n:int,own:string>>")
 

@@ -207,3 +207,18 @@ def test_rules_on_absent_clauses_keyless_rules_and_repeated_documents(spark):
     got = sorted((str(r.doc_id), r.rule_key, r.classification) for r in C.evaluated(rules, clauses, docs).collect())
     lacks = [("a", "missing"), ("b", "missing"), ("d", "missing")]
     assert got == sorted([("1", "a", "standard"), ("1", "b", "missing"), ("1", "d", "missing"), *[("2", k, v) for k, v in lacks * 2], *[("None", k, v) for k, v in lacks]])
+
+
+def test_versions_are_compared_on_all_cores(spark, tmp_path):
+    """One small file of many narrow pairs is no single Python task, and texts are read in normal form."""
+    path = str(tmp_path / "pairs")
+    spark.range(20_000).selectExpr("id AS pair_id", "'Price VND 5' AS primary", "'Giá 5 VND' AS other").coalesce(1).write.parquet(path)
+    read = C.differences(spark.read.parquet(path))
+    assert read.count() == 0
+    spark.sparkContext.setJobGroup("pairs", "")
+    read.count()
+    stages = [spark.sparkContext.statusTracker().getStageInfo(s) for j in spark.sparkContext.statusTracker().getJobIdsForGroup("pairs") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 4
+    found = C.differences(spark.createDataFrame([(1, "không áp dụng 5%", "5%")], "pair_id bigint, primary string, other string")).collect()
+    assert [(r.kind, r.side) for r in found] == [("negation", "primary")]
+    assert [r.v for r in spark.createDataFrame([("é",), (None,)], "t string").select(V.normal_values("t")["text"].alias("v")).collect()] == ["é", ""]
