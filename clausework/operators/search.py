@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from clausework.functions import text as T
 from clausework.operators import vectors as V
 from clausework.operators.findings import in_force
+from clausework.sources.tables import dealt, kept
 
 MAX_TERMS, MAX_QUERIES = 24, 1000
+#: Units of a partition in which they are scored.
+UNITS = 4000
 
 
 def ranked(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -25,8 +28,10 @@ def ranked(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
 def _scores(units: DataFrame, queries: DataFrame, form) -> DataFrame:
     terms = queries.select("qid", F.explode(F.slice(T.search_terms(form(F.col("text"))), 1, MAX_TERMS)).alias("term"))
     words = units.select("id", F.explode(T.tokens(form(F.col("text")))).alias("term"))
-    wanted = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return wanted.join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
+    met = words.join(terms.select("term").distinct(), "term", "left_semi")
+    # scores of a unit are made where its words lie; a unit meets many queries, so that a partition takes few units
+    wanted = dealt(met, "id", rows=units.count(), part=UNITS).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return wanted.join(F.broadcast(terms) if queries.count() <= MAX_QUERIES else terms, "term").groupBy("qid", "id").agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
 
 
 def lexical(units: DataFrame, queries: DataFrame, k: int = 20, form=lambda c: c) -> DataFrame:
@@ -52,6 +57,7 @@ def searched(units: DataFrame, queries: DataFrame, jurisdictions: list[str], aso
 
 def reranked(hits: DataFrame, units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Hits by the overlap of the context's terms with the unit's, plus the lexical score."""
+    hits = kept(hits, "hits")  # read twice
     c = queries.select("qid", T.search_terms(F.col("text")).alias("c"))
     u = units.join(hits.select("id").distinct(), "id", "left_semi").select("id", T.search_terms(F.col("text")).alias("u"))
     both = hits.join(c, "qid").join(u, "id")

@@ -222,3 +222,11 @@ def test_versions_are_compared_on_all_cores(spark, tmp_path):
     found = C.differences(spark.createDataFrame([(1, "không áp dụng 5%", "5%")], "pair_id bigint, primary string, other string")).collect()
     assert [(r.kind, r.side) for r in found] == [("negation", "primary")]
     assert [r.v for r in spark.createDataFrame([("é",), (None,)], "t string").select(V.normal_values("t")["text"].alias("v")).collect()] == ["é", ""]
+
+
+def test_scores_lie_in_partitions_of_few_units(spark, monkeypatch):
+    monkeypatch.setattr(S, "UNITS", 100)
+    units = spark.range(1000).selectExpr("id", "'payment payment within days' AS text")
+    scores = S._scores(units, spark.createDataFrame([(1, "payment days"), (2, "days")], "qid bigint, text string"), lambda c: c)
+    assert {(r.qid, r.score, r["count"]) for r in scores.groupBy("qid", "score").count().collect()} == {(1, 0.3, 1000), (2, 0.1, 1000)}
+    assert scores.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 400
