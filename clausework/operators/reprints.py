@@ -16,7 +16,9 @@ all letters and digits.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from clausework.functions import text as T
-from clausework.sources.tables import kept
+from clausework.sources.tables import PART_ROWS, dealt, kept
 
 # How reprints of statutes, English and Malay, number sections and title their parts.
 NUMBERED = r"^(\d{1,4}[A-Z]{0,3})\s*\.\s*(?:[—–-]\s*)?(.*)$"
@@ -147,6 +149,27 @@ def close_ratio(one: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(one, other, strict=True)], dtype=float)
 
 
+@F.pandas_udf(DoubleType())
+def _least_close(one: pd.Series, other: pd.Series) -> pd.Series:
+    """``close_ratio`` where it may reach CLOSE, else null: matching blocks hold no more than the characters that both have, each as often."""
+    letters: dict[str, Counter] = {}
+    known: dict[tuple[str, str], float | None] = {}
+
+    def of(text: str) -> Counter:
+        if text not in letters:
+            letters[text] = Counter(text)
+        return letters[text]
+
+    def ratio(a: str, b: str) -> float | None:
+        if (a, b) not in known:
+            x, y = of(a), of(b)
+            both = sum(min(n, y[c]) for c, n in x.items() if c in y)
+            known[a, b] = SequenceMatcher(None, a, b).ratio() if 2 * both >= CLOSE * (len(a) + len(b)) - 1e-9 else None
+        return known[a, b]
+
+    return pd.Series([ratio(a, b) for a, b in zip(one, other, strict=True)], dtype=float)
+
+
 def _joined(keys: Column) -> Column:
     return F.array_join(keys, "")
 
@@ -176,7 +199,7 @@ def heading_matches(rows: DataFrame, entries: DataFrame) -> DataFrame:
     left = tails.where(f"k <= {ABOVE_CLOSE}").join(exact.select("instrument", "at").distinct(), ["instrument", "at"], "left_anti")
     size, want = F.length("key"), F.length("wanted")
     pairs = left.join(options.withColumnRenamed("key", "wanted"), ["instrument", "number"]).where((2 * F.least(size, want) >= CLOSE * (size + want)) & (size > 0))
-    scored = pairs.withColumn("ratio", close_ratio("key", "wanted")).where(F.col("ratio") >= CLOSE)
+    scored = pairs.withColumn("ratio", _least_close("key", "wanted")).where(F.col("ratio") >= CLOSE)
     best = scored.groupBy("instrument", "at", "entry").agg(F.min_by(F.struct("k", "taken", "part"), F.struct(-F.col("ratio"), "rank", "k")).alias("m"))
     off = lambda x, t: F.transform(F.sequence(F.lit(0), F.size(x)), lambda j: F.struct(F.abs(F.length(_joined(F.slice(x, F.lit(1), j))) - t).alias("d"), j.alias("j")))
     near = F.array_min(off(F.col("m.taken"), F.length("m.part")))["j"]
@@ -191,43 +214,44 @@ def number_key(number: str) -> tuple[int, str]:
 _CHOSEN = "instrument string, at int, entry int, parts int, heads int, exact boolean, stop boolean"
 
 
-def _chosen(rows: pd.DataFrame) -> pd.DataFrame:
-    """The alignment of an instrument: rows of kind 'line' (a numbered line and an entry of its number, or none), 'entry' and 'stop'.
+def _aligned(names: list[str], lines: list[tuple]) -> tuple[list[tuple], int | None]:
+    """The lines that start sections, as (at, entry, parts, heads, exact), and the place of the line that ends the body, if any.
 
+    ``names`` are the numbers of the entries in order, ``lines`` (at, entry, stops, number, parts, heads, exact) of
+    numbered lines, one for each entry of their number (entry None: there is none), and of lines that stop.
     A line whose heading agrees may follow any earlier entry; one without may only follow the entry just before its own.
     """
-    names = rows[rows.kind == "entry"].sort_values("entry").number.tolist()
     n = len(names)
     score = np.full(n + 1, -1, np.int64)  # of the best chain that ends with entry i - 1
     score[0] = 0
     link: list = [None] * (n + 1)
     stop = None
-    lines = rows[rows.kind != "entry"].sort_values(["at", "entry"])
     loose = []
-    for at, group in lines.groupby("at", sort=True):
-        if (group.kind == "stop").any():
+    for at, group in itertools.groupby(sorted(lines, key=lambda x: (x[0], x[1] is None, x[1] or 0)), key=lambda x: x[0]):
+        group = list(group)
+        if any(x[2] for x in group):
             if (score[1:] > 0).any() or loose and not n:
                 stop = at
                 break
             continue
         update = []
-        for r in group.itertuples():
-            if pd.isna(r.entry):
-                loose.append((at, r.number))
+        for _, e, _, number, parts, heads, exact in group:
+            if e is None:
+                loose.append((at, number))
                 continue
-            e, agrees = int(r.entry), not pd.isna(r.heads)
-            before = int(np.argmax(score[: e + 1])) if agrees else e
+            agrees = heads is not None
+            before = int(score[: e + 1].argmax()) if agrees else e
             if score[before] >= 0:
                 # one agreeing heading outweighs any number of lines without
-                update.append((e + 1, score[before] + (n + 1 if agrees else 0) + 1, (r, link[before])))
+                found = (at, e, parts, heads, bool(exact)) if agrees else (at, e, 0, 0, None)
+                update.append((e + 1, int(score[before]) + (n + 1 if agrees else 0) + 1, (found, link[before])))
         for slot, value, chain in update:
             if value > score[slot]:
                 score[slot], link[slot] = value, chain
-    chain, out = link[int(np.argmax(score))], []
+    chain, out = link[int(score.argmax())], []
     while chain is not None:
-        r, chain = chain
-        agrees = not pd.isna(r.heads)
-        out.append((int(r.at), int(r.entry), int(r.parts) if agrees else 0, int(r.heads) if agrees else 0, bool(r.exact) if agrees else None))
+        found, chain = chain
+        out.append(found)
     out.reverse()
     taken = [(x[0], number_key(names[x[1]]), x[1]) for x in out]
     if not n:
@@ -242,12 +266,25 @@ def _chosen(rows: pd.DataFrame) -> pd.DataFrame:
             if current is not None and number_key(number) > current and (following >= n or number_key(number) < number_key(names[following])):
                 out.append((at, None, 0, 0, None))
                 current = number_key(number)
-    found = pd.DataFrame(sorted(out), columns=["at", "entry", "parts", "heads", "exact"]).astype({"entry": "Int32"})
-    found["stop"] = False
+    return sorted(out, key=lambda x: x[0]), stop
+
+
+def _chosen(rows: pd.DataFrame) -> pd.DataFrame:
+    """The alignment of an instrument: rows of kind 'line' (a numbered line and an entry of its number, or none), 'entry' and 'stop'."""
+    whole = lambda c: [None if pd.isna(x) else int(x) for x in rows[c].tolist()]
+    kinds, numbers, entries = rows["kind"].tolist(), rows["number"].tolist(), whole("entry")
+    names = [number for _, number in sorted((e, x) for kind, e, x in zip(kinds, entries, numbers, strict=True) if kind == "entry")]
+    each = zip(kinds, whole("at"), entries, numbers, whole("parts"), whole("heads"), rows["exact"].tolist(), strict=True)
+    found, stop = _aligned(names, [(at, e, kind == "stop", *more) for kind, at, e, *more in each if kind != "entry"])
+    if stop is not None:
+        found.append((stop, None, 0, 0, None))
+    at, entry, parts, heads, exact = zip(*found, strict=True) if found else [()] * 5
+    ends = [False] * len(found)
     if stop is not None:
-        found = pd.concat([found, pd.DataFrame([{"at": stop, "parts": 0, "heads": 0, "stop": True}]).astype({"stop": bool})], ignore_index=True)
-    found.insert(0, "instrument", rows.instrument.iloc[0])
-    return found.astype({"entry": "Int32", "exact": "boolean"})
+        ends[-1] = True
+    number = lambda x: pd.array(list(x), dtype="Int32")
+    instrument = [rows["instrument"].iloc[0]] * len(found)
+    return pd.DataFrame({"instrument": pd.Series(instrument, dtype=object), "at": number(at), "entry": number(entry), "parts": number(parts), "heads": number(heads), "exact": pd.array(list(exact), dtype="boolean"), "stop": pd.Series(ends, dtype=bool)})
 
 
 def read(lines: DataFrame, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -281,7 +318,9 @@ def _placed(rows: DataFrame, entries: DataFrame, hints: DataFrame | None) -> Dat
     asked = shape(lined, "line", c("at"), c("number"), c("entry"), c("parts"), c("heads"), c("exact"))
     asked = asked.union(shape(listed, "entry", none("int"), c("number"), c("entry"), none("int"), none("int"), none("boolean")))
     asked = asked.union(shape(stops, "stop", c("at"), none("string"), none("int"), none("int"), none("int"), none("boolean")))
-    chosen = kept(asked.groupBy("instrument").applyInPandas(_chosen, _CHOSEN), "reprint-starts")
+    # numbered lines are few bytes and much work: they are dealt by their number, not by their size
+    n = rows.where("number IS NOT NULL").count()
+    chosen = kept(dealt(asked, "instrument", rows=n, part=PART_ROWS // 8).groupBy("instrument").applyInPandas(_chosen, _CHOSEN), "reprint-starts")
     ends = chosen.where("stop").select("instrument", F.col("at").alias("end"))
     starts = chosen.where(~F.col("stop")).select("instrument", "at", "entry", "parts", "heads", "exact", F.lit(True).alias("start"))
     rows = rows.join(ends, "instrument", "left").join(starts.withColumn("note", F.lit(False)), ["instrument", "at", "note"], "left").withColumn("start", F.coalesce("start", F.lit(False)))
@@ -404,9 +443,10 @@ def summarised(lines: DataFrame, rows: DataFrame, entries: DataFrame, found: Dat
     body = F.col("bucket").isin("preamble", "part", "heading", "start", "text", "note", "title")
     per = rows.groupBy("instrument").agg(
         F.sum(F.when(body, size).otherwise(0)).alias("n_chars"), F.sum(F.when(F.col("bucket") == "start", own).when(body, size).otherwise(0)).alias("n_placed"),
-        *[F.count_if(F.col("bucket") == k).alias(f"n_{k}") for k in kinds], F.min_by("text", F.when(F.col("bucket") == "after", F.col("pos"))).alias("stopped_at"),
+        F.count("*").alias("n_kept"), *[F.count_if(F.col("bucket") == k).alias(f"n_{k}") for k in kinds], F.min_by("text", F.when(F.col("bucket") == "after", F.col("pos"))).alias("stopped_at"),
     )
-    gone = cleaned(lines).where("dropped IS NOT NULL").groupBy(F.col("instrument").cast("string").alias("instrument")).agg(F.count("*").alias("n_dropped"))
+    # every line that is not dropped has a bucket
+    written = lines.where(T.squeezed(F.col("text")) != "").groupBy(F.col("instrument").cast("string").alias("instrument")).agg(F.count("*").alias("n_written"))
     numbers = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("section", "number")))), lambda x: x["number"])
     said = found.groupBy("instrument").agg(
         numbers(F.col("matched") == "not_listed").alias("not_listed"), numbers(F.col("matched") == "close").alias("differs"), numbers(F.col("matched") == "none").alias("unmatched"),
@@ -414,7 +454,8 @@ def summarised(lines: DataFrame, rows: DataFrame, entries: DataFrame, found: Dat
     )
     missing = entries.join(found.select("instrument", "number").distinct(), ["instrument", "number"], "left_anti").groupBy("instrument").agg(F.transform(F.array_sort(F.collect_list(F.struct("entry", "number"))), lambda x: x["number"]).alias("missing"))
     listed = entries.groupBy("instrument").agg(F.count("*").alias("n_entries"))
-    out = per.join(gone, "instrument", "left").join(said, "instrument", "left").join(missing, "instrument", "left").join(listed, "instrument", "left")
+    per = per.join(written, "instrument", "left").withColumn("n_dropped", F.col("n_written") - F.col("n_kept")).drop("n_written", "n_kept")
+    out = per.join(said, "instrument", "left").join(missing, "instrument", "left").join(listed, "instrument", "left")
     none = F.array().cast("array<string>")
     lists = {c: F.coalesce(c, none) for c in ("not_listed", "differs", "unmatched", "repeated", "empty", "missing")}
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_dropped", "n_sections", "n_entries")}).withColumns(lists).withColumn("stopped_at", F.when(F.col("n_after") > 0, F.col("stopped_at")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clausework.operators import reprints, runs
 from clausework.plans.catalog import query, table
+from clausework.sources.tables import PART_ROWS, dealt
 
 _BASE = """SELECT c_custkey // 40 AS instrument, c_custkey % 40 + 1 AS k, translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS who, (c_custkey // 40) % 4 <> 3 AS listed FROM customer"""
 _SECTIONS = f"""WITH c AS ({_BASE}), s AS (SELECT *, max(k) OVER (PARTITION BY instrument) AS last FROM c)
@@ -23,6 +24,8 @@ def _lines(spark, sf_dir):
     """(instrument, page, pos, text): page 0 has the contents, page k section k, the last one the schedules."""
     key = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(F.floor(key / 40).alias("instrument"), (key % 40 + 1).cast("int").alias("k"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij").alias("who"))
+    # a customer is some fifteen lines
+    rows = dealt(rows, "instrument", part=PART_ROWS // 15)
     rows = rows.withColumns({"listed": F.col("instrument") % 4 != 3, "last": F.max("k").over(Window.partitionBy("instrument"))})
     k, listed, lit = F.col("k"), F.col("listed"), F.lit
     none = F.array().cast("array<string>")

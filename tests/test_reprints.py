@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -118,3 +119,32 @@ def test_manifest_rules(spark):
     rows = [("SG", "SG/ok-1", "https://x", "pdf"), ("SG", "SG/two", None, "text"), ("SG", "SG/two", None, "text"), ("sg", "MY/x", "x y", "doc"), (None, None, None, None)]
     got = runs.manifest_violations(spark.createDataFrame(rows, "jurisdiction string, id string, url string, format string")).collect()
     assert {(r.id, r.violation) for r in got} == {("SG/two", "duplicate_id"), ("MY/x", "bad_jurisdiction"), ("MY/x", "bad_id"), ("MY/x", "other_jurisdiction"), ("MY/x", "bad_url"), ("MY/x", "unknown_format"), (None, "bad_jurisdiction"), (None, "bad_id"), (None, "unknown_format")}
+
+
+def test_many_instruments_are_chosen_in_parallel_and_fast(spark):
+    # the alignment took some 90 ms an instrument of forty sections, in as few tasks as their bytes filled
+    rows = [("line", k * 10, str(k), k - 1, 0, 1, True) for k in range(1, 401)] + [("line", k * 10 + 5, str(k + 1), k, None, None, None) for k in range(1, 400)] + [("entry", None, str(k), k - 1, None, None, None) for k in range(1, 401)] + [("stop", 4001, None, None, None, None, None)]
+    rows = pd.DataFrame([("a", *r) for r in rows], columns=["instrument", "kind", "at", "number", "entry", "parts", "heads", "exact"]).astype({"at": "float"})
+    start = time.process_time()
+    got = reprints._chosen(rows)
+    assert time.process_time() - start < 0.15
+    assert got["at"].tolist() == [*range(10, 4001, 10), 4001] and got["stop"].tolist() == [False] * 400 + [True] and got["entry"].isna().tolist() == [False] * 400 + [True]
+
+
+def test_a_close_ratio_is_skipped_only_where_it_cannot_reach_the_bound(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    pairs = [(a, rng.choice([a, a[1:] or "b", a[: len(a) // 2] + "x" + a[len(a) // 2 :], a[::-1], rng.choice(words)])) for a in words]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", reprints._least_close("a", "b").alias("r")).collect()
+    for r in got:
+        want = SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.r == want if want >= reprints.CLOSE else r.r is None or r.r == want or r.r != r.r
+    assert any(r.r is None or r.r != r.r for r in got)
+
+
+def test_customers_lines_are_dealt_whatever_their_bytes(spark, sf):
+    from clausework.plans import reprints as plan
+
+    assert plan._lines(spark, sf).rdd.getNumPartitions() == 1  # 150 customers
+    wide = plan.dealt(spark.range(40_000), "id", part=plan.PART_ROWS // 15)
+    assert wide.rdd.getNumPartitions() == 4
