@@ -61,7 +61,9 @@ def run(manifest: DataFrame, snapshots: DataFrame, lines: DataFrame, today: str)
     or parse_failed, with a reason, the version's date, warnings and counts. Only parsed instruments have units.
     """
     held = manifest.join(latest(snapshots).select("id", F.col("url").alias("source"), "sha256", "error"), "id", "left")
-    text = lines.join(held.where("sha256 IS NOT NULL AND error IS NULL").select(F.col("id").alias("instrument"), "title", "expect_title"), "instrument")
+    # read three times below, and larger than their compressed columns tell: lines are never broadcast
+    lines = kept(lines, "run-lines")
+    text = lines.join(held.where("sha256 IS NOT NULL AND error IS NULL").select(F.col("id").alias("instrument"), "title", "expect_title").hint("merge"), "instrument")
     place = F.row_number().over(Window.partitionBy("instrument").orderBy("pos"))
     head = text.withColumn("n", place).where(F.col("n") <= DATE_LINES).groupBy("instrument").agg(F.first("expect_title").alias("expect"), F.array_sort(F.collect_list(F.struct("n", "text"))).alias("l"))
     words = lambda n: F.array_join(F.transform(F.slice("l", 1, n), lambda x: x["text"]), " ")
