@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausework.sources.tables import dealt
+
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), 6)
@@ -27,10 +29,12 @@ def discrepancy_scores(expected: DataFrame, reported: DataFrame, keys: list[str]
 
 def positional_accuracy(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Per document, n and n_right of ``(doc_id, pos, key)`` compared place by place; what one side has more of is wrong."""
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    want = gold.select("doc_id", place.alias("place"), F.col("key").alias("want"))
-    got = predicted.select("doc_id", place.alias("place"), F.col("key").alias("got"))
-    return want.join(got, ["doc_id", "place"], "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("want") == F.col("got")).alias("n_right"))
+    side = lambda rows, gold: rows.select("doc_id", "pos", "key", F.lit(gold).alias("gold"))
+    # dealt once by document, all that follows stays in its partition; about as many rows are predicted as are asked
+    both = dealt(side(gold, True).union(side(predicted, False)), "doc_id", rows=2 * gold.count())
+    placed = both.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "gold").orderBy("pos")))
+    per = placed.groupBy("doc_id", "place").agg(F.bool_or("gold").alias("asked"), F.max(F.when(F.col("gold"), F.col("key"))).alias("want"), F.max(F.when(~F.col("gold"), F.col("key"))).alias("got"))
+    return per.where("asked").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if((F.col("want") == F.col("got")) & F.col("doc_id").isNotNull()).alias("n_right"))
 
 
 def finding_accuracy(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausework.operators import answers, scores
 from clausework.plans import written
 from clausework.plans.catalog import query, table
+from clausework.sources.tables import dealt
 from clausework.streaming import ledger
 
 _RULES = [("cap", "liability", "high", True), ("term", "term", "medium", False), ("notice", "notice", "low", False)]
@@ -115,7 +116,7 @@ def discrepancy_scores(spark, sf_dir):
 SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE r <> 3 OR l_linenumber % 5 <> 0) - count(*) FILTER (WHERE r = m AND m > 4 AND (r <> 3 OR l_linenumber % 5 <> 0)) AS n_right FROM (SELECT *, max(r) OVER (PARTITION BY doc_id) AS m FROM l) GROUP BY doc_id""")
 def label_accuracy(spark, sf_dir):
     """Labels compared place by place: long documents lack the last one."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"))  # noqa: E741
+    l = dealt(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos")), "doc_id")  # noqa: E741
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
     rows = l.withColumn("place", place).withColumn("most", F.max("place").over(Window.partitionBy("doc_id")))
     gold = rows.select("doc_id", "pos", F.concat(F.lit("k"), F.col("place").cast("string")).alias("key"))

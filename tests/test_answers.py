@@ -109,3 +109,16 @@ def test_a_batch_replayed_after_a_failure_is_there_once(spark, tmp_path):
     ledger.start(stream(), table, checkpoint).awaitTermination(60)
     rows = spark.read.parquet(table).select("event_id").collect()
     assert sorted(r.event_id for r in rows) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_places_are_compared_in_partitions_of_bounded_rows(spark, monkeypatch):
+    from clausework.operators import scores
+    from clausework.sources import tables
+
+    monkeypatch.setattr(tables, "PART_ROWS", 50)
+    gold = spark.sql("SELECT id div 4 AS doc_id, id % 4 AS pos, CAST(id % 4 AS STRING) AS key FROM range(400) UNION ALL SELECT NULL, 0, '0'")
+    said = spark.sql("SELECT id div 3 AS doc_id, id % 3 AS pos, CAST(id % 3 AS STRING) AS key FROM range(303) UNION ALL SELECT NULL, 0, '0'")  # document 100 is not asked for
+    got = scores.positional_accuracy(said, gold)
+    assert got.rdd.getNumPartitions() >= 16  # twice 401 rows; as many as there were shuffle partitions before
+    assert sorted(tuple(r) for r in got.collect() if r.doc_id is not None) == [(i, 4, 3) for i in range(100)]
+    assert [(r.n, r.n_right) for r in got.collect() if r.doc_id is None] == [(1, 0)]
