@@ -159,10 +159,11 @@ def outcomes(requests: DataFrame, calls: DataFrame) -> DataFrame:
     endpoints said. The first that answers in order of rank is taken: ok; none left in the plan is no_candidate, or
     budget_exceeded if that alone kept one out; all failed is all_failed.
     """
-    met = requests.join(calls, ["request_id", "endpoint_id"], "left")
     left = F.col("reason").isNull()
-    taken = F.min(F.when(left & F.coalesce("ok", F.lit(False)), F.struct("rank", "endpoint_id")))
-    per = met.groupBy("request_id").agg(taken.alias("t"), F.count_if(left).alias("n"), F.count_if(F.col("reason") == "budget_exceeded").alias("dear"))
+    # only endpoints left in the plan that answered are joined
+    answered = requests.where(left).select("request_id", "endpoint_id", "rank").join(calls.where("ok").select("request_id", "endpoint_id"), ["request_id", "endpoint_id"])
+    taken = answered.groupBy("request_id").agg(F.min(F.struct("rank", "endpoint_id")).alias("t"))
+    per = requests.groupBy("request_id").agg(F.count_if(left).alias("n"), F.count_if(F.col("reason") == "budget_exceeded").alias("dear")).join(taken, "request_id", "left")
     outcome = F.when(F.col("t").isNotNull(), "ok").when(F.col("n") > 0, "all_failed").when(F.col("dear") > 0, "budget_exceeded").otherwise("no_candidate")
     return per.select("request_id", outcome.alias("outcome"), F.col("t.endpoint_id").alias("endpoint_id"), F.when(F.col("t").isNotNull(), F.col("t.rank")).otherwise(F.col("n")).cast("bigint").alias("tried"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausework.sources.tables import PART_ROWS, dealt
+
 #: Tiers in order, and the provider that is not a third party.
 TIERS = {"T0": 0, "T1": 1, "T2": 2}
 FIRST_PARTY = "self"
@@ -41,6 +43,8 @@ def plan(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     over all of them.
     """
     n = endpoints.count()
+    # a request is few bytes and as many rows as there are endpoints; dealt by request, they are ranked where they are
+    requests = dealt(requests, "request_id", part=max(PART_ROWS // max(min(n, MAX_ENDPOINTS), 1), 1))
     blocks = 1 if n <= MAX_ENDPOINTS else -(-2 * n // MAX_ENDPOINTS)
     block = F.pmod(F.xxhash64("endpoint_id", "registry_pos"), F.lit(blocks).cast("bigint"))
     p = requests.join(F.broadcast(endpoints if blocks == 1 else endpoints.where(block == 0)), F.lit(True))

@@ -106,3 +106,17 @@ def test_findings_speak_vietnamese(spark):
     prevailing = spark.createDataFrame([(5, None, "en")], "doc_id int, by_primary string, by_other string")
     got = records.version_findings(d, prevailing, spark.createDataFrame([(1, 5)], "pair_id int, doc_id int"), "vi").collect()
     assert [(r.summary, r.rationale[:38]) for r in got] == [("Ngày khác nhau giữa hai bản (chỉ bản tiếng Việt: 2020-01-01).", "Theo điều khoản ngôn ngữ, bản tiếng An")]
+
+
+def test_requests_are_dealt_by_number_and_only_answers_are_joined(spark, monkeypatch):
+    from clausework.operators import records, routing
+    from clausework.plans import texts
+
+    monkeypatch.setattr(routing, "PART_ROWS", 20)
+    endpoints = spark.createDataFrame(texts.ENDPOINTS, texts.ENDPOINT_SCHEMA)
+    requests = spark.createDataFrame([(i, *texts.REQUESTS[0][1:]) for i in range(40)], texts.REQUEST_SCHEMA)
+    p = routing.plan(requests, endpoints)
+    assert p.rdd.getNumPartitions() == 10  # 40 requests of 5 endpoints; dealt again they would be four
+    plan = spark.createDataFrame([(1, "a", None, 1), (1, "b", None, 2), (2, "a", "budget_exceeded", None), (3, "a", "x", None), (4, "a", None, 1)], "request_id int, endpoint_id string, reason string, rank int")
+    calls = spark.createDataFrame([(1, "a", False), (1, "b", True), (2, "a", True), (4, "a", None)], "request_id int, endpoint_id string, ok boolean")
+    assert sorted(tuple(r) for r in records.outcomes(plan, calls).collect()) == [(1, "ok", "b", 2), (2, "budget_exceeded", None, 0), (3, "no_candidate", None, 0), (4, "all_failed", None, 1)]
