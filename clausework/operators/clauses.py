@@ -95,13 +95,19 @@ def _known(rules: DataFrame) -> DataFrame:
     return rules if rules.count() > MAX_RULES else F.broadcast(rules)
 
 
+def _ruled(rules: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Clauses with a key that some rule names: no other clause meets a rule, so none of the rest need be sorted or read."""
+    keys = rules.select("clause_key").distinct()
+    return clauses if keys.count() > MAX_RULES else clauses.join(F.broadcast(keys), "clause_key", "left_semi")
+
+
 def evaluated(rules: DataFrame, clauses: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per document and rule that applies: classification and confidence.
 
     Only the first clause of a key counts, its first duration and first amount; the order of the
     tests decides.
     """
-    first = clauses.groupBy("doc_id", "clause_key").agg(F.min_by(F.struct("idx", "heading", "text"), "idx").alias("c"))
+    first = _ruled(rules, clauses).groupBy("doc_id", "clause_key").agg(F.min_by(F.struct("idx", "heading", "text"), "idx").alias("c"))
     # values are read once for each first clause, whatever the number of rules on it
     body = F.concat_ws(" ", F.coalesce("c.heading", F.lit("")), F.coalesce("c.text", F.lit("")))
     read = first.select("doc_id", "clause_key", "c", body.alias("body"), V.values(body).alias("v")).select("doc_id", "clause_key", "c", "body", F.get(F.filter("v.periods", lambda x: x["unit"] == "mo"), F.lit(0))["value"].alias("months"), F.get("v.amounts", F.lit(0))["value"].alias("amount"), F.col("v.percents").alias("pct"))

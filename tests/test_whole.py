@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from clausework.functions import values as V
+from clausework.operators import clauses as C
 from clausework.operators import routing
 from clausework.operators import search as S
 from clausework.plans import catalog, texts
@@ -99,3 +101,11 @@ def test_routing_of_three_requests(spark):
         (2, "rules", "", 2), (2, "far", "", 1), (2, "near", "matter_conflict_deny", 0), (2, "byo", "matter_not_allowlisted", 0), (2, "off", "matter_not_allowlisted", 0),
         (3, "rules", "capability_missing:vision", 0), (3, "far", "residency", 0), (3, "near", "capability_missing:vision", 0), (3, "byo", "residency", 0), (3, "off", "endpoint_disabled", 0),
     ])
+
+
+def test_only_clauses_that_a_rule_names_are_read(spark, monkeypatch):
+    values = V.values
+    monkeypatch.setattr(C.V, "values", lambda body: values(F.when(body.contains("unread"), F.raise_error(F.lit("read in vain"))).otherwise(body)))
+    clauses = spark.createDataFrame([(1, 0, "Preamble", "unread", "parties"), (1, 1, "Term", "36 months", "term"), (1, 2, "Annex", "unread", "other"), (2, 0, "", "unread", None)], "doc_id bigint, idx bigint, heading string, text string, clause_key string")
+    got = C.evaluated(spark.createDataFrame(texts.RULES, texts.RULE_SCHEMA), clauses, spark.range(1, 3).withColumnRenamed("id", "doc_id"))
+    assert sorted(r[:3] for r in got.collect() if r.rule_key == "r1") == [(1, "r1", "fallback"), (2, "r1", "missing")]
