@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from clausework.llm import textnp
 from clausework.llm.linkage import bounded, connected_components, link_components, paired_texts
-from clausework.llm.shared import written
+from clausework.llm.shared import small_batches, written
 
 EDITS, MIN_CHARS = 2, 20
 #: Words for each of which a long line may have one more word edit; no fewer than 4 * RUN.
@@ -445,9 +445,13 @@ def _keyed(edits: int, words: int, by_words: bool):
             split = _WORD.findall if by_words else str
             out: list[list[list[int]]] = [[], [], []]
             ranks = []
-            for h, text, grams, common, most in zip(*(batch.column(c).to_pylist() for c in ("h", "text", "grams", "common", "most")), strict=True):
+            lists, last, often = batch.column("common"), None, {}
+            for i, (h, text, grams, most) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("h", "text", "grams", "most")), strict=True)):
+                if h != last:  # an anchor's lines have one list and mostly stand together
+                    common = lists[i].values
+                    last, often = h, dict(zip(*(common.field(c).to_pylist() for c in ("gram", "n")), strict=True)) if common else {}
                 key = lambda *x, h=h: int.from_bytes(hashlib.blake2b("\r".join(map(str, x)).encode("utf-8", "surrogatepass"), digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                units, often = split(text), {x["gram"]: x["n"] for x in common or ()}
+                units = split(text)
                 n = len(units)
                 places = sorted(((often.get(x["gram"], 0), x["gram"]), x["pos"]) for x in grams if often.get(x["gram"], 0) <= most)
                 at = sorted(p for _, p in places)
@@ -487,6 +491,7 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
     """One row per line with a word: key, version (hash of the whole text), number, size, ``exact`` and ``near`` (either removes it), and ``top``, the first line of its class."""
     if words < 4 * RUN:
         raise ValueError(f"words must be at least {4 * RUN}: shorter lines need not share {2 * RUN} words in a row")
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
     parsed = rows.withColumn("__version", F.xxhash64("__text")).mapInArrow(_lines(edits, max(min_chars, edits + 1), words), "key bigint, version bigint, number bigint, hash bigint, size bigint, n_words bigint, sig bigint, runs array<bigint>, places array<array<int>>, own array<bigint>, probes array<bigint>")
     lines = written(parsed, "lines")
@@ -545,8 +550,8 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
                 b.append(link)
         return a, b
 
-    def refine(pairs: DataFrame, by_words: bool = False) -> DataFrame:
-        """Keys from what a line has beyond its anchor.
+    def refine(pairs: DataFrame, by_words: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Keys from what a line has beyond its anchor, and the table they are made from.
 
         A place of a line is beyond if its gram is neither in the anchor nor common among the
         anchor's lines (which are padded at both ends).  An edit changes as many neighbouring places
@@ -574,7 +579,7 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edi
         many = beyond.groupBy("h").agg(F.greatest(F.lit(8), F.count("*") / 8).alias("most"), (F.sum(F.size("grams")) / MOST_GRAMS).alias("some"))
         common = often.join(many, "h").where("n > 8 AND n > some").groupBy("h").agg(F.collect_list(F.struct("gram", "n")).alias("common"), F.first("most").alias("most"))
         lists = beyond.join(common, "h", "left").select("h", "node", "text", "grams", "common", F.coalesce("most", F.lit(8.0)).alias("most"))
-        return lists.mapInArrow(_keyed(edits, words, by_words), schema)
+        return lists.mapInArrow(_keyed(edits, words, by_words), schema), beyond
 
     linked = link_components(postings, texts, compare, first_link, F.lit(True), None, "own", refine)
     # lengths that can link differ by one for each `words` words of the shorter

@@ -125,7 +125,7 @@ def _crowds(open_rows: DataFrame, most: int = CROWD) -> DataFrame:
     return written(open_rows.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > most).select("token"), "crowds")
 
 
-def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column | None, indexed: str | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, apart: Callable[[DataFrame], DataFrame] | None = None, alone: Column | None = None) -> DataFrame:
+def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataFrame], compare: Callable, first_link: Callable, near: Column, may: Column | None, indexed: str | None = None, refine: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, apart: Callable[[DataFrame], DataFrame] | None = None, alone: Column | None = None) -> DataFrame:
     """(node, component) of all linked items.
 
     ``postings(token, node, n)``: n is the item's size.  With ``indexed`` (a boolean column of the
@@ -136,7 +136,7 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
 
     A key that more than ``CROWD`` components share would ask for all pairs of them. ``refine``
     takes the items of such keys with the key's anchor, (node, h), and gives (node, h, rank, both,
-    own, asks): two linked items of one anchor share a key in ``both``, or one has a key in ``asks``
+    own, asks) and the table these are made from: two linked items of one anchor share a key in ``both``, or one has a key in ``asks``
     that the other has in ``own``.  Items are first compared with the item of the lowest rank of each
     such key, and components that then still share a key group by group.  ``apart`` first gives rows
     of crowded keys narrower keys that need no texts; ``postings`` then has a column ``places`` for it.
@@ -165,14 +165,16 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
         narrow = written(apart(open_rows.join(crowds, "token")), "narrow")
         heads = narrow.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         kept = [*columns, "h", "component"]
-        open_rows = written(open_rows.join(crowds, "token", "left_anti").select(kept).union(narrow.join(heads, "token").select(kept)), "open")
-        drop(narrow)
+        before = open_rows
+        open_rows = written(before.join(crowds, "token", "left_anti").select(kept).union(narrow.join(heads, "token").select(kept)), "open")
+        drop(narrow, before)
         crowds = _crowds(open_rows, 4 * CROWD)
     if refine is not None and not crowds.isEmpty():
         settled = open_rows.join(crowds, "token", "left_anti")
         items = written(open_rows.join(crowds, "token").groupBy("node", "h").agg(F.max("n").alias("n"), F.first("component").alias("component"), *[F.min(c).alias(c) for c in sig]), "crowded")
-        refined = refine(items.select(F.col("node").alias("q"), "h"))
+        refined, source = refine(items.select(F.col("node").alias("q"), "h"))
         keyed = written(refined.join(items, ["node", "h"]).drop("h"), "refined")
+        drop(source)
         kinds = (("both", True, True, True), ("own", True, False, False), ("asks", False, True, False))
         rows = [keyed.select(F.explode(c).alias("token"), "node", "n", F.lit(ix).alias("ix"), F.lit(asks).alias("asks"), F.lit(mutual).alias("mutual"), "component", "rank", *sig) for c, ix, asks, mutual in kinds]
         rows = rows[0].union(rows[1]).union(rows[2])
@@ -186,7 +188,8 @@ def link_components(postings: DataFrame, texts: Callable[[DataFrame, int], DataF
         finer = _open(labelled)
         drop(labelled)
     if settled is not None:  # components have grown since
-        open_rows = _labelled(settled.select(columns).union(finer.select(columns)), components)
+        before, open_rows = open_rows, _labelled(settled.select(columns).union(finer.select(columns)), components)
+        drop(before, finer)
     elif "gid" not in open_rows.columns:
         open_rows = _labelled(open_rows.select(columns), components)
     groups = open_rows.where("ix").groupBy("token", F.col("gid").alias("group")).agg(F.first("component").alias("owner"), F.min("n").alias("lo"), F.max("n").alias("hi"), *[x for c in sig for x in (F.min(c).alias("one"), F.max(c).alias("two"))])

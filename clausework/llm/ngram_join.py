@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from clausework.llm import textnp
 from clausework.llm.linkage import bounded, link_components
-from clausework.llm.shared import drop, written
+from clausework.llm.shared import drop, small_batches, written
 
 K, NUM, DEN = 4, 85, 100
 #: The most frequent shingles that are moved to the end of the order; a bound on what is broadcast.
@@ -109,6 +109,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Two documents link when ``den * intersection >= num * union`` of their sets of k-word shingles.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(id_col).cast("bigint").alias("__key"), F.col(text_col).cast("string").alias("__text"))
     counted = rows.mapInArrow(_common(k), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     often = counted.where("n >= 16").orderBy(F.col("n").desc(), "token").limit(max_common).select("token").toPandas()["token"]

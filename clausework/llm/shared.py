@@ -24,6 +24,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of an Arrow batch. A task holds some batches on the JVM, outside its heap, and in Python; Spark's 10 000 rows of text are tens of MB each.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower this session's bound on the rows of an Arrow batch to BATCH_ROWS; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/clausework/{label}-{uuid.uuid4().hex}"
 

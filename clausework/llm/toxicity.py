@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from clausework.llm import textnp
-from clausework.llm.shared import written
+from clausework.llm.shared import small_batches, written
 
 MAX_TRAIN = 20_000
 #: Bytes of text that a worker looks at together; its arrays take some hundred times as much.
@@ -261,6 +261,7 @@ class Model:
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Learn from at most ``max_train`` labelled rows that are not held out."""
     spark = documents.sparkSession
+    small_batches(spark)
     known = labels.select(F.col(id_col).cast("bigint").alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
     known = known.groupBy("__id").agg(F.max("__y").alias("__y")).where(fold("__id") != 0)
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_train)

@@ -292,3 +292,19 @@ def test_equal_ids_with_different_texts_have_the_links_of_each(spark):
     rows = [(5, " ".join(long)), (5, " ".join(short)), (9, " ".join(near)), (7, " ".join(short) + " x")] + [(100 + i, " ".join(f"c{i}{j}" for j in range(20))) for i in range(20)]
     got = {r.doc_id: r.component_id for r in N.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     assert got[9] == got[7] == got[5] == 5 and all(got[i] == i for i in range(100, 120))
+
+
+def test_an_anchors_common_grams_are_read_once_and_batches_are_small(spark, monkeypatch):
+    import pyarrow as pa
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert L.decisions(spark.createDataFrame([(1, "a line that stands alone here")], "doc_id bigint, text string")).count() == 1
+    sizes = spark.range(5000).repartition(1).mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n bigint").agg({"n": "max"}).first()[0]
+    assert sizes <= 1000
+    common = [{"gram": g, "n": 9} for g in range(2048)]
+    grams = [[{"gram": g, "pos": g - 3}] for g in range(40)]
+    columns = [pa.array(range(40), pa.int64()), pa.array([0] * 20 + [1] * 20, pa.int64()), pa.array(["some text of a line"] * 40), pa.array(grams), pa.array([common] * 20 + [None] * 20), pa.array([8.0] * 40)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["node", "h", "text", "grams", "common", "most"])
+    rows = [r for b in L._keyed(2, 20, False)(iter([batch])) for r in b.to_pylist()]
+    # common grams give the first anchor's lines no changed place, the other's lines keep theirs
+    assert [r["rank"] for r in rows] == [0] * 20 + [1] * 20
