@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.shared import drop, written
+from clausework.llm.shared import cleaned, drop, written
 
 #: Rows, or entries of lists in them, that may be broadcast: 8 to 24 bytes each, so some 10 MB at most.
 BROADCAST_ROWS = 400_000
@@ -47,7 +47,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = written(small, "edges")
-        stats = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        with cleaned(small.sparkSession):
+            stats = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(now, large)
         now = small
         if stats == mark:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +41,30 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/clausework/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting to remove an execution's shuffle files as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside leaves no shuffle files, which Spark else keeps until the driver happens to collect its garbage. The session's own setting is put back."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again with its own schema."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._clausework_path = path
     return out

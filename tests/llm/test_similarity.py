@@ -308,3 +308,22 @@ def test_an_anchors_common_grams_are_read_once_and_batches_are_small(spark, monk
     rows = [r for b in L._keyed(2, 20, False)(iter([batch])) for r in b.to_pylist()]
     # common grams give the first anchor's lines no changed place, the other's lines keep theirs
     assert [r["rank"] for r in rows] == [0] * 20 + [1] * 20
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from clausework.llm.shared import CLEANUP, drop, written
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.length()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    setting, before = spark.conf.get(CLEANUP), held()
+    table = written(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(CLEANUP) == setting
+    assert {(r.k, r["count"]) for r in table.collect()} == {(k, 715 if k < 2 else 714) for k in range(7)}
+    drop(table)
