@@ -40,6 +40,7 @@ import bisect
 import functools
 import hashlib
 import itertools
+import operator
 import re
 from collections.abc import Iterable, Iterator
 
@@ -198,7 +199,7 @@ def _head(a: str | list, b: str | list) -> int:
 @functools.lru_cache(maxsize=256)
 def _words(text: str) -> list[str]:
     """The words of a line; one without CJK characters needs no ranges."""
-    return (_WORD if text and max(text) >= "\u2e80" else _PLAIN).findall(text)
+    return (_PLAIN if text.isascii() or max(text) < "\u2e80" else _WORD).findall(text)
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -253,10 +254,9 @@ def few(edits: int, words: int) -> int:
 
 
 def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.ndarray, words: int, edits: int) -> tuple[np.ndarray, ...]:
-    """Words of each of the given lines, their signatures, and the keys (line, key, place of the key's first word) of those with at least ``words`` words.
+    """Words of each of the given lines, two signatures, and the keys (line, key, place of the key's first word) of those with at least ``words`` words.
 
-    A signature has a bit for each of about a quarter of the different words: an edit changes two
-    bits at most.
+    Each different word has a bit in one of the signatures: an edit changes two bits at most.
     """
     base = hashes.base
     part = points[base : base + len(hashes.sums) - 1]
@@ -282,17 +282,18 @@ def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.nda
     starts += base
     line = np.searchsorted(first, starts, "right") - 1
     inside = (line >= 0) & (starts < end[line])
-    starts, ends, line = starts[inside], ends[inside], line[inside]
+    starts, ends, line = starts[inside], np.minimum(ends[inside], end[line[inside]]), line[inside]  # a text's end need not part words
     n = np.bincount(line, minlength=len(first))
     long = n[line] >= words
     starts, ends, line = starts[long], ends[long], line[long]
-    signature = np.zeros(len(first), _U)
+    signatures = np.zeros((2, len(first)), _U)
     if len(starts) < 2 * RUN:
-        return n, signature.view(np.int64), *(np.zeros(0, np.int64) for _ in range(3))
+        return n, signatures.view(np.int64), *(np.zeros(0, np.int64) for _ in range(3))
     each = hashes.of(starts, ends)
-    bits = np.where(each & _U(3) == 0, _U(1) << (each >> _U(8) & _U(63)), _U(0))
+    bits = _U(1) << (each >> _U(8) & _U(63))
     heads = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-    signature[line[heads]] = np.bitwise_or.reduceat(bits, heads)
+    for k in range(2):
+        signatures[k, line[heads]] = np.bitwise_or.reduceat(np.where(each & _U(1) == k, bits, _U(0)), heads)
     place = np.arange(len(starts)) - np.repeat(heads, np.diff(np.append(heads, len(starts))))
     grams = textnp.shingles(each, RUN)
     wide = spans(words, 1 << int(n.max()).bit_length())[n]  # words of each line's spans
@@ -315,7 +316,7 @@ def word_keys(hashes: Hashes, points: np.ndarray, first: np.ndarray, end: np.nda
         a, b = table[x], table[x + size[x] - (1 << k)]
         found[np.where(grams[a] <= grams[b], a, b)] = True
     at = np.flatnonzero(found)
-    return n, signature.view(np.int64), line[at], grams[at], place[at]
+    return n, signatures.view(np.int64), line[at], grams[at], place[at]
 
 
 def words_within(a: list[str], b: list[str], words: int) -> bool:
@@ -332,6 +333,8 @@ def words_within(a: list[str], b: list[str], words: int) -> bool:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a or not b:
         return max(len(a), len(b)) <= edits
+    if len(a) == len(b) and sum(map(operator.ne, a, b)) <= edits:
+        return True
     places: dict[str, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
@@ -407,8 +410,8 @@ def _lines(edits: int, min_chars: int, words: int, buckets: int):
                 if not len(once):
                     continue
                 first, end, node, size = first[once], end[once], node[once], size[once]
-                n, signature, long, word, place = word_keys(hashes, lines.points, first, end, words, edits)
-                pack(3, word, node=node[long], sig=signature[long], n=n[long], size=size[long], place=place)
+                n, signatures, long, word, place = word_keys(hashes, lines.points, first, end, words, edits)
+                pack(3, word, node=node[long], sig=signatures[0, long], more=signatures[1, long], n=n[long], size=size[long], place=place)
                 pick = np.flatnonzero(n < few(edits, words) + 2 * edits)
                 line, key, own = keys(hashes, first[pick], end[pick], edits)
                 signature = _signatures(lines.points, first[pick], end[pick])

@@ -20,12 +20,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 _U = np.uint64
-#: Keys of lines with many words: words and characters of the line, and the key's place in words.
-RUNS = np.dtype([("token", "<u8"), ("node", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("size", "<i4"), ("place", "<i4")])
+#: Keys of lines with many words: two signatures, words and characters of the line, and the key's place in words.
+RUNS = np.dtype([("token", "<u8"), ("node", "<i8"), ("sig", "<i8"), ("more", "<i8"), ("n", "<i4"), ("size", "<i4"), ("place", "<i4")])
 #: Keys of short lines: ``own`` ones are the index, the others probe it.
 SEGMENTS = np.dtype([("token", "<u8"), ("node", "<i8"), ("sig", "<i8"), ("size", "<i4"), ("own", "?")])
 #: Pairs of a key that are tried, and that may stay, for each of its rows.
-TRIED, KEPT = 1024, 16
+TRIED, KEPT = 8192, 64
 HELD_BYTES, HOT = 64 << 20, 4096
 
 
@@ -90,13 +90,14 @@ def _pairs(node: np.ndarray, token: np.ndarray, who: np.ndarray, start: np.ndarr
     return np.concatenate(a), np.concatenate(b), dense
 
 
-def _alike(sig: np.ndarray, node: np.ndarray) -> Callable:
+def _alike(node: np.ndarray, *signatures: np.ndarray) -> Callable:
     """Those of the pairs (i, j) at the places ``ok`` that are different items with no more than ``most`` different bits."""
-    sig = sig.view(_U)
+    parts = [np.ascontiguousarray(x).view(_U) for x in signatures]
 
     def run(i: np.ndarray, j: np.ndarray, ok: np.ndarray, most: np.ndarray | int) -> np.ndarray:
         i, j = i[ok], j[ok]
-        return ok[(np.bitwise_count(sig[i] ^ sig[j]) <= most) & (node[i] != node[j])]
+        bits = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in parts)
+        return ok[(bits <= most) & (node[i] != node[j])]
 
     return run
 
@@ -121,7 +122,7 @@ def run_pairs(rows: np.ndarray, edits: int, words: int) -> tuple[np.ndarray, np.
     order = np.lexsort((first, step, token[head]))
     head, first, last, step = head[order], first[order], last[order], step[order]
     of, n, size, node = token[head], rows["n"][head].astype(np.int64), rows["size"][head], rows["node"][head]
-    bound, alike = n // words, _alike(rows["sig"][head], node)
+    bound, alike = n // words, _alike(node, rows["sig"][head], rows["more"][head])
     reach = np.maximum(bound, 2 * edits)
     key = lambda step, place: (of << 38) + (step << 28) + np.clip(place, 0, (1 << 28) - 1)
     keys, all_ = key(step, first), np.arange(len(of))
@@ -158,7 +159,7 @@ def segment_pairs(rows: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray,
     who = np.flatnonzero(rows["own"])
     start = np.searchsorted(token, token[who])
     size, node = np.ascontiguousarray(rows["size"]), np.ascontiguousarray(rows["node"])
-    alike = _alike(np.ascontiguousarray(rows["sig"]), node)
+    alike = _alike(node, rows["sig"])
     near = lambda i, j: alike(i, j, np.flatnonzero(np.abs(size[j] - size[i]) <= edits), 4 * edits)
     a, b, (dense,) = _pairs(node, token, who, start, who - start, [near])
     return a, b, rows[dense[token]]
