@@ -327,3 +327,44 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert not held() - before and spark.conf.get(CLEANUP) == setting
     assert {(r.k, r["count"]) for r in table.collect()} == {(k, 715 if k < 2 else 714) for k in range(7)}
     drop(table)
+
+
+def near_classes(lines, near):
+    """The least member of each line's class, by brute force."""
+    return components(range(len(lines)), [(a, b) for a in range(len(lines)) for b in range(a) if near(lines[a], lines[b])])
+
+
+def test_lines_without_large_classes_take_no_joins_of_keys(spark, monkeypatch):
+    from clausework.llm import linkage
+
+    random.seed(12)
+    pick = lambda n: [f"w{random.randrange(500)}" for _ in range(n)]
+    passage, lines = pick(30), []
+    for _ in range(40):  # all share a passage; every second one has a near copy
+        w = pick(20) + passage + pick(20)
+        lines += [" ".join(w)] + [" ".join([*w[:5], "other", *w[6:]])] * (len(lines) % 3 == 0)
+    labels = []
+    for module in (L, linkage):
+        monkeypatch.setattr(module, "written", lambda df, label, f=module.written: labels.append(label) or f(df, label))
+    got = {r.key: r.near for r in L.decisions(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)).collect()}
+    first = near_classes(lines, lambda a, b: L.words_within(a.split(), b.split(), 20))
+    assert got == {i: first[i] != i for i in first} and sum(got.values()) > 10
+    assert "labelled" not in labels and len(labels) < 40, labels
+
+
+def test_keys_of_large_classes_match_brute_force(spark, monkeypatch):
+    random.seed(13)
+    base, calls = [f"w{i}" for i in range(30)], []
+    lines = [" ".join([*base[:14], f"x{i}", *base[15:]]) for i in range(150)] + [f"a row of some list with number {i:03d}" for i in range(160)]
+    random.shuffle(lines)
+    monkeypatch.setattr(L, "link_components", lambda *a, f=L.link_components: calls.append(a) or f(*a))
+    got = {r.key: r.near for r in L.decisions(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)).collect()}
+    first = near_classes(lines, lambda a, b: L.within(a, b, 2) or L.words_within(a.split(), b.split(), 20))
+    assert calls and got == {i: first[i] != i for i in first}
+
+
+def test_a_texts_last_word_ends_with_it(spark):
+    words = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, "the"), (2, words), (3, "the"), (4, words.replace("w7", "changed")), (5, "the")]
+    got = {r.key: r.near for r in L.decisions(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()}
+    assert got[4] and not got[2]
